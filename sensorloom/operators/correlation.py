@@ -40,19 +40,17 @@ def correlation_long(
         *within, F.col(time).alias("_t"), F.col(id).cast("string").alias("_id"), F.col(value).cast("double").alias("_v")
     )
     sizes = cells.groupBy(*within, "_id").agg(F.avg("_v").alias("_mean"), F.count(F.lit(1)).alias("_cells"))
-    # Deviations from the mean keep the sums of products well conditioned.
-    centred = cells.join(checked_broadcast(sizes.drop("_cells")), [*within, "_id"])
-
-    plan = sizes.groupBy(*within).agg(F.sum("_cells").alias("_cells"), F.count(F.lit(1)).alias("_series"))
-    plan = plan.select(
-        *within,
-        F.ceil(F.col("_cells") / cells_per_group).alias("_groups"),
-        F.ceil(F.col("_series") / series_per_tile).alias("_tiles"),
+    sizes = checked_broadcast(sizes)
+    plan = sizes.groupBy(*within).agg(
+        F.ceil(F.sum("_cells") / cells_per_group).alias("_groups"),
+        F.ceil(F.count(F.lit(1)) / series_per_tile).alias("_tiles"),
     )
+    # Deviations from the mean keep the sums of products well conditioned.
+    centred = cells.join(sizes.drop("_cells"), [*within, "_id"])
     if within:
         placed = centred.join(checked_broadcast(plan), within)
     else:
-        groups, tiles = plan.select("_groups", "_tiles").first()
+        groups, tiles = plan.first()
         placed = centred.withColumns({"_groups": F.lit(groups or 1), "_tiles": F.lit(tiles or 1)})
     placed = placed.withColumns(
         {

@@ -13,6 +13,8 @@ from sensorloom.operators.ordered import positions
 from sensorloom.operators.reshape import column_values
 from sensorloom.operators.sizing import SLICE_ROWS, Slices, checked_broadcast, plan_slices
 
+QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+
 
 def table_profile(df: DataFrame, asset: str, variable: str, ts: str, approx: bool = False) -> DataFrame:
     """Distinct assets, variables and timestamps with first and last time, in one pass."""
@@ -44,9 +46,9 @@ def missing_matrix(df: DataFrame, variable: str, asset: str, ts: str, value: str
     present = df.groupBy(variable, asset).agg(F.count_distinct(F.when(F.col(value).isNotNull(), F.col(ts))).alias("_n"))
     assets = list(assets) if assets is not None else column_values(df, asset)
     wide = present.groupBy(variable).pivot(asset, assets).agg(F.first("_n"))
-    n = total.first()["_total"]
+    n = total.scalar()
     return wide.select(
-        variable, *[(F.lit(n) - F.coalesce(F.col(f"`{a}`"), F.lit(0))).cast("bigint").alias(a) for a in assets]
+        variable, *[(n - F.coalesce(F.col(f"`{a}`"), F.lit(0))).cast("bigint").alias(a) for a in assets]
     )
 
 
@@ -141,7 +143,7 @@ def exact_quantiles(
     keys: Sequence[str],
     value: str,
     fractions: dict[str, float],
-    rows_per_slice: int = SLICE_ROWS,
+    slices: Slices | None = None,
 ) -> DataFrame:
     """Exact quantiles per key with linear interpolation between neighbours.
 
@@ -150,14 +152,14 @@ def exact_quantiles(
     a quantile are kept, so no task ever holds the values of a key.
     """
     known = df.filter(F.col(value).isNotNull()).select(*keys, value)
-    slices = plan_slices(known, keys, value, rows_per_slice)
+    slices = slices or plan_slices(known, keys, value)
     if slices.single:
         return known.groupBy(*keys).agg(
             *[F.percentile(value, F.lit(q)).alias(name) for name, q in fractions.items()]
         )
     ranked = positions(known, keys, value, name="_pos", slices=slices)
     sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = ranked.join(checked_broadcast(sizes), list(keys))
+    ranked = ranked.join(slices.per_key(sizes), list(keys))
     spots = {name: (F.col("_n") - 1) * F.lit(q) + 1 for name, q in fractions.items()}
     wanted = reduce(or_, [F.col("_pos").between(F.floor(s), F.ceil(s)) for s in spots.values()])
     out = []
@@ -171,13 +173,18 @@ def exact_quantiles(
 
 def describe(df: DataFrame, keys: Sequence[str], value: str, rows_per_slice: int = SLICE_ROWS) -> DataFrame:
     """count, mean, std, min, quartiles, max and mean + std per key."""
-    basic = df.groupBy(*keys).agg(
+    moments = [
         F.count(value).alias("count"),
         F.avg(value).alias("mean"),
         F.stddev_samp(value).alias("std"),
         F.min(value).alias("min"),
         F.max(value).alias("max"),
-    )
-    quartiles = exact_quantiles(df, keys, value, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, rows_per_slice)
-    joined = basic.join(quartiles, list(keys), "left")
+    ]
+    slices = plan_slices(df.filter(F.col(value).isNotNull()), keys, value, rows_per_slice)
+    if slices.single:
+        quartiles = [F.percentile(value, F.lit(q)).alias(name) for name, q in QUARTILES.items()]
+        joined = df.groupBy(*keys).agg(*moments, *quartiles)
+    else:
+        ranked = exact_quantiles(df, keys, value, QUARTILES, slices=slices)
+        joined = df.groupBy(*keys).agg(*moments).join(slices.per_key(ranked), list(keys), "left")
     return joined.withColumn("mean_plus_std", F.col("mean") + F.col("std"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from sensorloom.operators.ordered import positions
 from sensorloom.operators.reshape import column_values
 from sensorloom.operators.sampling import contiguous_folds
-from sensorloom.operators.sizing import checked_broadcast
+from sensorloom.operators.sizing import checked_broadcast, plan_slices
 
 # Columns that are keys, times or targets and never features.
 NOT_FEATURES = ("asset", "timestamp", "fcast_time", "fcast_day", "day", "true_WTURPower", "pred_WTURPower")
@@ -195,9 +195,10 @@ def fit_pipeline(
 def with_folds(df: DataFrame, order: str, tiebreak: Sequence[str] = (), folds: int = 3) -> DataFrame:
     """Contiguous folds along `order` over the whole table."""
     one = df.withColumn("_all", F.lit(1))
-    numbered = positions(one, ["_all"], order, tiebreak, name="_pos")
-    size = df.count()
-    return contiguous_folds(numbered.withColumn("_size", F.lit(size)), "_size", "_pos", folds).drop("_all", "_pos", "_size")
+    slices = plan_slices(one, ["_all"], order)
+    numbered = positions(one, ["_all"], order, tiebreak, name="_pos", slices=slices)
+    sized = numbered.withColumn("_size", F.lit(slices.n_rows))
+    return contiguous_folds(sized, "_size", "_pos", folds).drop("_all", "_pos", "_size")
 
 
 def grid_search(

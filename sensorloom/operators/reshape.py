@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sensorloom.functions.columns import asset_of, series_id, variable_of
-from sensorloom.operators.sizing import checked_broadcast, order_number
+from sensorloom.operators.sizing import SLICE_ROWS, Slices, checked_broadcast, order_number
 
 PIVOT_COLUMNS = 10_000
 
@@ -91,38 +93,60 @@ def drop_null_columns(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if not counts[c]])
 
 
-def regular_grid(
-    df: DataFrame,
-    keys: Sequence[str],
-    ts: str,
-    step_seconds: int,
-    points_per_block: int = 10_000,
-) -> DataFrame:
-    """Every grid time between the first and last reading of the table, for every series.
-
-    Times come in blocks: block starts are generated and spread over tasks
-    first, then each block grows its own points, so no task holds a whole series.
-    """
-    x = order_number(df, ts)
-    lo, hi = df.agg(F.min(x), F.max(x)).first()
-    series = df.select(*keys).distinct()
-    kind = df.schema[ts].dataType
-    if lo is None:
-        return series.withColumn(ts, F.lit(None).cast(kind)).limit(0)
-    first, last = (F.timestamp_micros(F.lit(t).cast("bigint")).cast(kind) for t in (lo, hi))
-    block = f"INTERVAL {points_per_block * step_seconds} SECOND"
-    starts = series.withColumn("_start", F.explode(F.sequence(first, last, F.expr(block))))
-    if hi - lo >= points_per_block * step_seconds * 1_000_000:
-        starts = starts.repartition(*keys, "_start")
-    end = F.least(F.col("_start") + F.expr(f"INTERVAL {(points_per_block - 1) * step_seconds} SECOND"), last)
-    points = F.sequence(F.col("_start"), end, F.expr(f"INTERVAL {step_seconds} SECOND"))
-    return starts.select(*keys, F.explode(points).alias(ts))
-
-
-def fill_grid(df: DataFrame, keys: Sequence[str], ts: str, value: str, step_seconds: int) -> DataFrame:
-    """The table on its regular grid, with NULL where a series has no reading."""
-    grid = regular_grid(df, keys, ts, step_seconds)
-    return grid.join(df.select(*keys, ts, value), [*keys, ts], "left")
+@dataclass(frozen=True)
+class Grid:
+    """Regular times between the first and last reading of a table, the same for every series."""
+
+    series: DataFrame
+    ts: str
+    kind: T.DataType
+    step_seconds: int
+    first: int | None
+    last: int | None
+    n_series: int
+
+    @classmethod
+    def measure(cls, df: DataFrame, keys: Sequence[str], ts: str, step_seconds: int) -> Grid:
+        """Find the bounds and the number of series with one aggregate."""
+        x = order_number(df, ts)
+        per_series = df.groupBy(*keys).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+        first, last, n = per_series.agg(F.min("_lo"), F.max("_hi"), F.count(F.lit(1))).first()
+        return cls(df.select(*keys).distinct(), ts, df.schema[ts].dataType, step_seconds, first, last, n)
+
+    @property
+    def points_per_series(self) -> int:
+        return 0 if self.first is None else (self.last - self.first) // (self.step_seconds * 1_000_000) + 1
+
+    def points(self, points_per_block: int = 10_000) -> DataFrame:
+        """Every grid time of every series.
+
+        Times come in blocks: block starts are generated and spread over tasks
+        first, then each block grows its own points, so no task holds a whole series.
+        """
+        if self.first is None:
+            return self.series.withColumn(self.ts, F.lit(None).cast(self.kind)).limit(0)
+        first, last = (F.timestamp_micros(F.lit(t).cast("bigint")).cast(self.kind) for t in (self.first, self.last))
+        seconds = lambda n: F.expr(f"INTERVAL {n * self.step_seconds} SECOND")
+        starts = self.series.withColumn("_start", F.explode(F.sequence(first, last, seconds(points_per_block))))
+        if self.points_per_series > points_per_block:
+            starts = starts.repartition(*starts.columns)
+        end = F.least(F.col("_start") + seconds(points_per_block - 1), last)
+        return starts.select(*self.series.columns, F.explode(F.sequence("_start", end, seconds(1))).alias(self.ts))
+
+    def fill(self, df: DataFrame, value: str) -> DataFrame:
+        """The table on the grid, with NULL where a series has no reading."""
+        keys = [*self.series.columns, self.ts]
+        return self.points().join(df.select(*keys, value), keys, "left")
+
+    def slices(self, rows_per_slice: int = SLICE_ROWS) -> Slices:
+        """Slices of the grid; every series has the same length, so nothing is scanned."""
+        n = self.points_per_series
+        keys = tuple(self.series.columns)
+        if n <= rows_per_slice:
+            return Slices(keys, self.ts, n_keys=self.n_series, n_rows=n * self.n_series)
+        bounds = {"_lo": self.first, "_hi": self.last, "_k": -(-n // rows_per_slice)}
+        coarse = self.series.withColumns({c: F.lit(v).cast("bigint") for c, v in bounds.items()})
+        return Slices(keys, self.ts, coarse, n_keys=self.n_series, n_rows=n * self.n_series)
 
 
 def step_grid(df: DataFrame, keys: Sequence[str], x: str, step: int) -> DataFrame:

@@ -51,12 +51,20 @@ class Slices:
     order: str
     coarse: DataFrame | None = None
     fine: DataFrame | None = None
+    n_keys: int | None = None
+    n_rows: int | None = None
 
     @property
     def single(self) -> bool:
         """True when no series is long, so plain windows per key are enough."""
         return self.coarse is None
 
+    def per_key(self, table: DataFrame) -> DataFrame:
+        """Hint a table with one row per key for broadcast if the measured key count allows it."""
+        if self.n_keys is None:
+            return checked_broadcast(table)
+        return F.broadcast(table) if self.n_keys <= BROADCAST_ROWS else table
+
     def add(self, df: DataFrame, x: Column | None = None, name: str = "_slice") -> DataFrame:
         """Attach the ordered slice number of the order value (or of `x`)."""
         if self.coarse is None:
@@ -89,12 +97,19 @@ def plan_slices(
 ) -> Slices:
     """Measure the series and cut those longer than `rows_per_slice`.
 
-    One aggregate over keys and order column; only rows of long keys come back,
-    at most (rows / rows_per_slice) of them. Slices left too full by an uneven
-    spread are cut once more between their own bounds. `min_width` keeps every
-    slice at least that wide in order units.
+    One aggregate over the keys tells how many there are and whether any is
+    long; only then the bounds of long keys are fetched, at most
+    (rows / rows_per_slice) rows. Slices left too full by an uneven spread are
+    cut once more between their own bounds. `min_width` keeps every slice at
+    least that wide in order units.
     """
     keys = list(keys)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    n_keys, n_rows, n_long = counts.agg(
+        F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0)), F.count_if(F.col("_n") > rows_per_slice)
+    ).first()
+    if not n_long:
+        return Slices(tuple(keys), order, n_keys=n_keys, n_rows=n_rows)
     x = order_number(df, order)
     spark = df.sparkSession
 
@@ -117,9 +132,7 @@ def plan_slices(
 
     base = df.select(*keys, order, x.alias("_x"))
     coarse = bounds(base, keys, rows_per_slice, "")
-    if coarse is None:
-        return Slices(tuple(keys), order)
     first = Slices(tuple(keys), order, coarse)
     cut = first.add(base.drop("_x")).withColumn("_x", order_number(base, order))
     fine = bounds(cut, [*keys, "_slice"], 2 * rows_per_slice, "2")
-    return Slices(tuple(keys), order, coarse, fine)
+    return Slices(tuple(keys), order, coarse, fine, n_keys, n_rows)

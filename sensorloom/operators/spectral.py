@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.operators.correlation import correlation_long
 from sensorloom.operators.ordered import cumulative_sum, positions
-from sensorloom.operators.sizing import Slices, checked_broadcast
+from sensorloom.operators.sizing import Slices, plan_slices
 
 POINTS_PER_TASK = 1 << 20
 
@@ -19,9 +19,10 @@ POINTS_PER_TASK = 1 << 20
 def _centred(df: DataFrame, keys: Sequence[str], order: str, value: str, slices: Slices | None) -> DataFrame:
     """Position `n` from 0, length `size` and deviation `dev` from the mean; missing rows are trimmed."""
     known = df.filter(F.col(value).isNotNull()).select(*keys, order, F.col(value).cast("double").alias("_v"))
+    slices = slices or plan_slices(known, keys, order)
     stats = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), F.avg("_v").alias("_mean"))
     placed = positions(known, keys, order, name="_pos", slices=slices)
-    joined = placed.join(checked_broadcast(stats), list(keys))
+    joined = placed.join(slices.per_key(stats), list(keys))
     return joined.select(*keys, (F.col("_pos") - 1).alias("n"), "size", (F.col("_v") - F.col("_mean")).alias("dev"))
 
 
@@ -171,9 +172,10 @@ def cumulative_energy(
 ) -> DataFrame:
     """Running share of the energy along the bins, 1 at the last bin."""
     energy = F.col(amp) * F.col(amp)
+    slices = slices or plan_slices(spectrum, keys, order)
     summed = cumulative_sum(spectrum, keys, order, energy, "_cum", slices)
     totals = spectrum.groupBy(*keys).agg(F.sum(energy).alias("_total"))
-    joined = summed.join(checked_broadcast(totals), list(keys))
+    joined = summed.join(slices.per_key(totals), list(keys))
     share = F.col("_cum") / F.nullif(F.col("_total"), F.lit(0.0))
     return joined.select(*spectrum.columns, share.alias("cum_energy"))
 

@@ -22,6 +22,7 @@ from sensorloom.operators import (
     spectral,
     splines,
 )
+from sensorloom.operators.sizing import Slices
 from sensorloom.plans import flows
 from sensorloom.session import apply_settings
 from sensorloom.sources import roles
@@ -36,6 +37,7 @@ TEST_DAYS = 5
 TRANSLATED_COLUMNS = sorted(f"{v}_{a}" for v in roles.TRANSLATIONS.values() for a in roles.ASSETS)
 SERIES_COLUMNS = sorted(f"{v}_{a}" for v in roles.VARIABLES for a in roles.ASSETS)
 ALPHAS = (0.01, 1.0, 100.0)
+BLEND = (0.731058578630005, 0.268941421369995)
 LINE_FEATURES = ["l_quantity", "l_discount", "l_tax"]
 
 
@@ -209,7 +211,8 @@ def missing_matrix(spark, sf):
 
 @query
 def gap_report(spark, sf):
-    inspected = roles.hourly_grid(spark, sf).filter(F.col("variable") == "click")
+    grid, table = _on_grid(spark, sf)
+    inspected = table.filter(F.col("variable") == "click")
     return quality.gap_report(inspected, "asset", "timestamp", "value", roles.HOUR)
 
 
@@ -242,20 +245,31 @@ def variables_by_type(spark, sf):
 
 @query
 def dropna_any(spark, sf):
-    complete = reshape.drop_missing_rows(roles.raw_history(spark, sf))
+    complete = reshape.drop_missing_rows(roles.raw_history(roles.hourly(spark, sf)))
     return rounded(complete.select("asset", "timestamp", *roles.SENSOR_COLUMNS), *roles.SENSOR_COLUMNS)
 
 
 @query
 def drop_null_columns(spark, sf):
-    kept = reshape.drop_null_columns(roles.raw_history(spark, sf))
+    kept = reshape.drop_null_columns(roles.raw_history(roles.hourly(spark, sf, reused=True)))
     return kept.select("asset", "timestamp", "day", "fcast_day")
 
 
+def _on_grid(spark, sf) -> tuple[reshape.Grid, DataFrame]:
+    """The hourly grid and the table on it, NULL where a reading is missing."""
+    means = roles.hourly(spark, sf, reused=True)
+    grid = reshape.Grid.measure(means, SERIES, "timestamp", roles.HOUR)
+    return grid, grid.fill(means, "value")
+
+
+def _filled(spark, sf) -> tuple[reshape.Grid, DataFrame]:
+    grid, table = _on_grid(spark, sf)
+    return grid, ordered.interpolate_linear(table, SERIES, "timestamp", "value", slices=grid.slices())
+
+
 @query
 def linear_interpolate(spark, sf):
-    filled = ordered.interpolate_linear(roles.hourly_grid(spark, sf), SERIES, "timestamp", "value")
-    return rounded(filled, "value")
+    return rounded(_filled(spark, sf)[1], "value")
 
 
 @query
@@ -285,46 +299,48 @@ def correlation_by_asset(spark, sf):
     return rounded(correlation.correlation_long(hourly, "timestamp", "variable", "value", within="asset"), "corr")
 
 
-def _filled(spark, sf) -> DataFrame:
-    return ordered.interpolate_linear(roles.hourly_grid(spark, sf), SERIES, "timestamp", "value")
-
-
-def _spectrum(spark, sf) -> DataFrame:
-    return spectral.dft_magnitude(_filled(spark, sf), SERIES, "timestamp", "value", BINS)
+def _spectrum(spark, sf) -> tuple[Slices, DataFrame]:
+    """Spectra of a fixed number of bins, so a series never needs more than one slice."""
+    grid, filled = _filled(spark, sf)
+    spectrum = spectral.dft_magnitude(filled, SERIES, "timestamp", "value", BINS, slices=grid.slices())
+    return Slices(tuple(SERIES), "k", n_keys=grid.n_series), spectrum
 
 
 @query
 def dft_magnitude(spark, sf):
-    return rounded(_spectrum(spark, sf), "amp")
+    return rounded(_spectrum(spark, sf)[1], "amp")
 
 
 @query
 def fft_magnitude(spark, sf):
-    spectrum = spectral.fft_magnitude(_filled(spark, sf), SERIES, "timestamp", "value")
+    grid, filled = _filled(spark, sf)
+    spectrum = spectral.fft_magnitude(filled, SERIES, "timestamp", "value", slices=grid.slices())
     centred = spectral.centre_spectrum(spectrum, roles.HOUR)
     return rounded(centred, "amp").withColumn("freq", F.round("freq", 12))
 
 
 @query
 def cumulative_energy(spark, sf):
-    return rounded(spectral.cumulative_energy(_spectrum(spark, sf), SERIES).drop("amp"), "cum_energy")
+    slices, spectrum = _spectrum(spark, sf)
+    return rounded(spectral.cumulative_energy(spectrum, SERIES, slices=slices).drop("amp"), "cum_energy")
 
 
 @query
 def energy_band(spark, sf):
-    energy = spectral.cumulative_energy(_spectrum(spark, sf), SERIES)
+    slices, spectrum = _spectrum(spark, sf)
+    energy = spectral.cumulative_energy(spectrum, SERIES, slices=slices)
     return rounded(spectral.energy_band(energy), "amp", "cum_energy")
 
 
 @query
 def spectral_correlation(spark, sf):
-    return rounded(spectral.spectral_correlation(_spectrum(spark, sf)), "corr")
+    return rounded(spectral.spectral_correlation(_spectrum(spark, sf)[1]), "corr")
 
 
 @query
 def quadrature_demo(spark, sf):
-    hours = reshape.regular_grid(roles.hourly(spark, sf), ["asset"], "timestamp", roles.HOUR)
-    placed = ordered.positions(hours, ["asset"], "timestamp")
+    grid = reshape.Grid.measure(roles.hourly(spark, sf, reused=True), ["asset"], "timestamp", roles.HOUR)
+    placed = ordered.positions(grid.points(), ["asset"], "timestamp", slices=grid.slices())
     waves = spectral.quadrature_pair(placed, ["asset"], "pos", 1 / 25)
     in_time = correlation.correlation_long(waves, "pos", "variable", "value", within="asset")
     spectrum = spectral.dft_magnitude(waves, SERIES, "pos", "value", BINS)
@@ -336,15 +352,20 @@ def quadrature_demo(spark, sf):
 # --- forecasts ----------------------------------------------------------------------------
 
 
+def _raw_and_forecasts(spark, sf) -> tuple[DataFrame, DataFrame]:
+    means = roles.hourly(spark, sf, reused=True)
+    return roles.raw_history(means), roles.forecasts(means)
+
+
 def _truth(spark, sf) -> DataFrame:
-    fcast, raw = roles.forecasts(spark, sf), roles.raw_history(spark, sf)
+    raw, fcast = _raw_and_forecasts(spark, sf)
     return forecast.attach_truth(fcast, raw, "WNACWindSpeed")
 
 
 @query
 def forecast_join(spark, sf):
-    raw = roles.raw_history(spark, sf).select("asset", "timestamp", "fcast_day", "WTURPower")
-    joined = forecast.forecast_join(raw, roles.forecasts(spark, sf))
+    raw, fcast = _raw_and_forecasts(spark, sf)
+    joined = forecast.forecast_join(raw.select("asset", "timestamp", "fcast_day", "WTURPower"), fcast)
     wanted = [*CELL, "timestamp", "fcast_time", "WTURPower", "WNACWindSpeed_fcast", "WNACAmbTemp_fcast"]
     return rounded(joined.select(*wanted), *wanted[5:])
 
@@ -359,8 +380,9 @@ def attach_truth(spark, sf):
 
 
 def _split(spark, sf) -> tuple[DataFrame, DataFrame]:
-    raw = roles.raw_history(spark, sf).select("asset", "timestamp", "fcast_day", "WTURPower")
-    return forecast.train_test_by_day(raw, roles.forecasts(spark, sf), num_days=TEST_DAYS)
+    raw, fcast = _raw_and_forecasts(spark, sf)
+    slim = raw.select("asset", "timestamp", "fcast_day", "WTURPower")
+    return forecast.train_test_by_day(slim, fcast, num_days=TEST_DAYS)
 
 
 _SPLIT_COLUMNS = [*CELL, "timestamp", "WTURPower", "WNACWindSpeed_fcast", "true_WTURPower"]
@@ -378,7 +400,7 @@ def train_days(spark, sf):
 
 @query
 def days_except(spark, sf):
-    fcast = roles.forecasts(spark, sf)
+    fcast = roles.forecasts(roles.hourly(spark, sf, reused=True))
     return sampling.days_except(fcast, sampling.pick_days(fcast, "fcast_day", TEST_DAYS), "fcast_day")
 
 
@@ -397,7 +419,7 @@ def error_stats_by_range(spark, sf):
 @query
 def regression_metrics(spark, sf):
     scores = forecast.regression_metrics(_truth(spark, sf), "true_WNACWindSpeed", "WNACWindSpeed_fcast", ["range"])
-    return rounded(scores, "mse", "r2")
+    return rounded(scores, "mse", "r2", digits=4)
 
 
 @query
@@ -410,9 +432,10 @@ def forecast_report(spark, sf):
 
 def _blend(spark, sf) -> DataFrame:
     """Predictions that repeat per reading, as evaluation rows do."""
-    raw = roles.raw_history(spark, sf).select("asset", "timestamp", "fcast_day", "WNACWindSpeed")
-    joined = forecast.forecast_join(raw, roles.forecasts(spark, sf)).filter(F.col("WNACWindSpeed_fcast").isNotNull())
-    blended = F.col("WNACWindSpeed_fcast") * 0.75 + F.coalesce("WNACWindSpeed", F.lit(0.0)) * 0.25
+    raw, fcast = _raw_and_forecasts(spark, sf)
+    slim = raw.select("asset", "timestamp", "fcast_day", "WNACWindSpeed")
+    joined = forecast.forecast_join(slim, fcast.filter(F.col("WNACWindSpeed_fcast").isNotNull()))
+    blended = F.col("WNACWindSpeed_fcast") * BLEND[0] + F.coalesce("WNACWindSpeed", F.lit(0.0)) * BLEND[1]
     return forecast.latest_prediction(joined.withColumn("pred_WTURPower", blended))
 
 
@@ -445,7 +468,8 @@ def spline_10min(spark, sf):
 @query
 def ridge_gram(spark, sf):
     lines = roles.table(spark, sf, "lineitem")
-    gram = regression.ridge_gram(lines, LINE_FEATURES, "l_extendedprice")
+    thousands = lines.select(*LINE_FEATURES, (F.col("l_extendedprice") / 1000).alias("price_k"))
+    gram = regression.ridge_gram(thousands, LINE_FEATURES, "price_k")
     return rounded(gram, *[c for c in gram.columns if c != "n"], digits=2)
 
 
@@ -464,8 +488,8 @@ def ridge_fit(spark, sf):
 
 
 def _power_table(spark, sf) -> DataFrame:
-    raw = roles.raw_history(spark, sf).select("asset", "timestamp", "fcast_day", "WTURPower")
-    return forecast.training_table(raw, roles.forecasts(spark, sf))
+    raw, fcast = _raw_and_forecasts(spark, sf)
+    return forecast.training_table(raw.select("asset", "timestamp", "fcast_day", "WTURPower"), fcast)
 
 
 @query
@@ -490,14 +514,12 @@ def grouped_ridge_predictions(spark, sf):
 
 def _complete(spark, sf) -> DataFrame:
     """Wide telemetry without inner gaps."""
-    grid = roles.hourly_grid(spark, sf)
-    pairs = [F.lit(x) for pair in roles.SENSORS.items() for x in pair]
-    named = grid.withColumn("sensor", F.element_at(F.create_map(*pairs), F.col("variable"))).drop("variable")
-    return flows.complete_history(named, roles.SENSOR_COLUMNS)
+    filled = roles.sensor_names(_filled(spark, sf)[1])
+    return flows.wide_history(filled, roles.SENSOR_COLUMNS)
 
 
 def _learning(spark, sf) -> tuple[DataFrame, list[str]]:
-    raw, fcast = _complete(spark, sf), roles.forecasts(spark, sf)
+    raw, fcast = _complete(spark, sf), roles.forecasts(roles.hourly(spark, sf, reused=True))
     table = forecast.training_table(raw, fcast)
     return table.na.drop("any"), regression.feature_columns(table)
 

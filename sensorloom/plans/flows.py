@@ -42,9 +42,8 @@ def resample_and_widen(
     return reshape.pivot_wide(cells, "timestamp", "id", "value", columns).orderBy("timestamp")
 
 
-def complete_history(grid: DataFrame, columns: Sequence[str], name: str = "sensor") -> DataFrame:
-    """Wide telemetry with gaps filled linearly; leading gaps stay missing."""
-    filled = ordered.interpolate_linear(grid, ["asset", name], "timestamp", "value")
+def wide_history(filled: DataFrame, columns: Sequence[str], name: str = "sensor") -> DataFrame:
+    """Wide telemetry from gap-filled long readings; leading gaps stay missing."""
     wide = reshape.pivot_wide(filled, ["asset", "timestamp"], name, "value", columns, how="mean")
     day = F.to_date("timestamp")
     return wide.withColumns({"day": day, "fcast_day": F.date_add(day, 1)})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sensorloom.plans.catalog import BINS, LINE_FEATURES, SERIES_COLUMNS, TEST_DAYS, TRANSLATED_COLUMNS
+from sensorloom.plans.catalog import BINS, BLEND, LINE_FEATURES, SERIES_COLUMNS, TEST_DAYS, TRANSLATED_COLUMNS
 from sensorloom.sources.roles import ASSETS, SENSOR_COLUMNS, SENSORS, TRANSLATIONS
 
 _LOOKUP = "CASE variable " + " ".join(f"WHEN '{s}' THEN '{d}'" for s, d in TRANSLATIONS.items()) + " END"
@@ -52,8 +52,8 @@ _PARTS = {
         FROM raw r JOIN truth t ON r.asset = t.asset AND r.fcast_day = t.fcast_day""",
     "picked": f"""SELECT fcast_day FROM (SELECT DISTINCT fcast_day FROM fcast)
         ORDER BY md5(CAST(fcast_day AS VARCHAR)), fcast_day LIMIT {TEST_DAYS}""",
-    "blend": """SELECT asset, fcast_day, "range",
-        arg_max(0.75 * WNACWindSpeed_fcast + 0.25 * coalesce(WNACWindSpeed, 0), ts) AS pred
+    "blend": f"""SELECT asset, fcast_day, "range",
+        arg_max({BLEND[0]} * WNACWindSpeed_fcast + {BLEND[1]} * coalesce(WNACWindSpeed, 0), ts) AS pred
         FROM paired WHERE WNACWindSpeed_fcast IS NOT NULL GROUP BY 1, 2, 3""",
     "fine": """SELECT d.asset, d.fcast_day, d."range", b.pred FROM
         (SELECT k.asset, k.fcast_day, g."range" FROM (SELECT DISTINCT asset, fcast_day FROM blend) k,
@@ -114,10 +114,11 @@ def _ridge(source: str, x: list[str], y: str, alpha: str, by: str = "") -> str:
 
 
 def _gram() -> str:
-    cols = [*LINE_FEATURES, "l_extendedprice"]
+    cols = [*LINE_FEATURES, "price_k"]
     parts = [f"round(sum({c}), 2) AS s_{c}" for c in cols]
     parts += [f"round(sum({a} * {b}), 2) AS g_{a}_{b}" for i, a in enumerate(cols) for b in cols[i:]]
-    return f"SELECT count(*) AS n, {', '.join(parts)} FROM lineitem"
+    lines = "SELECT *, l_extendedprice / 1000 AS price_k FROM lineitem"
+    return f"SELECT count(*) AS n, {', '.join(parts)} FROM ({lines})"
 
 
 def _split(test: bool) -> str:
@@ -356,8 +357,8 @@ def oracle_sql() -> dict[str, str]:
             "truth",
         ),
         "regression_metrics": _with(
-            f"""SELECT r."range", count(y) AS n, round(avg(pow(y - p, 2)), 6) AS mse,
-            round(1 - sum(pow(y - p, 2)) / nullif(var_pop(y) * count(y), 0), 6) AS r2
+            f"""SELECT r."range", count(y) AS n, round(avg(pow(y - p, 2)), 4) AS mse,
+            round(1 - sum(pow(y - p, 2)) / nullif(var_pop(y) * count(y), 0), 4) AS r2
             FROM (SELECT DISTINCT "range" FROM truth) r LEFT JOIN {known} k ON k."range" = r."range" GROUP BY 1""",
             "truth",
         ),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.operators.reshape import fill_grid, pivot_wide
+from sensorloom.operators.reshape import pivot_wide
 
 ASSETS = ["A001", "A002", "A003", "A004", "A005"]
 VARIABLES = ["click", "error", "purchase", "signup", "view"]
@@ -43,39 +43,39 @@ def dictionary(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(TRANSLATIONS.items()), "src string, dest string")
 
 
-def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean per (asset, variable, hour); hours without a reading are absent."""
+def hourly(spark: SparkSession, sf_dir: str, reused: bool = False) -> DataFrame:
+    """Mean per (asset, variable, hour); hours without a reading are absent.
+
+    `reused` keeps it for queries that read it several times, so that the
+    telemetry behind it is scanned once; lost blocks are recomputed from it.
+    """
     hour = F.date_trunc("hour", F.col("timestamp")).cast("timestamp_ntz")
-    return (
+    means = (
         telemetry(spark, sf_dir)
         .select("asset", "variable", hour.alias("timestamp"), "value")
         .groupBy("asset", "variable", "timestamp")
         .agg(F.avg("value").alias("value"))
     )
+    return means.persist() if reused else means
 
 
-def hourly_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hourly table on its full grid, NULL where a reading is missing."""
-    return fill_grid(hourly(spark, sf_dir), ["asset", "variable"], "timestamp", "value", HOUR)
-
-
-def _sensor_names(df: DataFrame) -> DataFrame:
+def sensor_names(df: DataFrame) -> DataFrame:
     pairs = [F.lit(x) for pair in SENSORS.items() for x in pair]
     return df.withColumn("sensor", F.try_element_at(F.create_map(*pairs), F.col("variable")))
 
 
-def raw_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_history(means: DataFrame) -> DataFrame:
     """Wide telemetry per (asset, hour) with `day` and the day it is used to predict."""
-    long = _sensor_names(hourly(spark, sf_dir))
+    long = sensor_names(means)
     wide = pivot_wide(long, ["asset", "timestamp"], "sensor", "value", SENSOR_COLUMNS, how="mean")
     day = F.to_date("timestamp")
     return wide.withColumns({"day": day, "fcast_day": F.date_add(day, 1)})
 
 
-def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def forecasts(means: DataFrame) -> DataFrame:
     """Persistence forecasts: the hourly means of a day are issued for the next day."""
-    used = hourly(spark, sf_dir).filter(F.col("variable").isin("click", "view"))
-    wide = pivot_wide(_sensor_names(used), ["asset", "timestamp"], "sensor", "value", ["WNACAmbTemp", "WNACWindSpeed"], how="mean")
+    used = means.filter(F.col("variable").isin("click", "view"))
+    wide = pivot_wide(sensor_names(used), ["asset", "timestamp"], "sensor", "value", ["WNACAmbTemp", "WNACWindSpeed"], how="mean")
     issued = F.date_add(F.to_date("timestamp"), 1)
     seconds = (F.hour("timestamp") * HOUR).cast("bigint")
     return wide.select(
