@@ -21,6 +21,15 @@ def sensor_vectors(df: DataFrame, inputs: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(inputs), outputCol="features", handleInvalid="skip").transform(df)
 
 
+def cluster_by_asset(vectors: DataFrame, asset: str = "asset", order: str = "timestamp") -> DataFrame:
+    """Lay rows out by asset and time and keep them.
+
+    Range partitions stay even when one asset dominates, and a fit that filters
+    on its asset skips the cached batches of all others.
+    """
+    return vectors.repartitionByRange(asset, order).sortWithinPartitions(asset, order).persist()
+
+
 def kmeans_labels(
     vectors: DataFrame,
     keep: Sequence[str],

@@ -129,10 +129,13 @@ def masked_outliers(df: DataFrame, keys: Sequence[str], value: str, name: str =
 
 
 def shared_histogram(df: DataFrame, shared: str, series: str, value: str, bins: int = 100) -> DataFrame:
-    """Counts per bin; bin edges span the values of all series that share a variable."""
+    """Counts per bin; bin edges span the values of all series that share a variable.
+
+    The largest value belongs to the last bin; a constant variable fills the middle one.
+    """
     limits = df.groupBy(shared).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     share = (F.col(value) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    index = F.coalesce(F.least(F.floor(share * bins) + 1, F.lit(bins)), F.lit(1)).cast("int")
+    index = F.least(F.floor(F.coalesce(share, F.lit(0.5)) * bins) + 1, F.lit(bins)).cast("int")
     known = df.filter(F.col(value).isNotNull()).select(shared, series, value)
     binned = known.join(checked_broadcast(limits), shared).withColumn("bin", index)
     return binned.groupBy(shared, series, "bin").agg(F.count(F.lit(1)).alias("n"))

@@ -64,9 +64,13 @@ def _square(upper: np.ndarray, size: int) -> np.ndarray:
 
 
 def fit_grouped_ridge(
-    df: DataFrame, keys: Sequence[str], features: Sequence[str], label: str, alpha: float
+    df: DataFrame, keys: Sequence[str], features: Sequence[str], label: str, alphas: Sequence[float]
 ) -> DataFrame:
-    """Ridge with free intercept for every group: (keys, n, intercept, coef), from one aggregate."""
+    """Ridge with free intercept for every group and penalty: (keys, alpha, n, intercept, coef).
+
+    One aggregate serves all groups and penalties; only the moments, one small
+    row per group, reach the solver.
+    """
     keys = list(keys)
     size = len(features) + 1
     moments = grouped_covariance(df, keys, [*features, label])
@@ -74,16 +78,16 @@ def fit_grouped_ridge(
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            coefs, intercepts = [], []
-            for n, mean, cov in zip(rows["n"], rows["mean"], rows["cov"]):
-                scatter = _square(cov, size) * max(n - 1, 0)
-                left = scatter[:-1, :-1] + alpha * np.eye(size - 1)
-                coef = np.linalg.lstsq(left, scatter[:-1, -1], rcond=None)[0]
-                coefs.append(coef)
-                intercepts.append(mean[-1] - coef @ np.asarray(mean[:-1]))
-            yield rows[[*keys, "n"]].assign(intercept=intercepts, coef=coefs)
-
-    return moments.mapInPandas(solve, f"{fields}n bigint, intercept double, coef array<double>")
+            for row in rows.to_dict("records"):
+                mean = np.asarray(row["mean"], dtype=float)
+                scatter = _square(row["cov"], size) * max(row["n"] - 1, 0)
+                for alpha in alphas if row["n"] else ():
+                    left = scatter[:-1, :-1] + alpha * np.eye(size - 1)
+                    coef = np.linalg.lstsq(left, scatter[:-1, -1], rcond=None)[0]
+                    found = {"alpha": alpha, "n": row["n"], "intercept": mean[-1] - coef @ mean[:-1], "coef": [coef]}
+                    yield pd.DataFrame({k: row[k] for k in keys} | found, index=[0])
+
+    return moments.mapInPandas(solve, f"{fields}alpha double, n bigint, intercept double, coef array<double>")
 
 
 def predict_grouped(

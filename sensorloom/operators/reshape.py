@@ -138,15 +138,19 @@ class Grid:
         keys = [*self.series.columns, self.ts]
         return self.points().join(df.select(*keys, value), keys, "left")
 
-    def slices(self, rows_per_slice: int = SLICE_ROWS) -> Slices:
-        """Slices of the grid; every series has the same length, so nothing is scanned."""
+    def slices(self, rows_per_slice: int = SLICE_ROWS, keys: Sequence[str] | None = None) -> Slices:
+        """Slices of the grid; every series has the same length, so nothing is scanned.
+
+        `keys` may name fewer columns when they still identify one series each.
+        """
         n = self.points_per_series
-        keys = tuple(self.series.columns)
-        if n <= rows_per_slice:
-            return Slices(keys, self.ts, n_keys=self.n_series, n_rows=n * self.n_series)
-        bounds = {"_lo": self.first, "_hi": self.last, "_k": -(-n // rows_per_slice)}
-        coarse = self.series.withColumns({c: F.lit(v).cast("bigint") for c, v in bounds.items()})
-        return Slices(keys, self.ts, coarse, n_keys=self.n_series, n_rows=n * self.n_series)
+        keys = tuple(keys or self.series.columns)
+        coarse = None
+        if n > rows_per_slice:
+            bounds = {"_lo": self.first, "_hi": self.last, "_k": -(-n // rows_per_slice)}
+            coarse = self.series.select(*keys).distinct()
+            coarse = coarse.withColumns({c: F.lit(v).cast("bigint") for c, v in bounds.items()})
+        return Slices(keys, self.ts, coarse, n_keys=self.n_series, n_rows=n * self.n_series, n_longest=n)
 
 
 def step_grid(df: DataFrame, keys: Sequence[str], x: str, step: int) -> DataFrame:

@@ -53,6 +53,7 @@ class Slices:
     fine: DataFrame | None = None
     n_keys: int | None = None
     n_rows: int | None = None
+    n_longest: int | None = None
 
     @property
     def single(self) -> bool:
@@ -105,11 +106,11 @@ def plan_slices(
     """
     keys = list(keys)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    n_keys, n_rows, n_long = counts.agg(
-        F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0)), F.count_if(F.col("_n") > rows_per_slice)
+    n_keys, n_rows, n_longest = counts.agg(
+        F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))
     ).first()
-    if not n_long:
-        return Slices(tuple(keys), order, n_keys=n_keys, n_rows=n_rows)
+    if n_longest <= rows_per_slice:
+        return Slices(tuple(keys), order, n_keys=n_keys, n_rows=n_rows, n_longest=n_longest)
     x = order_number(df, order)
     spark = df.sparkSession
 
@@ -135,4 +136,4 @@ def plan_slices(
     first = Slices(tuple(keys), order, coarse)
     cut = first.add(base.drop("_x")).withColumn("_x", order_number(base, order))
     fine = bounds(cut, [*keys, "_slice"], 2 * rows_per_slice, "2")
-    return Slices(tuple(keys), order, coarse, fine, n_keys, n_rows)
+    return Slices(tuple(keys), order, coarse, fine, n_keys, n_rows, n_longest)

@@ -6,35 +6,52 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.operators.correlation import correlation_long
 from sensorloom.operators.ordered import cumulative_sum, positions
-from sensorloom.operators.sizing import Slices, plan_slices
+from sensorloom.operators.sizing import Slices, order_number, plan_slices
 
 POINTS_PER_TASK = 1 << 20
 
 
-def _centred(df: DataFrame, keys: Sequence[str], order: str, value: str, slices: Slices | None) -> DataFrame:
-    """Position `n` from 0, length `size` and deviation `dev` from the mean; missing rows are trimmed."""
-    known = df.filter(F.col(value).isNotNull()).select(*keys, order, F.col(value).cast("double").alias("_v"))
+def _centred(
+    df: DataFrame, keys: Sequence[str], order: str, value: str, slices: Slices | None, step: float | None
+) -> DataFrame:
+    """Position `n` from 0, length `size` and deviation `dev` from the mean; missing rows are trimmed.
+
+    On a regular grid (`step` in order units, microseconds for times) the
+    position follows from the order value, so nothing is sorted.
+    """
+    known = df.filter(F.col(value).isNotNull()).select(
+        *keys, order, order_number(df, order).alias("_x"), F.col(value).cast("double").alias("_v")
+    )
     slices = slices or plan_slices(known, keys, order)
-    stats = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), F.avg("_v").alias("_mean"))
-    placed = positions(known, keys, order, name="_pos", slices=slices)
+    stats = known.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("size"), F.avg("_v").alias("_mean"), F.min("_x").alias("_lo")
+    )
+    placed = known if step else positions(known, keys, order, name="_pos", slices=slices)
+    n = F.round((F.col("_x") - F.col("_lo")) / F.lit(step)) if step else F.col("_pos") - 1
     joined = placed.join(slices.per_key(stats), list(keys))
-    return joined.select(*keys, (F.col("_pos") - 1).alias("n"), "size", (F.col("_v") - F.col("_mean")).alias("dev"))
+    return joined.select(*keys, n.cast("bigint").alias("n"), "size", (F.col("_v") - F.col("_mean")).alias("dev"))
 
 
 def dft_magnitude(
-    df: DataFrame, keys: Sequence[str], order: str, value: str, k_max: int, slices: Slices | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    value: str,
+    k_max: int,
+    slices: Slices | None = None,
+    step: float | None = None,
 ) -> DataFrame:
     """Amplitudes of bins 0 .. k_max by direct summation, all in built-in expressions.
 
     Each reading meets a fixed number of bins and is summed on its own side of
     the shuffle, which then carries one row per series, bin and task.
     """
-    centred = _centred(df, keys, order, value, slices)
+    centred = _centred(df, keys, order, value, slices, step)
     bins = centred.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(k_max).cast("bigint"))))
     # The product is reduced modulo the length before it becomes an angle.
     angle = F.lit(2.0) * F.pi() * (F.col("k") * F.col("n") % F.col("size")) / F.col("size")
@@ -52,6 +69,7 @@ def fft_magnitude(
     value: str,
     points_per_task: int = POINTS_PER_TASK,
     slices: Slices | None = None,
+    step: float | None = None,
 ) -> DataFrame:
     """Amplitudes of all bins k = 0 .. size-1, with the length as `size`.
 
@@ -60,7 +78,7 @@ def fft_magnitude(
     root of the series.
     """
     keys = list(keys)
-    centred = _centred(df, keys, order, value, slices)
+    centred = _centred(df, keys, order, value, slices, step)
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys)
     schema = f"{fields}, k bigint, amp double, size bigint"
 
@@ -73,6 +91,8 @@ def fft_magnitude(
 
     is_long = F.col("size") > points_per_task
     short = centred.filter(~is_long).groupBy(*keys).applyInPandas(whole, schema)
+    if slices is not None and slices.n_longest is not None and slices.n_longest <= points_per_task:
+        return centred.groupBy(*keys).applyInPandas(whole, schema)
     if centred.filter(is_long).limit(1).isEmpty():
         return short
     return short.unionByName(_chirp_transform(centred.filter(is_long), keys))
@@ -87,7 +107,7 @@ def _chirp_transform(centred: DataFrame, keys: list[str]) -> DataFrame:
     m = F.ceil(F.log2(F.col("size") * 2 - 1)).cast("int")
     base = centred.withColumn("_m", m)
     half = F.pi() * ((F.col("n") * F.col("n")) % (F.col("size") * 2)) / F.col("size")
-    chirped = base.withColumns({"_cos": F.cos(half), "_sin": F.sin(half), "_len": F.shiftleft(F.lit(1).cast("bigint"), F.col("_m"))})
+    chirped = base.withColumns({"_cos": F.cos(half), "_sin": F.sin(half), "_len": _power_of_two(F.col("_m"))})
     # Signal a = x · conj(chirp); filter b = chirp, mirrored at the end of the padded range.
     signal = F.struct(
         F.col("n").alias("i"),
@@ -111,6 +131,10 @@ def _chirp_transform(centred: DataFrame, keys: list[str]) -> DataFrame:
     return back.select(*keys, F.col("i").alias("k"), amp.alias("amp"), "size")
 
 
+def _power_of_two(exponent: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), exponent)
+
+
 def _four_step(rows: DataFrame, keys: list[str], multiply: bool) -> DataFrame:
     """Length 2^m transform in two grouped stages with a twiddle factor between.
 
@@ -150,7 +174,7 @@ def _four_step(rows: DataFrame, keys: list[str], multiply: bool) -> DataFrame:
     def second_stage(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         return stage(key, part, False)
 
-    width = F.shiftleft(F.lit(1).cast("bigint"), F.col("_m") - F.floor(F.col("_m") / 2).cast("int"))
+    width = _power_of_two(F.ceil(F.col("_m") / 2).cast("int"))
     columns = [*keys, "size", "_m", "i", *pairs]
     lanes = rows.select(*columns, (F.col("i") % width).alias("_lane"))
     mixed = lanes.groupBy(*keys, "_lane").applyInPandas(first_stage, schema)

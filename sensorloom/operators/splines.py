@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.operators.ordered import interpolate_linear
+from sensorloom.operators.sizing import Slices
 
 
 def not_a_knot(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -79,5 +80,8 @@ def spline(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
 
 
 def linear_curve(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    """Linear counterpart of `spline` on an evenly spaced grid; NULL outside the known points."""
-    return interpolate_linear(df.select(*keys, x, y), keys, x, y, inside_only=True)
+    """Linear counterpart of `spline` on an evenly spaced grid; NULL outside the known points.
+
+    Curves have the same bound as there, so none is sliced.
+    """
+    return interpolate_linear(df.select(*keys, x, y), keys, x, y, inside_only=True, slices=Slices(tuple(keys), x))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import wraps
 
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +32,7 @@ QUERIES: dict[str, Query] = {}
 SERIES = ["asset", "variable"]
 CELL = ["asset", "fcast_day", "range"]
 BINS = 40
+HOUR_MICROS = roles.HOUR * 1_000_000
 TEST_DAYS = 5
 TRANSLATED_COLUMNS = sorted(f"{v}_{a}" for v in roles.TRANSLATIONS.values() for a in roles.ASSETS)
 SERIES_COLUMNS = sorted(f"{v}_{a}" for v in roles.VARIABLES for a in roles.ASSETS)
@@ -213,7 +213,7 @@ def missing_matrix(spark, sf):
 def gap_report(spark, sf):
     grid, table = _on_grid(spark, sf)
     inspected = table.filter(F.col("variable") == "click")
-    return quality.gap_report(inspected, "asset", "timestamp", "value", roles.HOUR)
+    return quality.gap_report(inspected, "asset", "timestamp", "value", roles.HOUR, grid.slices(keys=["asset"]))
 
 
 @query
@@ -302,7 +302,7 @@ def correlation_by_asset(spark, sf):
 def _spectrum(spark, sf) -> tuple[Slices, DataFrame]:
     """Spectra of a fixed number of bins, so a series never needs more than one slice."""
     grid, filled = _filled(spark, sf)
-    spectrum = spectral.dft_magnitude(filled, SERIES, "timestamp", "value", BINS, slices=grid.slices())
+    spectrum = spectral.dft_magnitude(filled, SERIES, "timestamp", "value", BINS, grid.slices(), HOUR_MICROS)
     return Slices(tuple(SERIES), "k", n_keys=grid.n_series), spectrum
 
 
@@ -314,7 +314,9 @@ def dft_magnitude(spark, sf):
 @query
 def fft_magnitude(spark, sf):
     grid, filled = _filled(spark, sf)
-    spectrum = spectral.fft_magnitude(filled, SERIES, "timestamp", "value", slices=grid.slices())
+    spectrum = spectral.fft_magnitude(
+        filled, SERIES, "timestamp", "value", slices=grid.slices(), step=HOUR_MICROS
+    )
     centred = spectral.centre_spectrum(spectrum, roles.HOUR)
     return rounded(centred, "amp").withColumn("freq", F.round("freq", 12))
 
@@ -343,7 +345,7 @@ def quadrature_demo(spark, sf):
     placed = ordered.positions(grid.points(), ["asset"], "timestamp", slices=grid.slices())
     waves = spectral.quadrature_pair(placed, ["asset"], "pos", 1 / 25)
     in_time = correlation.correlation_long(waves, "pos", "variable", "value", within="asset")
-    spectrum = spectral.dft_magnitude(waves, SERIES, "pos", "value", BINS)
+    spectrum = spectral.dft_magnitude(waves, SERIES, "pos", "value", BINS, grid.slices(), 1)
     in_bins = spectral.spectral_correlation(spectrum)
     both = in_time.withColumn("domain", F.lit("time")).unionByName(in_bins.withColumn("domain", F.lit("spectrum")))
     return rounded(both.filter(F.col("var_a") != F.col("var_b")), "corr")
@@ -436,7 +438,7 @@ def _blend(spark, sf) -> DataFrame:
     slim = raw.select("asset", "timestamp", "fcast_day", "WNACWindSpeed")
     joined = forecast.forecast_join(slim, fcast.filter(F.col("WNACWindSpeed_fcast").isNotNull()))
     blended = F.col("WNACWindSpeed_fcast") * BLEND[0] + F.coalesce("WNACWindSpeed", F.lit(0.0)) * BLEND[1]
-    return forecast.latest_prediction(joined.withColumn("pred_WTURPower", blended))
+    return forecast.latest_prediction(joined.withColumn("pred_WTURPower", blended)).persist()
 
 
 @query
@@ -476,15 +478,9 @@ def ridge_gram(spark, sf):
 @query
 def ridge_fit(spark, sf):
     lines = roles.table(spark, sf, "lineitem").select(*LINE_FEATURES, "l_extendedprice")
-    data = VectorAssembler(inputCols=LINE_FEATURES, outputCol="features", handleInvalid="skip").transform(lines)
-    data = data.select("features", "l_extendedprice").persist()
-    fits = []
-    for alpha in ALPHAS:
-        model = regression.ridge(data, "l_extendedprice", alpha).fit(data)
-        fits.append((alpha, float(model.intercept), *[float(c) for c in model.coefficients]))
-    data.unpersist()
-    out = spark.createDataFrame(fits, "alpha double, intercept double, quantity double, discount double, tax double")
-    return rounded(out, "intercept", "quantity", "discount", "tax", digits=4)
+    model = regression.fit_grouped_ridge(lines, [], LINE_FEATURES, "l_extendedprice", ALPHAS)
+    weights = [F.col("coef")[i].alias(c) for i, c in enumerate(["quantity", "discount", "tax"])]
+    return rounded(model.select("alpha", "intercept", *weights), "intercept", "quantity", "discount", "tax", digits=4)
 
 
 def _power_table(spark, sf) -> DataFrame:
@@ -496,7 +492,7 @@ def _power_table(spark, sf) -> DataFrame:
 def grouped_ridge(spark, sf):
     table = _power_table(spark, sf)
     features = ["WTURPower", "range", "WNACWindSpeed_fcast"]
-    model = regression.fit_grouped_ridge(table, ["asset"], features, "true_WTURPower", 1.0)
+    model = regression.fit_grouped_ridge(table, ["asset"], features, "true_WTURPower", [1.0])
     out = model.select(
         "asset", "n", "intercept", *[F.col("coef")[i].alias(f"w{i + 1}") for i in range(len(features))]
     )
@@ -507,7 +503,7 @@ def grouped_ridge(spark, sf):
 def grouped_ridge_predictions(spark, sf):
     table = _power_table(spark, sf)
     features = ["WTURPower", "range", "WNACWindSpeed_fcast"]
-    model = regression.fit_grouped_ridge(table, ["asset"], features, "true_WTURPower", 1.0)
+    model = regression.fit_grouped_ridge(table, ["asset"], features, "true_WTURPower", [1.0])
     predicted = regression.predict_grouped(table, model, ["asset"], features, "pred_WTURPower")
     return rounded(forecast.latest_prediction(predicted), "pred_WTURPower")
 
@@ -563,24 +559,25 @@ def nonlinear_fit(spark, sf):
 
 
 def _vectors(spark, sf) -> DataFrame:
-    return clustering.sensor_vectors(_complete(spark, sf), roles.SENSOR_COLUMNS).select("asset", "timestamp", "features")
+    vectors = clustering.sensor_vectors(_complete(spark, sf), roles.SENSOR_COLUMNS)
+    return clustering.cluster_by_asset(vectors.select("asset", "timestamp", "features"))
 
 
 @query
 def kmeans_labels(spark, sf):
-    vectors = _vectors(spark, sf).persist()
+    vectors = _vectors(spark, sf)
     return clustering.kmeans_labels(vectors, ["asset", "timestamp"], assets=roles.ASSETS).drop("features")
 
 
 @query
 def silhouette_sweep(spark, sf):
-    vectors = _vectors(spark, sf).filter(F.col("asset") == roles.ASSETS[0]).persist()
+    vectors = _vectors(spark, sf).filter(F.col("asset") == roles.ASSETS[0])
     return rounded(clustering.silhouette_sweep(vectors), "silhouette")
 
 
 @query
 def state_projection_2d(spark, sf):
-    vectors = _vectors(spark, sf).persist()
+    vectors = _vectors(spark, sf)
     labelled = clustering.kmeans_labels(vectors, ["asset", "timestamp"], assets=roles.ASSETS)
     return rounded(clustering.state_projection(labelled, ["asset", "timestamp"]), "x", "y")
 

@@ -266,7 +266,7 @@ def oracle_sql() -> dict[str, str]:
             "SELECT event_id, asset, variable, CASE WHEN is_outlier THEN value END AS masked FROM flags",
         ),
         "shared_histogram": _with(
-            """SELECT variable, asset, CAST(coalesce(least(floor((value - lo) / nullif(hi - lo, 0) * 100) + 1, 100), 1) AS INTEGER) AS bin,
+            """SELECT variable, asset, CAST(least(floor(coalesce((value - lo) / nullif(hi - lo, 0), 0.5) * 100) + 1, 100) AS INTEGER) AS bin,
             count(*) AS n FROM (SELECT *, min(value) OVER (PARTITION BY variable) AS lo,
             max(value) OVER (PARTITION BY variable) AS hi FROM tel) GROUP BY 1, 2, 3""",
             "tel",
