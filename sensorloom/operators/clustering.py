@@ -21,15 +21,6 @@ def sensor_vectors(df: DataFrame, inputs: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(inputs), outputCol="features", handleInvalid="skip").transform(df)
 
 
-def cluster_by_asset(vectors: DataFrame, asset: str = "asset", order: str = "timestamp") -> DataFrame:
-    """Lay rows out by asset and time and keep them.
-
-    Range partitions stay even when one asset dominates, and a fit that filters
-    on its asset skips the cached batches of all others.
-    """
-    return vectors.repartitionByRange(asset, order).sortWithinPartitions(asset, order).persist()
-
-
 def kmeans_labels(
     vectors: DataFrame,
     keep: Sequence[str],
@@ -37,7 +28,7 @@ def kmeans_labels(
     assets: Sequence[str] | None = None,
     k: int = 8,
     seed: int = 7,
-    parallelism: int = 4,
+    parallelism: int = 8,
 ) -> DataFrame:
     """Cluster label per row, with one distributed k-means per asset on unscaled sensors."""
     assets = list(assets) if assets is not None else column_values(vectors, asset, MODELS_ON_DRIVER)
@@ -55,7 +46,7 @@ def kmeans_labels(
     return out
 
 
-def silhouette_sweep(vectors: DataFrame, ks: Sequence[int] = range(2, 15), seed: int = 7, parallelism: int = 4) -> DataFrame:
+def silhouette_sweep(vectors: DataFrame, ks: Sequence[int] = range(2, 15), seed: int = 7, parallelism: int = 8) -> DataFrame:
     """Mean silhouette (squared Euclidean, linear in the rows) for each number of clusters."""
     scorer = ClusteringEvaluator(featuresCol="features", predictionCol="label", distanceMeasure="squaredEuclidean")
 

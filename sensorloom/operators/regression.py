@@ -260,12 +260,13 @@ def fit_per_asset(
     fit: Callable[[DataFrame], Any],
     asset: str = "asset",
     assets: Sequence[str] | None = None,
-    parallelism: int = 4,
+    parallelism: int = 8,
 ) -> dict[str, Any]:
     """A model per asset, each fitted by distributed jobs.
 
     Fits run a few at a time. This suits fleets up to `MODELS_ON_DRIVER`;
-    beyond that `fit_grouped_ridge` fits every asset in one aggregate.
+    beyond that `fit_grouped_ridge` fits every asset in one aggregate. Stage
+    the table by asset first, so that each fit reads its own row groups only.
     """
     assets = list(assets) if assets is not None else column_values(df, asset, MODELS_ON_DRIVER)
     with ThreadPool(parallelism) as pool:

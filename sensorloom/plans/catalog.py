@@ -25,6 +25,7 @@ from sensorloom.operators.sizing import Slices
 from sensorloom.plans import flows
 from sensorloom.session import apply_settings
 from sensorloom.sources import roles
+from sensorloom.sources.staging import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -269,7 +270,7 @@ def _filled(spark, sf) -> tuple[reshape.Grid, DataFrame]:
 
 @query
 def linear_interpolate(spark, sf):
-    return rounded(_filled(spark, sf)[1], "value")
+    return rounded(_filled(spark, sf)[1], "value", digits=8)
 
 
 @query
@@ -516,8 +517,8 @@ def _complete(spark, sf) -> DataFrame:
 
 def _learning(spark, sf) -> tuple[DataFrame, list[str]]:
     raw, fcast = _complete(spark, sf), roles.forecasts(roles.hourly(spark, sf, reused=True))
-    table = forecast.training_table(raw, fcast)
-    return table.na.drop("any"), regression.feature_columns(table)
+    table = forecast.training_table(raw, fcast).na.drop("any")
+    return stage(table, ["asset", "timestamp"]), regression.feature_columns(table)
 
 
 @query
@@ -539,7 +540,6 @@ def grid_search_scores(spark, sf):
 @query
 def per_asset_predictions(spark, sf):
     table, inputs = _learning(spark, sf)
-    table = table.persist()
 
     def fit(train: DataFrame):
         return regression.fit_pipeline(train, inputs, "true_WTURPower", lambda t: regression.affine(t, "true_WTURPower", 1e-3))
@@ -559,8 +559,9 @@ def nonlinear_fit(spark, sf):
 
 
 def _vectors(spark, sf) -> DataFrame:
-    vectors = clustering.sensor_vectors(_complete(spark, sf), roles.SENSOR_COLUMNS)
-    return clustering.cluster_by_asset(vectors.select("asset", "timestamp", "features"))
+    complete = _complete(spark, sf).select("asset", "timestamp", *roles.SENSOR_COLUMNS)
+    staged = stage(complete, ["asset", "timestamp"])
+    return clustering.sensor_vectors(staged, roles.SENSOR_COLUMNS).select("asset", "timestamp", "features")
 
 
 @query

@@ -275,7 +275,7 @@ def oracle_sql() -> dict[str, str]:
         "dropna_any": _with(f"SELECT asset, {_LABEL}, {sensors} FROM raw WHERE {present}", "raw"),
         "drop_null_columns": _with(f"SELECT asset, {_LABEL}, day, fcast_day FROM raw", "raw"),
         "linear_interpolate": _with(
-            f"SELECT asset, variable, {_LABEL}, round(value, 6) AS value FROM filled", "filled"
+            f"SELECT asset, variable, {_LABEL}, round(value, 8) AS value FROM filled", "filled"
         ),
         "union_by_name": """SELECT o_orderkey AS "key", o_orderdate AS "timestamp", o_totalprice AS value, NULL::DOUBLE AS quantity
             FROM orders UNION ALL SELECT l_orderkey, l_shipdate, l_extendedprice, l_quantity FROM lineitem""",

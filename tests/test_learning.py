@@ -5,6 +5,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from sensorloom.operators import clustering, regression
+from sensorloom.sources.staging import stage, staging_folder
 
 
 def closed_form(x, y, alpha):
@@ -87,7 +88,7 @@ def test_states_are_found_and_projected(spark):
             centre = np.array([0.0, 0.0, 0.0]) + 20 * (i % 3)
             rows.append((asset, i, *map(float, centre + rng.normal(size=3))))
     df = spark.createDataFrame(rows, "asset string, timestamp int, x double, y double, z double")
-    vectors = clustering.cluster_by_asset(clustering.sensor_vectors(df, ["x", "y", "z"]))
+    vectors = clustering.sensor_vectors(stage(df, ["asset", "timestamp"]), ["x", "y", "z"])
     out = clustering.kmeans_labels(vectors, ["asset", "timestamp"], k=3).toPandas()
     for _, one in out.groupby("asset"):
         assert one.groupby(one.timestamp % 3).label.nunique().eq(1).all() and one.label.nunique() == 3
@@ -96,3 +97,11 @@ def test_states_are_found_and_projected(spark):
     labelled = clustering.kmeans_labels(vectors, ["asset", "timestamp"], k=3)
     flat = clustering.state_projection(labelled, ["asset", "timestamp"]).toPandas()
     assert flat.x.var() > flat.y.var() and abs(flat.x.mean()) < 1e-6
+
+
+def test_staged_tables_go_to_the_shared_folder(spark):
+    folder = staging_folder(spark)
+    assert folder == (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
+    df = stage(spark.range(10), ["id"])
+    assert df.count() == 10
+    assert all(f.split(":", 1)[1].lstrip("/").startswith(folder.split(":", 1)[-1].lstrip("/")) for f in df.inputFiles())
