@@ -77,26 +77,35 @@ def trailing_avg_time(
     value: str,
     seconds: int = 600,
     name: str = "ma",
-    slices: Slices | None = None,
 ) -> DataFrame:
-    """Average over the half-open span (ts - seconds, ts]."""
+    """Average over the half-open span (ts - seconds, ts].
+
+    Time is cut into blocks as long as the span, so a span is the end of one
+    block plus the start of the next. Every reading joins its own block, and
+    the following one at the moment it leaves the span. Two running sums then
+    give each average, without a sliding frame whose cost grows with the
+    density of the readings. Work is spread over (series, block).
+    """
     micros = seconds * 1_000_000
-    slices = slices or plan_slices(df, keys, ts, min_width=micros)
-    x = order_number(df, ts)
-    numbered = df.withColumn("_us", x)
-    if slices.single:
-        frame = Window.partitionBy(*keys).orderBy("_us").rangeBetween(-(micros - 1), 0)
-        return numbered.withColumn(name, F.avg(value).over(frame)).drop("_us")
-    # Every slice is at least one span wide: a reading can matter to its own slice and the next.
-    home = slices.add(numbered, F.col("_us"), "_home")
-    reach = slices.add(home, F.col("_us") + (micros - 1), "_reach")
-    copies = reach.withColumn("_slice", F.explode(F.array_distinct(F.array("_home", "_reach"))))
-    frame = Window.partitionBy(*keys, "_slice").orderBy("_us").rangeBetween(-(micros - 1), 0)
-    return (
-        copies.withColumn(name, F.avg(value).over(frame))
-        .filter(F.col("_slice") == F.col("_home"))
-        .select(*df.columns, name)
+    x, v = order_number(df, ts), F.col(value).cast("double")
+    block = F.floor(x / micros)
+    own = F.struct(block.alias("block"), x.alias("t"), F.lit(0).alias("old"), v.alias("new_v"), F.lit(None).cast("double").alias("old_v"))
+    leaving = F.struct((block + 1).alias("block"), (x + micros).alias("t"), F.lit(1).alias("old"), F.lit(None).cast("double").alias("new_v"), v.alias("old_v"))
+    copies = df.withColumn("_e", F.explode(F.array(own, leaving))).select(*df.columns, "_e.*")
+    part = Window.partitionBy(*keys, "block")
+    started = part.orderBy("t").rangeBetween(*_UP_TO_HERE)
+    # Seen from the end, readings that leave later come first; one leaving right now is out.
+    remaining = part.orderBy(F.col("t").desc(), "old").rowsBetween(*_UP_TO_HERE)
+    sums = copies.select(
+        "*",
+        F.sum("new_v").over(started).alias("_new"),
+        F.count("new_v").over(started).alias("_n_new"),
+        F.sum("old_v").over(remaining).alias("_old"),
+        F.count("old_v").over(remaining).alias("_n_old"),
     )
+    total = F.coalesce(F.col("_new"), F.lit(0.0)) + F.coalesce(F.col("_old"), F.lit(0.0))
+    average = total / F.nullif(F.col("_n_new") + F.col("_n_old"), F.lit(0))
+    return sums.filter(F.col("old") == 0).select(*df.columns, average.alias(name))
 
 
 def positions(

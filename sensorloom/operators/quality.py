@@ -45,10 +45,10 @@ def missing_matrix(df: DataFrame, variable: str, asset: str, ts: str, value: str
     total = df.select(ts).distinct().agg(F.count(F.lit(1)).alias("_total"))
     present = df.groupBy(variable, asset).agg(F.count_distinct(F.when(F.col(value).isNotNull(), F.col(ts))).alias("_n"))
     assets = list(assets) if assets is not None else column_values(df, asset)
-    wide = present.groupBy(variable).pivot(asset, assets).agg(F.first("_n"))
-    n = total.scalar()
+    wide = present.withColumn("_total", total.scalar()).groupBy(variable, "_total").pivot(asset, assets).agg(F.first("_n"))
     return wide.select(
-        variable, *[(n - F.coalesce(F.col(f"`{a}`"), F.lit(0))).cast("bigint").alias(a) for a in assets]
+        variable,
+        *[(F.col("_total") - F.coalesce(F.col(f"`{a}`"), F.lit(0))).cast("bigint").alias(a) for a in assets],
     )
 
 

@@ -55,13 +55,16 @@ def pivot_wide(
     """One row per `row` key and one column per value of `column`.
 
     With `values` given nothing is scanned to find the columns. Rows whose
-    column name is NULL are dropped.
+    column name is NULL are dropped. Readings are first reduced to one per
+    cell, which bounds a row key by the number of columns; the cells then move
+    to their row as narrow records, so no half-empty wide row is ever shuffled.
     """
     row = [row] if isinstance(row, str) else list(row)
     values = column_values(df, column) if values is None else list(values)
     known = df.filter(F.col(column).isNotNull()).select(*row, column, value)
     aggregate = {"min": F.min, "max": F.max, "mean": F.avg, "sum": F.sum}[how]
-    return known.groupBy(*row).pivot(column, values).agg(aggregate(value))
+    cells = known.groupBy(*row, column).agg(aggregate(value).alias(value)).repartition(*row)
+    return cells.groupBy(*row).pivot(column, values).agg(F.first(value))
 
 
 def wide_to_long(wide: DataFrame, index: Sequence[str] | str, suffix: int = 4) -> DataFrame:
@@ -145,12 +148,19 @@ class Grid:
         """
         n = self.points_per_series
         keys = tuple(keys or self.series.columns)
-        coarse = None
+        levels = ()
         if n > rows_per_slice:
-            bounds = {"_lo": self.first, "_hi": self.last, "_k": -(-n // rows_per_slice)}
-            coarse = self.series.select(*keys).distinct()
-            coarse = coarse.withColumns({c: F.lit(v).cast("bigint") for c, v in bounds.items()})
-        return Slices(keys, self.ts, coarse, n_keys=self.n_series, n_rows=n * self.n_series, n_longest=n)
+            cuts = -(-n // rows_per_slice)
+            level = self.series.select(*keys).distinct().withColumns(
+                {
+                    "_slice": F.lit(0).cast("bigint"),
+                    "_lo": F.lit(float(self.first)),
+                    "_width": F.lit((self.last - self.first) / cuts),
+                    "_cuts": F.lit(cuts).cast("bigint"),
+                }
+            )
+            levels = (level,)
+        return Slices(keys, self.ts, levels, n_keys=self.n_series, n_rows=n * self.n_series, n_longest=n)
 
 
 def step_grid(df: DataFrame, keys: Sequence[str], x: str, step: int) -> DataFrame:

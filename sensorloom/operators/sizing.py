@@ -7,7 +7,7 @@ and whether a series is so long that one task must not order it alone.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +15,10 @@ from pyspark.sql import types as T
 
 BROADCAST_ROWS = 100_000
 SLICE_ROWS = 4_000_000
-_SUBSLICES = 1 << 16
+# A long key gets this many slices per SLICE_ROWS, so an uneven spread still leaves even tasks.
+_OVERCUT = 16
+_LEVELS = 3
+_MAX_CUTS = 1 << 16
 
 
 def checked_broadcast(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -42,15 +45,14 @@ def order_number(df: DataFrame, order: str) -> Column:
 class Slices:
     """Cut of long series into ordered slices of bounded size.
 
-    `coarse` holds one row per long key and `fine` one row per slice that was
-    still too full; both have at most (rows / rows per slice) rows. Short keys
-    are absent and live in slice 0.
+    The first level holds one row per long key, each further level one row per
+    slice that was still too full; every level has at most (rows / rows per
+    slice) rows. Short keys are absent and live in slice 0.
     """
 
     keys: tuple[str, ...]
     order: str
-    coarse: DataFrame | None = None
-    fine: DataFrame | None = None
+    levels: tuple[DataFrame, ...] = ()
     n_keys: int | None = None
     n_rows: int | None = None
     n_longest: int | None = None
@@ -58,7 +60,7 @@ class Slices:
     @property
     def single(self) -> bool:
         """True when no series is long, so plain windows per key are enough."""
-        return self.coarse is None
+        return not self.levels
 
     def per_key(self, table: DataFrame) -> DataFrame:
         """Hint a table with one row per key for broadcast if the measured key count allows it."""
@@ -66,74 +68,51 @@ class Slices:
             return checked_broadcast(table)
         return F.broadcast(table) if self.n_keys <= BROADCAST_ROWS else table
 
-    def add(self, df: DataFrame, x: Column | None = None, name: str = "_slice") -> DataFrame:
-        """Attach the ordered slice number of the order value (or of `x`)."""
-        if self.coarse is None:
+    def add(self, df: DataFrame, name: str = "_slice") -> DataFrame:
+        """Attach the number of the slice, ordered like the series."""
+        if self.single:
             return df.withColumn(name, F.lit(0).cast("bigint"))
-        columns = df.columns
-        x = order_number(df, self.order) if x is None else x
-        out = df.withColumn("_x", x).join(F.broadcast(self.coarse), list(self.keys), "left")
-        out = out.withColumn(name, _bin("_lo", "_hi", "_k"))
-        if self.fine is not None:
-            fine = self.fine.withColumnRenamed("_slice", name)
-            out = out.join(F.broadcast(fine), [*self.keys, name], "left")
-            out = out.withColumn(name, F.col(name) * _SUBSLICES + _bin("_lo2", "_hi2", "_k2"))
-        return out.select(*columns, name)
-
-
-def _bin(lo: str, hi: str, k: str) -> Column:
-    """Equal-width bin of `_x` clamped to 0 .. k-1; 0 where no bounds were attached."""
-    width = F.nullif((F.col(hi) - F.col(lo)).cast("double") / F.col(k), F.lit(0.0))
-    index = F.floor((F.col("_x") - F.col(lo)).cast("double") / width)
-    clamped = F.greatest(F.least(index, F.col(k) - 1), F.lit(0).cast("bigint"))
-    return F.coalesce(clamped, F.lit(0).cast("bigint"))
-
-
-def plan_slices(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    rows_per_slice: int = SLICE_ROWS,
-    min_width: float = 0.0,
-) -> Slices:
+        out = df.withColumns({"_x": order_number(df, self.order), "_slice": F.lit(0).cast("bigint")})
+        for level in self.levels:
+            out = out.join(F.broadcast(level), [*self.keys, "_slice"], "left")
+            inner = F.floor((F.col("_x") - F.col("_lo")) / F.col("_width"))
+            clamped = F.greatest(F.least(inner, F.col("_cuts") - 1), F.lit(0).cast("bigint"))
+            number = F.col("_slice") * _MAX_CUTS + F.coalesce(clamped, F.lit(0).cast("bigint"))
+            out = out.withColumn("_slice", number).drop("_lo", "_width", "_cuts")
+        return out.select(*df.columns, F.col("_slice").alias(name))
+
+
+def plan_slices(df: DataFrame, keys: Sequence[str], order: str, rows_per_slice: int = SLICE_ROWS) -> Slices:
     """Measure the series and cut those longer than `rows_per_slice`.
 
     One aggregate over the keys tells how many there are and whether any is
     long; only then the bounds of long keys are fetched, at most
     (rows / rows_per_slice) rows. Slices left too full by an uneven spread are
-    cut once more between their own bounds. `min_width` keeps every slice at
-    least that wide in order units.
+    cut again between their own bounds.
     """
     keys = list(keys)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     n_keys, n_rows, n_longest = counts.agg(
         F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))
     ).first()
+    found = Slices(tuple(keys), order, (), n_keys, n_rows, n_longest)
     if n_longest <= rows_per_slice:
-        return Slices(tuple(keys), order, n_keys=n_keys, n_rows=n_rows, n_longest=n_longest)
-    x = order_number(df, order)
-    spark = df.sparkSession
-
-    def bounds(frame: DataFrame, by: list[str], limit: int, suffix: str) -> DataFrame | None:
-        stats = frame.groupBy(*by).agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.min("_x").alias(f"_lo{suffix}"),
-            F.max("_x").alias(f"_hi{suffix}"),
-        )
-        span = (F.col(f"_hi{suffix}") - F.col(f"_lo{suffix}")).cast("double")
-        k = F.ceil(F.col("_n") / F.lit(rows_per_slice))
-        if min_width:
-            k = F.greatest(F.least(k, F.floor(span / F.lit(float(min_width)))), F.lit(1).cast("bigint"))
-        wanted = stats.filter(F.col("_n") > limit).withColumn(
-            f"_k{suffix}", F.least(k, F.lit(_SUBSLICES - 1)).cast("bigint")
+        return found
+    base = df.select(*keys, order)
+    for _ in range(_LEVELS):
+        placed = found.add(base).withColumn("_x", order_number(base, order))
+        stats = placed.groupBy(*keys, "_slice").agg(
+            F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")
         )
-        wanted = wanted.drop("_n")
-        table = wanted.toArrow()
-        return spark.createDataFrame(table, schema=wanted.schema) if table.num_rows else None
-
-    base = df.select(*keys, order, x.alias("_x"))
-    coarse = bounds(base, keys, rows_per_slice, "")
-    first = Slices(tuple(keys), order, coarse)
-    cut = first.add(base.drop("_x")).withColumn("_x", order_number(base, order))
-    fine = bounds(cut, [*keys, "_slice"], 2 * rows_per_slice, "2")
-    return Slices(tuple(keys), order, coarse, fine, n_keys, n_rows, n_longest)
+        cuts = F.least(F.ceil(F.col("_n") / rows_per_slice) * _OVERCUT, F.lit(_MAX_CUTS)).cast("bigint")
+        width = (F.col("_hi") - F.col("_lo")).cast("double") / F.col("_cuts")
+        # Equal order values cannot be cut, so a full slice of one value stays.
+        full = stats.filter((F.col("_n") > rows_per_slice) & (F.col("_hi") > F.col("_lo")))
+        level = full.withColumn("_cuts", cuts).withColumn("_width", width)
+        level = level.select(*keys, "_slice", F.col("_lo").cast("double").alias("_lo"), "_width", "_cuts")
+        table = level.toArrow()
+        if not table.num_rows:
+            break
+        fetched = df.sparkSession.createDataFrame(table, schema=level.schema)
+        found = replace(found, levels=(*found.levels, fetched))
+    return found

@@ -26,10 +26,7 @@ def smooth_and_widen(
     Readings whose variable has no translation are dropped before the pivot.
     """
     smoothed = ordered.trailing_avg(telemetry, ["asset", "variable"], "timestamp", "value", rows, tiebreak)
-    sampled = sampling.clock_sample(smoothed, "timestamp", minute_mod, second)
-    named = reshape.with_series_id(reshape.translate(sampled, dictionary)).filter(F.col("id").isNotNull())
-    cells = named.select("id", time_text(F.col("timestamp")).alias("timestamp"), F.round("ma", 6).alias("value"))
-    return reshape.pivot_wide(cells, "timestamp", "id", "value", columns).orderBy("timestamp")
+    return _widen(sampling.clock_sample(smoothed, "timestamp", minute_mod, second), dictionary, columns)
 
 
 def resample_and_widen(
@@ -37,9 +34,16 @@ def resample_and_widen(
 ) -> DataFrame:
     """The same wide table from the time form of the average: grouped sums instead of a sort."""
     sampled = sampling.resample_right_closed(telemetry, ["asset", "variable"], "timestamp", "value", step)
+    return _widen(sampled, dictionary, columns)
+
+
+def _widen(sampled: DataFrame, dictionary: DataFrame, columns: Sequence[str] | None) -> DataFrame:
+    """Translate, round and pivot `ma`; times are whole seconds and become text last."""
     named = reshape.with_series_id(reshape.translate(sampled, dictionary)).filter(F.col("id").isNotNull())
-    cells = named.select("id", time_text(F.col("timestamp")).alias("timestamp"), F.round("ma", 6).alias("value"))
-    return reshape.pivot_wide(cells, "timestamp", "id", "value", columns).orderBy("timestamp")
+    second = F.date_trunc("second", F.col("timestamp"))
+    cells = named.select("id", second.alias("timestamp"), F.round("ma", 6).alias("value"))
+    wide = reshape.pivot_wide(cells, "timestamp", "id", "value", columns).orderBy("timestamp")
+    return wide.withColumn("timestamp", time_text(F.col("timestamp")))
 
 
 def wide_history(filled: DataFrame, columns: Sequence[str], name: str = "sensor") -> DataFrame:

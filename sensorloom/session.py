@@ -26,6 +26,7 @@ def local_session(cores: str = "8", memory: str = "20g") -> SparkSession:
         .appName("sensorloom")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", cores)
     )
     for name, value in SETTINGS.items():
