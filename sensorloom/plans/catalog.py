@@ -410,13 +410,13 @@ def days_except(spark, sf):
 @query
 def forecast_error_field(spark, sf):
     field = forecast.error_field(_truth(spark, sf), "true_WNACWindSpeed", "WNACWindSpeed_fcast")
-    return rounded(field, "true_mean", "pred_mean", "delta")
+    return rounded(field, "true_mean", "pred_mean", "delta", digits=8)
 
 
 @query
 def error_stats_by_range(spark, sf):
     stats = forecast.error_stats(_truth(spark, sf), "true_WNACWindSpeed", "WNACWindSpeed_fcast")
-    return rounded(stats, "mean", "std", "min", "max", "p25", "p50", "p75", "mean_plus_std")
+    return rounded(stats, "mean", "std", "min", "max", "p25", "p50", "p75", "mean_plus_std", digits=8)
 
 
 @query

@@ -343,15 +343,15 @@ def oracle_sql() -> dict[str, str]:
             "SELECT DISTINCT fcast_day FROM fcast WHERE fcast_day NOT IN (SELECT fcast_day FROM picked)", "picked"
         ),
         "forecast_error_field": _with(
-            """SELECT fcast_day, "range", round(avg(true_WNACWindSpeed), 6) AS true_mean, round(avg(WNACWindSpeed_fcast), 6) AS pred_mean,
-            round(abs(avg(true_WNACWindSpeed) - avg(WNACWindSpeed_fcast)), 6) AS delta FROM truth GROUP BY 1, 2""",
+            """SELECT fcast_day, "range", round(avg(true_WNACWindSpeed), 8) AS true_mean, round(avg(WNACWindSpeed_fcast), 8) AS pred_mean,
+            round(abs(avg(true_WNACWindSpeed) - avg(WNACWindSpeed_fcast)), 8) AS delta FROM truth GROUP BY 1, 2""",
             "truth",
         ),
         "error_stats_by_range": _with(
-            """SELECT "range", count(d) AS "count", round(avg(d), 6) AS mean, round(stddev_samp(d), 6) AS std,
-            round(min(d), 6) AS "min", round(max(d), 6) AS "max", round(quantile_cont(d, 0.25), 6) AS p25,
-            round(quantile_cont(d, 0.5), 6) AS p50, round(quantile_cont(d, 0.75), 6) AS p75,
-            round(avg(d) + stddev_samp(d), 6) AS mean_plus_std
+            """SELECT "range", count(d) AS "count", round(avg(d), 8) AS mean, round(stddev_samp(d), 8) AS std,
+            round(min(d), 8) AS "min", round(max(d), 8) AS "max", round(quantile_cont(d, 0.25), 8) AS p25,
+            round(quantile_cont(d, 0.5), 8) AS p50, round(quantile_cont(d, 0.75), 8) AS p75,
+            round(avg(d) + stddev_samp(d), 8) AS mean_plus_std
             FROM (SELECT fcast_day, "range", abs(avg(true_WNACWindSpeed) - avg(WNACWindSpeed_fcast)) AS d FROM truth GROUP BY 1, 2)
             GROUP BY 1""",
             "truth",
