@@ -28,16 +28,19 @@ def correlation_long(
 ) -> DataFrame:
     """|corr| and number of complete pairs for every pair of series, `var_a <= var_b`.
 
-    One reading per (within, time, id) is expected. Times are spread by hash
-    into groups of bounded size; a group turns into a small time × series
+    Readings are first reduced to their mean per (within, time, id), which
+    bounds a time by the number of series and needs no shuffle after a grouping
+    by the same columns. Times are then spread by hash into groups of bounded size; a group turns into a small time × series
     matrix whose cross products give partial sums for all pairs at once, so
     pairs of readings never become rows. The partial sums, one row per pair and
     group, are then added up. Many series are cut into tiles of
     `series_per_tile`, one group per pair of tiles.
     """
     within = [within] if isinstance(within, str) else list(within or [])
-    cells = df.filter(F.col(value).isNotNull()).select(
-        *within, F.col(time).alias("_t"), F.col(id).cast("string").alias("_id"), F.col(value).cast("double").alias("_v")
+    cells = (
+        df.filter(F.col(value).isNotNull())
+        .groupBy(*within, F.col(time).alias("_t"), F.col(id).cast("string").alias("_id"))
+        .agg(F.avg(value).alias("_v"))
     )
     sizes = cells.groupBy(*within, "_id").agg(F.avg("_v").alias("_mean"), F.count(F.lit(1)).alias("_cells"))
     sizes = checked_broadcast(sizes)

@@ -166,6 +166,8 @@ class Grid:
 def step_grid(df: DataFrame, keys: Sequence[str], x: str, step: int) -> DataFrame:
     """Every `step` between the smallest and largest `x` of the whole table, for every key."""
     lo, hi = df.agg(F.min(x), F.max(x)).first()
+    if lo is None:
+        return df.select(*keys, F.col(x).cast("bigint").alias(x)).limit(0)
     last = lo + -(-(hi - lo) // step) * step
     points = F.sequence(F.lit(lo).cast("bigint"), F.lit(last).cast("bigint"), F.lit(step).cast("bigint"))
     return df.select(*keys).distinct().withColumn(x, F.explode(points))

@@ -24,8 +24,8 @@ from sensorloom.operators import (
 from sensorloom.operators.sizing import Slices
 from sensorloom.plans import flows
 from sensorloom.session import apply_settings
-from sensorloom.sources import roles
-from sensorloom.sources.staging import stage
+from sensorloom.sources import files, roles
+from sensorloom.sources.staging import fresh_path, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -171,6 +171,17 @@ def scalar_time_text(spark, sf):
     )
 
 
+@query
+def long_csv_round_trip(spark, sf):
+    """Telemetry written as long CSV files and scanned again as one table."""
+    tel, path = roles.telemetry(spark, sf), fresh_path(spark, "long")
+    ts = F.col("timestamp")
+    lines = tel.select("asset", "variable", F.to_date(ts).alias("date"), F.date_format(ts, "HH:mm:ss").alias("time"), "value")
+    files.write_csv(lines, path)
+    back = files.read_long_csv(spark, path)
+    return back.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+
+
 # --- profile and data quality -------------------------------------------------------------
 
 
@@ -465,6 +476,15 @@ def spline_10min(spark, sf):
     return rounded(flows.fine_predictions(_blend(spark, sf)), "pred_WTURPower")
 
 
+@query
+def daily_csv_round_trip(spark, sf):
+    """Fine predictions written as one folder per day and read back."""
+    keys, path = ["asset", "fcast_day"], fresh_path(spark, "daily")
+    grid = reshape.densify(_blend(spark, sf), keys, "range", "pred_WTURPower", 600)
+    files.write_daily_csv(splines.linear_curve(grid, keys, "range", "pred_WTURPower"), path)
+    return rounded(files.read_daily_csv(spark, path), "pred_WTURPower")
+
+
 # --- learning -----------------------------------------------------------------------------
 
 

@@ -148,6 +148,13 @@ def oracle_sql() -> dict[str, str]:
     sensors = ", ".join(f"round({s}, 6) AS {s}" for s in SENSOR_COLUMNS)
     present = " AND ".join(f"{s} IS NOT NULL" for s in SENSOR_COLUMNS)
     ridge_paired = _ridge("paired", ["WTURPower", '"range"', "WNACWindSpeed_fcast"], "true_WTURPower", "1.0", "asset")
+    curve = """SELECT asset, fcast_day, "range", round(CASE WHEN pred IS NOT NULL THEN pred
+              ELSE pv + (nv - pv) * ("range" - pp) / (np - pp) END, 6) AS pred_WTURPower FROM
+            (SELECT *, last_value(pred IGNORE NULLS) OVER w AS pv, first_value(pred IGNORE NULLS) OVER f AS nv,
+              last_value(CASE WHEN pred IS NOT NULL THEN "range" END IGNORE NULLS) OVER w AS pp,
+              first_value(CASE WHEN pred IS NOT NULL THEN "range" END IGNORE NULLS) OVER f AS np FROM fine WINDOW
+              w AS (PARTITION BY asset, fcast_day ORDER BY "range" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+              f AS (PARTITION BY asset, fcast_day ORDER BY "range" ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
     return {
         "etl_wide": _with(
             f"""SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS "timestamp", {_pivot(TRANSLATED_COLUMNS, 'id', 'v', 'min')}
@@ -376,15 +383,10 @@ def oracle_sql() -> dict[str, str]:
         "densify_grid": _with(
             'SELECT asset, fcast_day, "range", round(pred, 6) AS pred_WTURPower FROM fine', "fine"
         ),
-        "linear_10min": _with(
-            """SELECT asset, fcast_day, "range", round(CASE WHEN pred IS NOT NULL THEN pred
-              ELSE pv + (nv - pv) * ("range" - pp) / (np - pp) END, 6) AS pred_WTURPower FROM
-            (SELECT *, last_value(pred IGNORE NULLS) OVER w AS pv, first_value(pred IGNORE NULLS) OVER f AS nv,
-              last_value(CASE WHEN pred IS NOT NULL THEN "range" END IGNORE NULLS) OVER w AS pp,
-              first_value(CASE WHEN pred IS NOT NULL THEN "range" END IGNORE NULLS) OVER f AS np FROM fine WINDOW
-              w AS (PARTITION BY asset, fcast_day ORDER BY "range" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
-              f AS (PARTITION BY asset, fcast_day ORDER BY "range" ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))""",
-            "fine",
+        "linear_10min": _with(curve, "fine"),
+        "daily_csv_round_trip": _with(curve, "fine"),
+        "long_csv_round_trip": _with(
+            """SELECT asset, variable, date_trunc('second', ts) AS "timestamp", value FROM tel""", "tel"
         ),
         "ridge_gram": _gram(),
         "ridge_fit": "WITH "

@@ -97,6 +97,12 @@ def read_translations(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_daily_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Predictions of all days written by `write_daily_csv`."""
+    schema = "asset string, range bigint, pred_WTURPower double, fcast_day date"
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
 def write_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "errorifexists") -> None:
     """CSV with header. `single_file` funnels the last stage through one task; leave it off for large tables."""
     out = df.coalesce(1) if single_file else df
@@ -107,7 +113,7 @@ def write_daily_csv(
     df: DataFrame, path: str, day: str = "fcast_day", columns: Sequence[str] = ("asset", "range", "pred_WTURPower"),
     files_per_day: int = 1, mode: str = "errorifexists",
 ) -> None:
-    """A folder per day. Larger days can be spread over several files by asset."""
-    spread = F.pmod(F.xxhash64("asset"), F.lit(files_per_day))
+    """A folder per day with one file, or `files_per_day` even ones for large days."""
+    spread = F.pmod(F.xxhash64(*columns[:2]), F.lit(files_per_day))
     placed = df.select(F.col(day).cast("date").alias(day), *columns).repartition(F.col(day), spread)
     placed.write.mode(mode).partitionBy(day).option("header", True).csv(path)

@@ -19,6 +19,11 @@ def staging_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def fresh_path(spark: SparkSession, prefix: str = "staged") -> str:
+    """Unused path in the staging folder."""
+    return f"{staging_folder(spark)}/{prefix}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, layout: Sequence[str] = ()) -> DataFrame:
     """Write the table once and read it back.
 
@@ -27,7 +32,7 @@ def stage(df: DataFrame, layout: Sequence[str] = ()) -> DataFrame:
     partitions stay even when one key dominates, and a later filter on the
     first column skips the row groups of all other keys.
     """
-    path = f"{staging_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession)
     if layout:
         df = df.repartitionByRange(*layout).sortWithinPartitions(*layout)
     df.write.parquet(path)

@@ -99,3 +99,10 @@ def test_constant_series_have_no_coefficient(spark):
     df = waves(spark, a=[1, 1], b=[2, 3])
     out = {(r.var_a, r.var_b): r["corr"] for r in correlation.correlation_long(df, "n", "variable", "value").collect()}
     assert out[("a", "b")] is None and out[("a", "a")] is None and np.isclose(out[("b", "b")], 1)
+
+
+def test_repeated_cells_count_once(spark):
+    df = waves(spark, a=[1, 2, 4], b=[3, 1, 5])
+    twice = df.unionByName(df)
+    row = correlation.correlation_long(twice, "n", "variable", "value").filter("var_a <> var_b").first()
+    assert row.n == 3 and np.isclose(row["corr"], abs(np.corrcoef([1, 2, 4], [3, 1, 5])[0, 1]))
