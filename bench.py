@@ -47,6 +47,7 @@ HEADLINE = [
     "grouped_ridge",
     "grouped_ridge_predictions",
     "pca_variance",
+    "fleet_predictions",
     "per_asset_predictions",
     "kmeans_labels",
 ]

@@ -196,13 +196,17 @@ def fit_pipeline(
     return PipelineModel(stages=[*prepared.stages, estimator(train).fit(train)])
 
 
-def with_folds(df: DataFrame, order: str, tiebreak: Sequence[str] = (), folds: int = 3) -> DataFrame:
-    """Contiguous folds along `order` over the whole table."""
-    one = df.withColumn("_all", F.lit(1))
-    slices = plan_slices(one, ["_all"], order)
-    numbered = positions(one, ["_all"], order, tiebreak, name="_pos", slices=slices)
-    sized = numbered.withColumn("_size", F.lit(slices.n_rows))
-    return contiguous_folds(sized, "_size", "_pos", folds).drop("_all", "_pos", "_size")
+def with_folds(
+    df: DataFrame, order: str, tiebreak: Sequence[str] = (), folds: int = 3, keys: Sequence[str] = ()
+) -> DataFrame:
+    """Contiguous folds along `order`, over the whole table or within each key."""
+    by = list(keys) or ["_all"]
+    one = df if keys else df.withColumn("_all", F.lit(1))
+    slices = plan_slices(one, by, order)
+    numbered = positions(one, by, order, tiebreak, name="_pos", slices=slices)
+    sizes = one.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
+    sized = numbered.join(slices.per_key(sizes), by)
+    return contiguous_folds(sized, "_size", "_pos", folds).select(*df.columns, "fold")
 
 
 def grid_search(

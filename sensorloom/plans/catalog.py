@@ -13,6 +13,7 @@ from sensorloom.operators import (
     clustering,
     correlation,
     forecast,
+    grouped_pipeline,
     ordered,
     quality,
     regression,
@@ -568,6 +569,24 @@ def per_asset_predictions(spark, sf):
     return rounded(out, "pred_WTURPower")
 
 
+def _folded(spark, sf) -> tuple[DataFrame, list[str]]:
+    table, inputs = _learning(spark, sf)
+    return regression.with_folds(table, "timestamp", ["range"], keys=["asset"]), inputs
+
+
+@query
+def grouped_grid_search(spark, sf):
+    folded, inputs = _folded(spark, sf)
+    scores, _ = grouped_pipeline.grouped_grid_search(folded, ["asset"], inputs, "true_WTURPower", ALPHAS)
+    return rounded(scores, "r2")
+
+
+@query
+def fleet_predictions(spark, sf):
+    folded, inputs = _folded(spark, sf)
+    return rounded(flows.fleet_predictions(folded, folded.drop("fold"), inputs, ALPHAS), "pred_WTURPower")
+
+
 @query
 def nonlinear_fit(spark, sf):
     table, inputs = _learning(spark, sf)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.functions.columns import time_text
-from sensorloom.operators import forecast, ordered, regression, reshape, sampling, splines
+from sensorloom.operators import forecast, grouped_pipeline, ordered, regression, reshape, sampling, splines
 
 
 def smooth_and_widen(
@@ -67,6 +67,23 @@ def day_ahead_predictions(
     return forecast.latest_prediction(rows, name)
 
 
+def fleet_predictions(
+    train: DataFrame,
+    evaluation: DataFrame,
+    inputs: Sequence[str],
+    alphas: Sequence[float],
+    target: str = "WTURPower",
+) -> DataFrame:
+    """The same for a fleet of any size: one penalty is chosen per asset, all models fit together.
+
+    `train` carries a `fold` column; rows per asset are never brought together.
+    """
+    label, name = f"true_{target}", f"pred_{target}"
+    _, models = grouped_pipeline.grouped_grid_search(train, ["asset"], inputs, label, alphas)
+    rows = grouped_pipeline.predict_grouped_pipeline(evaluation, models, ["asset"], inputs, name)
+    return forecast.latest_prediction(rows, name)
+
+
 def fine_predictions(pred: DataFrame, step: int = 600, value: str = "pred_WTURPower") -> DataFrame:
     """Predictions on the finer grid, interpolated by a cubic spline per asset and day."""
     keys = ["asset", "fcast_day"]

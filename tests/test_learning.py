@@ -66,6 +66,8 @@ def test_grid_search_prefers_the_weak_penalty(sample):
     _, df = sample
     folded = regression.with_folds(df, "t")
     assert {r.fold: r["count"] for r in folded.groupBy("fold").count().collect()} == {0: 80, 1: 80, 2: 80}
+    by_asset = regression.with_folds(df, "t", keys=["asset"]).groupBy("asset", "fold").count().collect()
+    assert {(r.asset, r.fold): r["count"] for r in by_asset}[("A002", 2)] == 26 and len(by_asset) == 6
     grid = {a: (lambda train, a=a: regression.ridge(train, "y", a)) for a in (1.0, 1e6)}
     result = regression.grid_search(folded, list("abcd"), "y", grid)
     assert result.best == 1.0 and result.scores[1.0] > 0.5 > result.scores[1e6]
