@@ -486,6 +486,15 @@ def daily_csv_round_trip(spark, sf):
     return rounded(files.read_daily_csv(spark, path), "pred_WTURPower")
 
 
+@query
+def spline_six_hourly(spark, sf):
+    """Spline through six-hour means of the predictions: one cubic per day with all four knots."""
+    keys = ["asset", "fcast_day"]
+    start = (F.floor(F.col("range") / 21_600) * 21_600).cast("bigint")
+    means = _blend(spark, sf).groupBy(*keys, start.alias("range")).agg(F.avg("pred_WTURPower").alias("pred_WTURPower"))
+    return rounded(flows.fine_predictions(means), "pred_WTURPower")
+
+
 # --- learning -----------------------------------------------------------------------------
 
 
@@ -548,6 +557,22 @@ def pca_variance(spark, sf):
     return rounded(shares, "explained")
 
 
+@query
+def pca_variance_pair(spark, sf):
+    raw = roles.raw_history(roles.hourly(spark, sf))
+    return rounded(regression.pca_variance(raw, ["asset"], ["WNACWindSpeed", "WNACAmbTemp"], 1, 2), "explained")
+
+
+@query
+def quadratic_ridge(spark, sf):
+    raw, fcast = _raw_and_forecasts(spark, sf)
+    table = forecast.attach_truth(fcast, raw, "WTURPower")
+    inputs = ["WNACWindSpeed_fcast"]
+    models = grouped_pipeline.fit_grouped_pipeline(table, ["asset"], inputs, "true_WTURPower", [10.0])
+    out = grouped_pipeline.predict_grouped_pipeline(table, models, ["asset"], inputs, "pred_WTURPower")
+    return rounded(out.select(*CELL, "pred_WTURPower"), "pred_WTURPower")
+
+
 @query
 def grid_search_scores(spark, sf):
     table, inputs = _learning(spark, sf)

@@ -388,6 +388,42 @@ def oracle_sql() -> dict[str, str]:
         "long_csv_round_trip": _with(
             """SELECT asset, variable, date_trunc('second', ts) AS "timestamp", value FROM tel""", "tel"
         ),
+        "spline_six_hourly": _after(
+            "blend",
+            """knots AS (SELECT asset, fcast_day, CAST(floor("range" / 21600) * 21600 AS BIGINT) AS x, avg(pred) AS y FROM blend GROUP BY 1, 2, 3),
+            curves AS (SELECT asset, fcast_day, count(*) AS n, list(x ORDER BY x) AS xs, list(y ORDER BY x) AS ys FROM knots GROUP BY 1, 2),
+            points AS (SELECT c.*, g.x FROM curves c, (SELECT unnest(generate_series(min(x), max(x), 600)) AS x FROM knots) g),
+            near AS (SELECT p.*, (SELECT max_by((x, y), x) FROM knots k WHERE k.asset = p.asset AND k.fcast_day = p.fcast_day AND k.x <= p.x) AS a,
+              (SELECT min_by((x, y), x) FROM knots k WHERE k.asset = p.asset AND k.fcast_day = p.fcast_day AND k.x >= p.x) AS b FROM points p)""",
+            """SELECT asset, fcast_day, CAST(x AS BIGINT) AS "range", round(CASE WHEN n = 4 THEN
+              ys[1] * (x - xs[2]) * (x - xs[3]) * (x - xs[4]) / ((xs[1] - xs[2])::DOUBLE * (xs[1] - xs[3]) * (xs[1] - xs[4]))
+            + ys[2] * (x - xs[1]) * (x - xs[3]) * (x - xs[4]) / ((xs[2] - xs[1])::DOUBLE * (xs[2] - xs[3]) * (xs[2] - xs[4]))
+            + ys[3] * (x - xs[1]) * (x - xs[2]) * (x - xs[4]) / ((xs[3] - xs[1])::DOUBLE * (xs[3] - xs[2]) * (xs[3] - xs[4]))
+            + ys[4] * (x - xs[1]) * (x - xs[2]) * (x - xs[3]) / ((xs[4] - xs[1])::DOUBLE * (xs[4] - xs[2]) * (xs[4] - xs[3]))
+            WHEN a[1] = b[1] THEN a[2] ELSE a[2] + (b[2] - a[2]) * (x - a[1]) / (b[1] - a[1]) END, 6) AS pred_WTURPower FROM near""",
+        ),
+        "pca_variance_pair": _after(
+            "raw",
+            """m AS (SELECT asset, var_samp(WNACWindSpeed) AS a, var_samp(WNACAmbTemp) AS c, covar_samp(WNACWindSpeed, WNACAmbTemp) AS b
+            FROM raw WHERE WNACWindSpeed IS NOT NULL AND WNACAmbTemp IS NOT NULL GROUP BY 1)""",
+            """SELECT asset, CAST(n AS BIGINT) AS n, round(CASE n WHEN 2 THEN 1.0
+            ELSE ((a + c) / 2 + sqrt(pow((a - c) / 2, 2) + b * b)) / (a + c) END, 6) AS explained FROM m, (VALUES (1), (2)) AS v(n)""",
+        ),
+        "quadratic_ridge": _after(
+            "truth",
+            """used AS (SELECT asset, WNACWindSpeed_fcast AS x, true_WTURPower AS y FROM truth
+              WHERE WNACWindSpeed_fcast IS NOT NULL AND true_WTURPower IS NOT NULL),
+            c AS (SELECT asset, avg(x) AS mx FROM used GROUP BY 1),
+            t AS (SELECT u.asset, y, x - mx AS p, (x - mx) * (x - mx) AS q FROM used u JOIN c ON c.asset = u.asset),
+            s AS (SELECT asset, count(*) AS n, avg(y) AS my, avg(q) AS mq, stddev_pop(p) AS sp, stddev_pop(q) AS sq,
+              covar_pop(p, q) / (stddev_pop(p) * stddev_pop(q)) AS r, covar_pop(p, y) / stddev_pop(p) AS cp,
+              covar_pop(q, y) / stddev_pop(q) AS cq FROM t GROUP BY 1),
+            w AS (SELECT s.*, mx, n * (cp * (n + 10.0) - cq * n * r) / (pow(n + 10.0, 2) - pow(n * r, 2)) AS w1,
+              n * (cq * (n + 10.0) - cp * n * r) / (pow(n + 10.0, 2) - pow(n * r, 2)) AS w2 FROM s JOIN c ON c.asset = s.asset)""",
+            """SELECT f.asset, f.fcast_day, f."range",
+            round(my + w1 * (WNACWindSpeed_fcast - mx) / sp + w2 * (pow(WNACWindSpeed_fcast - mx, 2) - mq) / sq, 6) AS pred_WTURPower
+            FROM truth f LEFT JOIN w ON w.asset = f.asset""",
+        ),
         "ridge_gram": _gram(),
         "ridge_fit": "WITH "
         + _ridge("lineitem", LINE_FEATURES, "l_extendedprice", "alpha")
