@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.operators.reshape import column_values
-from sensorloom.operators.regression import MODELS_ON_DRIVER
+from sensorloom.sources.staging import union_in_batches
 
 
 def sensor_vectors(df: DataFrame, inputs: Sequence[str]) -> DataFrame:
@@ -31,7 +31,7 @@ def kmeans_labels(
     parallelism: int = 8,
 ) -> DataFrame:
     """Cluster label per row, with one distributed k-means per asset on unscaled sensors."""
-    assets = list(assets) if assets is not None else column_values(vectors, asset, MODELS_ON_DRIVER)
+    assets = list(assets) if assets is not None else column_values(vectors, asset)
 
     def label(a: str) -> DataFrame:
         mine = vectors.filter(F.col(asset) == a)
@@ -39,11 +39,7 @@ def kmeans_labels(
         return model.transform(mine).select(*keep, "features", "label")
 
     with ThreadPool(parallelism) as pool:
-        parts = pool.map(label, assets)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        return union_in_batches(assets, lambda names: pool.map(label, names))
 
 
 def silhouette_sweep(vectors: DataFrame, ks: Sequence[int] = range(2, 15), seed: int = 7, parallelism: int = 8) -> DataFrame:

@@ -20,10 +20,10 @@ from sensorloom.operators.ordered import positions
 from sensorloom.operators.reshape import column_values
 from sensorloom.operators.sampling import contiguous_folds
 from sensorloom.operators.sizing import checked_broadcast, plan_slices
+from sensorloom.sources.staging import union_in_batches
 
 # Columns that are keys, times or targets and never features.
 NOT_FEATURES = ("asset", "timestamp", "fcast_time", "fcast_day", "day", "true_WTURPower", "pred_WTURPower")
-MODELS_ON_DRIVER = 200
 
 
 def feature_columns(df: DataFrame, exclude: Iterable[str] = NOT_FEATURES) -> list[str]:
@@ -268,11 +268,11 @@ def fit_per_asset(
 ) -> dict[str, Any]:
     """A model per asset, each fitted by distributed jobs.
 
-    Fits run a few at a time. This suits fleets up to `MODELS_ON_DRIVER`;
-    beyond that `fit_grouped_ridge` fits every asset in one aggregate. Stage
-    the table by asset first, so that each fit reads its own row groups only.
+    Fits run a few at a time, so the time grows with the number of assets; the
+    grouped forms fit a whole fleet in two passes. Stage the table by asset
+    first, so that each fit reads its own row groups only.
     """
-    assets = list(assets) if assets is not None else column_values(df, asset, MODELS_ON_DRIVER)
+    assets = list(assets) if assets is not None else column_values(df, asset)
     with ThreadPool(parallelism) as pool:
         models = pool.map(lambda a: fit(df.filter(F.col(asset) == a)), assets)
     return dict(zip(assets, models))
@@ -282,9 +282,12 @@ def predict_per_asset(
     models: dict[str, PipelineModel], df: DataFrame, name: str, keep: Sequence[str | Column], asset: str = "asset"
 ) -> DataFrame:
     """Apply each asset's model to its rows; rows with a missing feature are skipped."""
-    out = None
-    for a, model in models.items():
-        last = model.stages[-1].getPredictionCol()
-        part = model.transform(df.filter(F.col(asset) == a)).select(*keep, F.col(last).alias(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+
+    def apply(names: Sequence[str]) -> list[DataFrame]:
+        parts = []
+        for a in names:
+            done = models[a].transform(df.filter(F.col(asset) == a))
+            parts.append(done.select(*keep, F.col(models[a].stages[-1].getPredictionCol()).alias(name)))
+        return parts
+
+    return union_in_batches(list(models), apply)

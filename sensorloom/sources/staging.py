@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,3 +38,18 @@ def stage(df: DataFrame, layout: Sequence[str] = ()) -> DataFrame:
         df = df.repartitionByRange(*layout).sortWithinPartitions(*layout)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def union_in_batches(
+    names: Sequence[str], build: Callable[[Sequence[str]], list[DataFrame]], batch: int = 50
+) -> DataFrame:
+    """Union of one table per name, built `batch` names at a time.
+
+    Beyond one batch each finished batch is staged, so the plan stays short
+    however many names there are.
+    """
+    tables = []
+    for start in range(0, len(names), batch):
+        part = reduce(DataFrame.unionByName, build(names[start : start + batch]))
+        tables.append(part if len(names) <= batch else stage(part))
+    return reduce(DataFrame.unionByName, tables)

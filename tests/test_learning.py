@@ -5,7 +5,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from sensorloom.operators import clustering, regression
-from sensorloom.sources.staging import stage, staging_folder
+from sensorloom.sources.staging import stage, staging_folder, union_in_batches
 
 
 def closed_form(x, y, alpha):
@@ -107,3 +107,10 @@ def test_staged_tables_go_to_the_shared_folder(spark):
     df = stage(spark.range(10), ["id"])
     assert df.count() == 10
     assert all(f.split(":", 1)[1].lstrip("/").startswith(folder.split(":", 1)[-1].lstrip("/")) for f in df.inputFiles())
+
+
+@pytest.mark.parametrize("batch", [2, 10])
+def test_union_in_batches(spark, batch):
+    build = lambda names: [spark.createDataFrame([(n,)], "name string") for n in names]
+    out = union_in_batches(list("abcde"), build, batch)
+    assert sorted(r.name for r in out.collect()) == list("abcde")
