@@ -23,16 +23,15 @@ _HELD_GROUPS = 64
 _MERGE_LANES = 64
 
 
-def _scores(inputs: Sequence[str], k: int) -> list[Column]:
-    """Component scores of a row from its group's `center` and `basis`."""
-    size = len(inputs)
-    out = []
-    for i in range(k):
-        score = F.lit(0.0)
-        for j, name in enumerate(inputs):
-            score = score + F.col("basis")[i * size + j] * (F.col(name) - F.col("center")[j])
-        out.append(score.alias(f"_s{i}"))
-    return out
+def _dot(a: Column, b: Column) -> Column:
+    """Inner product of two arrays, in constant code size however long they are."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+
+
+def _scores(inputs: Sequence[str]) -> Column:
+    """Array of component scores of a row from its group's `center` and `basis`."""
+    deviations = F.zip_with(F.array(*[F.col(c).cast("double") for c in inputs]), F.col("center"), lambda x, m: x - m)
+    return F.transform("basis", lambda axis: _dot(axis, deviations))
 
 
 def _components(df: DataFrame, keys: list[str], inputs: list[str], k: int, fields: str) -> DataFrame:
@@ -48,11 +47,11 @@ def _components(df: DataFrame, keys: list[str], inputs: list[str], k: int, field
                 vectors = vectors * np.sign(vectors[largest, np.arange(k)])
                 floor = max(values[0], 0.0) * 1e-12
                 basis = (vectors / np.sqrt(np.where(values > floor, values, 1.0))).T
-                data = {c: row[c] for c in keys} | {"center": [np.asarray(row["mean"])], "basis": [basis.ravel()]}
+                data = {c: row[c] for c in keys} | {"center": [np.asarray(row["mean"])], "basis": [list(basis)]}
                 yield pd.DataFrame(data, index=[0])
 
     moments = grouped_covariance(df, keys, inputs)
-    return moments.mapInPandas(axes, f"{fields}center array<double>, basis array<double>")
+    return moments.mapInPandas(axes, f"{fields}center array<double>, basis array<array<double>>")
 
 
 def fit_grouped_pipeline(
@@ -69,8 +68,9 @@ def fit_grouped_pipeline(
     fields = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keys)
     complete = df.select(*keys, *inputs, F.col(label).cast("double").alias("_y")).na.drop("any", subset=[*inputs, "_y"])
     bases = checked_broadcast(_components(complete, keys, inputs, k, fields))
-    scored = complete.join(bases, keys).select(*keys, "_y", *_scores(inputs, k))
     names = [f"_s{i}" for i in range(k)]
+    arrays = complete.join(bases, keys).select(*keys, "_y", _scores(inputs).alias("_s"))
+    scored = arrays.select(*keys, "_y", *[F.col("_s")[i].alias(name) for i, name in enumerate(names)])
     left, right = np.triu_indices(k)
     width = 2 + k + len(left)
 
@@ -128,15 +128,12 @@ def predict_grouped_pipeline(
     Several penalties per group give one row each, told apart by `alpha`.
     """
     k = min(components, len(inputs))
-    scores = [F.col(f"_s{i}") for i in range(k)]
-    terms = scores + [scores[i] * scores[j] for i in range(k) for j in range(i, k)]
-    value = F.col("intercept")
-    for i, term in enumerate(terms):
-        value = value + F.col("coef")[i] * term
+    scores = [F.col("_s")[i] for i in range(k)]
+    terms = F.array(*scores, *[scores[i] * scores[j] for i in range(k) for j in range(i, k)])
     wanted = models.select(*keys, "alpha", "intercept", "coef", "center", "basis")
     joined = df.join(checked_broadcast(wanted), list(keys), "left")
-    scored = joined.select(*df.columns, "alpha", "intercept", "coef", *_scores(inputs, k))
-    return scored.select(*df.columns, "alpha", value.alias(name))
+    scored = joined.select(*df.columns, "alpha", "intercept", "coef", _scores(inputs).alias("_s"))
+    return scored.select(*df.columns, "alpha", (F.col("intercept") + _dot(F.col("coef"), terms)).alias(name))
 
 
 def grouped_grid_search(
