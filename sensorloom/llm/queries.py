@@ -7,11 +7,42 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm import bpe, nearcopies, quality, secrets, substrings, warc
+from sensorloom.llm import bpe, html_paths, langid, mixing, nearcopies, quality, secrets, substrings, voronoi, warc
 from sensorloom.llm.common import prepare, read
 from sensorloom.sources.staging import fresh_path
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", langid.held_out(F.col("doc_id")).alias("held_out"))
+    model = langid.fit(docs.where("not held_out"), "text", "lang")
+    found = langid.identify(docs.drop("lang"), "text", model)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+#: Target mixture: weights of domains, languages and sources among their siblings.
+WEIGHTS = ({"d0": 4, "d1": 3, "d2": 2, "d3": 1}, {"en": 4, "*": 2}, {"*": 1})
+
+
+def mixture_levels() -> dict:
+    """Tree of the documents: domain (sources by number, modulo four), language, source."""
+    number = F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]+)$", 1)
+    domain = F.when(number != "", F.concat(F.lit("d"), (F.substring(number, -9, 9).cast("long") % 4).cast("string")))
+    return {"domain": domain, "language": F.col("lang"), "site": F.col("source")}
+
+
+def op2_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = read(spark, sf_dir, "documents")
+    mixed = mixing.mix(docs.select("doc_id", "lang", "source", mixing.word_count(F.col("text")).alias("n_words")), "doc_id", F.col("n_words"), mixture_levels(), WEIGHTS, share=0.8, epochs=3)
+    return mixed.where("n_copies > 0").select("doc_id", "domain", F.col("language").alias("lang"), F.col("site").alias("source"), "n_tokens", "n_copies")
+
+
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return html_paths.extract(read(spark, sf_dir, "pages"), "page_id", "url", "html")
+
+
 def op4_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return substrings.repeated_bytes(read(spark, sf_dir, "documents"), "doc_id", "text", length=400)
@@ -44,18 +75,28 @@ def op8_web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages"), fresh_path(spark, "archive"), min_bytes=0)
 
 
+def op9_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return voronoi.top_k(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", every=50, k=5)
+
+
 def op10_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return quality.judge(read(spark, sf_dir, "documents"), "doc_id", "text")
+    # Which rule rejects a row depends on the sample's order of rules; what is kept does not.
+    return quality.judge(read(spark, sf_dir, "documents"), "doc_id", "text").drop("rejected_by")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
+        op1_language_id,
+        op2_source_mixture,
+        op3_main_text,
         op4_repeated_substrings,
         op5_byte_bpe,
         op6_secret_scan,
         op7_near_duplicates,
         op8_web_archive,
+        op9_voronoi_knn,
         op10_quality_cascade,
     ]
     return {f.__name__: f for f in own}
