@@ -20,6 +20,8 @@ BAND = 4
 #: Mantissa bits kept behind the leading-zero count.
 MANTISSA = 10
 EMPTY = 0xFFFF
+#: Shingles in one block of a bucket that is compared inside tasks.
+BLOCK = 150_000
 #: Words whose hashes a worker remembers.
 REMEMBERED = 1_000_000
 
@@ -164,34 +166,65 @@ def _bands(classes: DataFrame) -> DataFrame:
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sketches do not rule out the wanted similarity.
 
-    Pairs with half of all registers full or more go if their estimate is five standard
-    deviations below the bound; smaller sets are left to the verification.
+    Pairs with half of all registers full or more go if their estimate is five of its
+    standard deviations below the bound; smaller sets are left to the verification.
     """
     own = lambda c: classes.select(F.col("rep").alias(c), F.col("sketch").alias(f"sketch_{c}"), F.col("n").alias(f"n_{c}"))
     joined = pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
-    floor = percent / 100 - 5 * np.sqrt(0.25 / (REGISTERS / 2))
+    bound = percent / 100
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n_a, n_b = (batch.column(i).to_numpy() for i in (2, 3))
         a, b = (_matrix(batch.column(i)) for i in (4, 5))
-        many = ((a != EMPTY) | (b != EMPTY)).sum(1) >= REGISTERS // 2
-        keep = pa.array(~many | (estimated(a, b, n_a, n_b) >= floor))
+        full = ((a != EMPTY) | (b != EMPTY)).sum(1)
+        floor = bound - 5 * np.sqrt(bound * (1 - bound) / np.maximum(full, 1))
+        keep = pa.array((full < REGISTERS // 2) | (estimated(a, b, n_a, n_b) >= floor))
         return pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     return arrow_map(joined, run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= percent * union of their full shingle sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """id, shingles (sorted 64-bit hashes) of the wanted ids; written once, as several steps read it."""
 
-    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         packed = [shingle_set(t, words).tobytes() for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["id", "shingles"])
 
-    # Written once: both sides of the pairs read it.
-    full = stage(arrow_map(docs.join(wanted, "id", "left_semi").select("id", "text"), sets, "id long, shingles binary").dropDuplicates(["id"]))
-    side = lambda c: full.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}"))
+    chosen = docs.join(wanted, "id", "left_semi").select("id", "text")
+    return stage(arrow_map(chosen, run, "id long, shingles binary").dropDuplicates(["id"]))
+
+
+def _common(sets: DataFrame) -> DataFrame:
+    """id, common: how many shingles of each set are found in any other of the sets.
+
+    A set shares no more than these with another one, which bounds every similarity.
+    Counted by shingle with partial sums, however many sets hold it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
+                each = [np.frombuffer(x, np.int64) for x in part.column(1).to_pylist()]
+                ids = np.repeat(part.column(0).to_numpy(), [len(x) for x in each])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(each))], ["id", "shingle"])
+
+    alone = (
+        sets.mapInArrow(run, "id long, shingle long")
+        .groupBy("shingle")
+        .agg(F.count("*").alias("holders"), F.min("id").alias("id"))
+        .where("holders = 1")
+        .groupBy("id")
+        .agg(F.count("*").alias("alone"))
+    )
+    size = (F.octet_length("shingles") / 8).cast("long")
+    return sets.join(alone, "id", "left").select("id", (size - F.coalesce("alone", F.lit(0))).alias("common"))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) with 100 * intersection >= percent * union of their full shingle sets."""
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,6 +242,89 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     return joined.mapInArrow(compare, "a long, b long")
 
 
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows of buckets that hold more than one component."""
+    several = rows.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
+    return rows.join(several.select("band"), "band", "left_semi")
+
+
+def _across(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between classes of one bucket and different components.
+
+    A bucket is cut into blocks of about BLOCK shingles by hash; each two blocks, and each
+    block with itself, are one group. A group forms no rows of pairs: intersections come
+    from products of incidence matrices, and of the links found those leave it that
+    join parts not joined before.
+    """
+    sizes = left.groupBy("band").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    dealt = (
+        left.join(sizes, "band")
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "part", F.col("rep").alias("id"))
+        .join(sets, "id")
+    )
+
+    def links(table: pa.Table) -> pa.Table:
+        ids, part, block = (table.column(c).to_numpy() for c in ("id", "part", "own"))
+        within = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        order = np.lexsort((ids, part, block))
+        ids, part, block = ids[order], part[order], block[order]
+        packed = table.column("shingles").to_pylist()
+        each = [np.frombuffer(packed[k], np.uint64) for k in order]
+        size = np.array([len(x) for x in each])
+        root = {p: p for p in set(part.tolist())}
+
+        def find(p: int) -> int:
+            while root[p] != p:
+                root[p] = p = root[root[p]]
+            return p
+
+        out: list[tuple[int, int]] = []
+        starts = range(0, len(ids), 128)
+        for x in starts:
+            for y in starts:
+                a, b = slice(x, x + 128), slice(y, y + 128)
+                if y < x or (part[a].min() == part[b].max() and part[a].max() == part[b].min()):
+                    continue
+                if not within and block[a].min() == block[b].max() and block[a].max() == block[b].min():
+                    continue
+                both = _intersections(each[a], each[b])
+                close = 100 * both >= percent * (size[a][:, None] + size[b][None, :] - both)
+                close &= part[a][:, None] != part[b][None, :]
+                for k, m in zip(*np.nonzero(close), strict=True):
+                    p, q = find(int(part[x + k])), find(int(part[y + m]))
+                    if p != q:
+                        root[max(p, q)] = min(p, q)
+                        out.append((int(ids[x + k]), int(ids[y + m])))
+        return pa.table([pa.array([o[c] for o in out], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+    return dealt.groupBy("band", "i", "j").applyInArrow(links, "a long, b long")
+
+
+def _intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set in `a` with every one in `b`."""
+    shared = np.intersect1d(np.unique(np.concatenate(a)), np.unique(np.concatenate(b)), assume_unique=True)
+
+    def incidence(sets: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(sets), len(shared)), np.float32)
+        for k, x in enumerate(sets):
+            at = np.minimum(np.searchsorted(shared, x), len(shared) - 1)
+            out[k, at[shared[at] == x]] = 1
+        return out
+
+    if not len(shared):
+        return np.zeros((len(a), len(b)))
+    return incidence(a) @ incidence(b).T
+
+
+def _parted(rows: DataFrame, settled: DataFrame) -> DataFrame:
+    """`rows` with the component of every class, itself if it has no link."""
+    joined = rows.join(settled.withColumnRenamed("node", "rep"), "rep", "left")
+    return joined.withColumn("part", F.coalesce("component", "rep")).drop("component")
+
+
 def _close_in_size(a: str, b: str, percent: int) -> Column:
     """A pair can only reach the similarity if the smaller set has that share of the larger one."""
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
@@ -228,9 +344,10 @@ def components(docs: DataFrame, key: str, text: str, words: int = 5, percent: in
     2. In each band's bucket every class is paired with one leader, drawn by hash, which is
        linear in the bucket; leaders differ by band, so groups of near copies hang together.
     3. Sketches, then full sets decide about the pairs; components follow.
-    4. Buckets that still hold classes of different components give the pairs across
-       components, again confirmed on full sets. Every pair that shares a bucket is
-       so either in one component already or compared.
+    4. In buckets that still hold classes of different components, those go that can have no
+       partner: too many of their shingles are in no other set of such buckets. The rest is
+       compared on full sets inside tasks, block by block; only links leave them. Every
+       pair that shares a bucket is so in one component already, compared, or ruled out.
 
     Nothing is dropped at any bucket size; no table of pairs or links reaches the driver.
     """
@@ -258,26 +375,20 @@ def components(docs: DataFrame, key: str, text: str, words: int = 5, percent: in
         .select(*ordered)
         .distinct()
     )
-    first = stage(_confirmed(stage(_likely(stars, classes, percent)), known, words, percent))
+    likely = stage(_likely(stars, classes, percent))
+    members = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    first = stage(_confirmed(likely, _sets(known, members, words), percent))
     settled = stage(connected_components(first))
 
-    labelled = stage(
-        shared.join(settled.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "band", "rep", "n", F.coalesce("component", "rep").alias("part")
-        )
-    )
-    mixed = labelled.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("band")
-    left = stage(labelled.join(mixed, "band", "left_semi"))
-    across = (
-        left.select("band", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("part").alias("part_a"))
-        .join(left.select("band", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("part").alias("part_b")), "band")
-        .where("part_a < part_b")
-        .where(_close_in_size("n_a", "n_b", percent))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    second = stage(_confirmed(stage(_likely(across, classes, percent)), known, words, percent))
+    left = stage(_mixed(_parted(shared.select("band", "rep", "n"), settled)))
+    sets = _sets(known, left.select(F.col("rep").alias("id")).distinct(), words)
+    # At best a set has its common shingles in a partner of just that size, or of the smallest size in the bucket.
+    common = stage(left.join(_common(sets).withColumnRenamed("id", "rep"), "rep"))
+    least = common.groupBy("band").agg(F.min("n").alias("least"))
+    able = F.col("common") * 100 >= (F.col("n") + F.greatest("least", "common") - F.col("common")) * percent
+    left = stage(_mixed(common.join(least, "band").where(able).drop("least")))
+
+    second = stage(_across(left, sets, percent))
     found = stage(connected_components(first.unionByName(second)))
 
     by_class = (
