@@ -66,9 +66,9 @@ def _pivots(vectors: DataFrame, n: int, scale: int) -> np.ndarray:
 
 
 def _summary(table: DataFrame, n: int) -> dict[str, np.ndarray]:
-    """Count and largest radius of every cell: one small row each."""
+    """Distinct ids and largest radius of every cell: one small row each. A repeated row must not count twice for a threshold."""
     out = {"n": np.zeros(n), "radius": np.zeros(n)}
-    for row in table.groupBy("cell").agg(F.count("*").alias("n"), F.max("radius").alias("radius")).collect():
+    for row in table.groupBy("cell").agg(F.count_distinct("id").alias("n"), F.max("radius").alias("radius")).collect():
         out["n"][row["cell"]], out["radius"][row["cell"]] = row["n"], row["radius"]
     return out
 
@@ -109,14 +109,17 @@ def _groups(counts: np.ndarray, size: int) -> list[tuple[list[int], int]]:
 
 def _best(queries: pa.Table, data: pa.Table, k: int) -> pa.Table:
     """The k best of `data` for each query, ties to smaller ids; exact for whole numbers."""
-    stack = lambda t: np.frombuffer(b"".join(t.column("vec").to_pylist()), np.float64).reshape(t.num_rows, -1)
-    q, x = stack(queries), stack(data)
-    q_ids, x_ids = (t.column("id").to_numpy() for t in (queries, data))
+    stack = lambda t: np.frombuffer(b"".join(t.column("vec").to_pylist()), np.float64).reshape(t.num_rows, -1 if t.num_rows else 0)
+    # Repeated rows count once, before the k best are looked for.
+    q_ids, at = np.unique(queries.column("id").to_numpy(), return_index=True)
+    q = stack(queries)[at]
+    x_ids, at = np.unique(data.column("id").to_numpy(), return_index=True)
+    x = stack(data)[at]
     # Doubles hold the sums exactly below 2**53; beyond, Python's integers do.
     if q.size and x.size and np.abs(q).max() * np.abs(x).max() * q.shape[1] >= 2.0**53:
         q, x = (m.astype(np.int64).astype(object) for m in (q, x))
     out: list[list] = [[], [], []]
-    for start in range(0, len(q), 256):
+    for start in range(0, len(q) if len(x) else 0, 256):
         scores = q[start : start + 256] @ x.T
         for own, row in zip(q_ids[start : start + 256], scores, strict=True):
             other = x_ids != own
@@ -124,8 +127,6 @@ def _best(queries: pa.Table, data: pa.Table, k: int) -> pa.Table:
             if len(row) > k and row.dtype != object:
                 near = row >= np.partition(row, len(row) - k)[len(row) - k]
                 ids, row = ids[near], row[near]
-            ids, where = np.unique(ids, return_index=True)
-            row = row[where]
             top = sorted(range(len(row)), key=lambda i: (-row[i], ids[i]))[:k]
             out[0] += [int(own)] * len(top)
             out[1] += [int(ids[i]) for i in top]
