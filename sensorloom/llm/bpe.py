@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from sensorloom.llm.common import only
 
 #: Pieces whose ids a worker remembers; beyond that it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 def byte_characters() -> dict[int, str]:
@@ -140,7 +140,7 @@ def encode(docs: DataFrame, key: str, text: str, ranks_path: str, pattern: str,
         own = codec(ranks_path, pattern)
         for batch in batches:
             keys, at = batch.column(0), 0
-            for texts in _slices(batch.column(1).to_pylist(), 2_000_000):
+            for texts in _slices(batch.column(1).to_pylist(), 1_000_000):
                 split = [own.pieces(t) for t in texts]
                 own.learn(set().union(*split))
                 rows: dict[str, list] = {k: [] for k in ("ids", "n", "digest", "decoded", "offsets")}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sensorloom.llm.common import arrow_map
 
 #: Buckets of the hashed character n-grams, and the longest n-gram.
-BUCKETS = 1 << 13
+BUCKETS = 1 << 12
 LONGEST = 3
 #: Characters of the short piece that each training text adds, so that short texts are learned too.
 PIECE = 60
@@ -98,7 +98,7 @@ class Model(NamedTuple):
         return score / score.sum(1, keepdims=True), out
 
 
-def fit(docs: DataFrame, text: str, label: str, sample_texts: int = 2400, steps: int = 120) -> Model | None:
+def fit(docs: DataFrame, text: str, label: str, sample_texts: int = 1600, steps: int = 120) -> Model | None:
     """Learn one classifier per bit from about `sample_texts` labelled texts; None if there are none.
 
     The bound on the sample is `sample_texts`, shared out evenly over the labels; within a
@@ -133,8 +133,10 @@ def fit(docs: DataFrame, text: str, label: str, sample_texts: int = 2400, steps:
     x = np.zeros((found.num_rows, BUCKETS), np.float32)
     for i, (at, n) in enumerate(zip(found.column("at"), found.column("n"), strict=True)):
         x[i, at.values.to_numpy()] = n.values.to_numpy()
-    x = _scaled(x)
+    x /= x.sum(1, keepdims=True)
+    np.sqrt(x, out=x)
     y = np.array([labels.index(v) for v in found.column("label").to_pylist()])
+    del found
     code = codewords(len(labels))
     target = code[y]
     weight = 1.0 / np.bincount(y, minlength=len(labels))[y]

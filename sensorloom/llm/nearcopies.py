@@ -23,7 +23,7 @@ EMPTY = 0xFFFF
 #: Shingles in one block of a bucket that is compared inside tasks.
 BLOCK = 150_000
 #: Words whose hashes a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 
 _known: dict[bytes, int] = {}
 
