@@ -77,7 +77,9 @@ class Slices:
             out = out.join(F.broadcast(level), [*self.keys, "_slice"], "left")
             inner = F.floor((F.col("_x") - F.col("_lo")) / F.col("_width"))
             clamped = F.greatest(F.least(inner, F.col("_cuts") - 1), F.lit(0).cast("bigint"))
-            number = F.col("_slice") * _MAX_CUTS + F.coalesce(clamped, F.lit(0).cast("bigint"))
+            # Rows without an order value come first, as in a plain window.
+            placed = F.when(F.col("_x").isNull(), F.lit(0).cast("bigint")).otherwise(F.coalesce(clamped, F.lit(0).cast("bigint")))
+            number = F.col("_slice") * _MAX_CUTS + placed
             out = out.withColumn("_slice", number).drop("_lo", "_width", "_cuts")
         return out.select(*df.columns, F.col("_slice").alias(name))
 

@@ -84,8 +84,11 @@ def fft_magnitude(
 
     def whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         size = len(rows)
-        x = np.empty(size)
-        x[rows["n"].to_numpy()] = rows["dev"].to_numpy()
+        place = rows["n"].to_numpy()
+        if size and (len(np.unique(place)) < size or place.max() >= size):
+            raise ValueError(f"series {key}: repeated or missing times")
+        x = np.zeros(size)
+        x[place] = rows["dev"].to_numpy()
         data = dict(zip(keys, key))
         return pd.DataFrame(data | {"k": np.arange(size), "amp": np.abs(np.fft.fft(x)), "size": size})
 

@@ -11,9 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def staging_folder(spark: SparkSession) -> str:
-    """Shared folder the cluster names for intermediate data; a local one only where none is set."""
+    """Shared folder the cluster names for intermediate data.
+
+    Where none is set, a local session gets one of its own; on a cluster, whose executors
+    would each write to their own disks, that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="sensorloom-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir()

@@ -103,3 +103,14 @@ def test_empty_input(spark, noisy):
     empty = noisy.limit(0)
     assert ordered.trailing_avg(empty, KEYS, "timestamp", "value").count() == 0
     assert ordered.interpolate_linear(empty, KEYS, "timestamp", "value").count() == 0
+
+
+def test_rows_without_time_go_to_the_first_slice(spark, at):
+    from sensorloom.operators.sizing import plan_slices
+
+    rows = [("a", at(i)) for i in range(40)] + [("a", None)]
+    df = spark.createDataFrame(rows, "asset string, timestamp timestamp_ntz")
+    slices = plan_slices(df, ["asset"], "timestamp", rows_per_slice=10)
+    placed = slices.add(df).collect()
+    assert not slices.single
+    assert {r["_slice"] for r in placed if r["timestamp"] is None} == {min(r["_slice"] for r in placed)}
