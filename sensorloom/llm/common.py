@@ -18,7 +18,7 @@ __all__ = ["arrow_map", "cells", "connected_components", "mix64", "only", "prepa
 SPACE = " \t\n\x0b\x0c\r"
 
 
-def prepare(spark: SparkSession, rows_per_batch: int = 2000) -> None:
+def prepare(spark: SparkSession, rows_per_batch: int = 1000) -> None:
     """Session options of the corpus operators: those of the library and small Arrow batches.
 
     Long texts make a batch of the default 10,000 rows too large for a worker.
