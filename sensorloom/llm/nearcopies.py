@@ -185,14 +185,18 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """id, shingles (sorted 64-bit hashes) of the wanted ids; written once, as several steps read it."""
+    """id, shingles (sorted 64-bit hashes) of the wanted ids; written once, as several steps read it.
+
+    The ids grow with the corpus, so they are never broadcast; texts move once, and repeated
+    ids go while the rows still lie by id.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         packed = [shingle_set(t, words).tobytes() for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["id", "shingles"])
 
-    chosen = docs.join(wanted, "id", "left_semi").select("id", "text")
-    return stage(arrow_map(chosen, run, "id long, shingles binary").dropDuplicates(["id"]))
+    chosen = docs.join(wanted.hint("merge"), "id", "left_semi").select("id", "text").dropDuplicates(["id"])
+    return stage(arrow_map(chosen, run, "id long, shingles binary"))
 
 
 def _common(sets: DataFrame) -> DataFrame:
@@ -376,14 +380,15 @@ def components(docs: DataFrame, key: str, text: str, words: int = 5, percent: in
         .distinct()
     )
     likely = stage(_likely(stars, classes, percent))
-    members = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    first = stage(_confirmed(likely, _sets(known, members, words), percent))
+    # Whatever is compared below lies in a bucket with company.
+    sets = _sets(known, shared.select(F.col("rep").alias("id")).distinct(), words)
+    first = stage(_confirmed(likely, sets, percent))
     settled = stage(connected_components(first))
 
     left = stage(_mixed(_parted(shared.select("band", "rep", "n"), settled)))
-    sets = _sets(known, left.select(F.col("rep").alias("id")).distinct(), words)
+    mixed = sets.join(left.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
     # At best a set has its common shingles in a partner of just that size, or of the smallest size in the bucket.
-    common = stage(left.join(_common(sets).withColumnRenamed("id", "rep"), "rep"))
+    common = stage(left.join(_common(mixed).withColumnRenamed("id", "rep"), "rep"))
     least = common.groupBy("band").agg(F.min("n").alias("least"))
     able = F.col("common") * 100 >= (F.col("n") + F.greatest("least", "common") - F.col("common")) * percent
     left = stage(_mixed(common.join(least, "band").where(able).drop("least")))
