@@ -42,17 +42,27 @@ def kmeans_labels(
         return union_in_batches(assets, lambda names: pool.map(label, names))
 
 
-def silhouette_sweep(vectors: DataFrame, ks: Sequence[int] = range(2, 15), seed: int = 7, parallelism: int = 8) -> DataFrame:
-    """Mean silhouette (squared Euclidean, linear in the rows) for each number of clusters."""
+def silhouette_sweep(
+    vectors: DataFrame,
+    ks: Sequence[int] = range(2, 15),
+    asset: str = "asset",
+    assets: Sequence[str] | None = None,
+    seed: int = 7,
+    parallelism: int = 8,
+) -> DataFrame:
+    """Mean silhouette (squared Euclidean, linear in the rows) per asset and number of clusters."""
+    assets = list(assets) if assets is not None else column_values(vectors, asset)
     scorer = ClusteringEvaluator(featuresCol="features", predictionCol="label", distanceMeasure="squaredEuclidean")
 
-    def score(k: int) -> tuple[int, float]:
-        model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="label").fit(vectors)
-        return k, float(scorer.evaluate(model.transform(vectors)))
+    def score(case: tuple[str, int]) -> tuple[str, int, float]:
+        name, k = case
+        mine = vectors.filter(F.col(asset) == name)
+        model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="label").fit(mine)
+        return name, k, float(scorer.evaluate(model.transform(mine)))
 
     with ThreadPool(parallelism) as pool:
-        rows = pool.map(score, list(ks))
-    return vectors.sparkSession.createDataFrame(rows, "k int, silhouette double")
+        rows = pool.map(score, [(name, k) for name in assets for k in ks])
+    return vectors.sparkSession.createDataFrame(rows, f"`{asset}` string, k int, silhouette double")
 
 
 def state_projection(labelled: DataFrame, keep: Sequence[str]) -> DataFrame:

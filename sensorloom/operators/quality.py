@@ -53,50 +53,51 @@ def missing_matrix(df: DataFrame, variable: str, asset: str, ts: str, value: str
 
 
 def gap_report(
-    df: DataFrame, key: str, ts: str, value: str, step_seconds: int = 600, slices: Slices | None = None
+    df: DataFrame, key: str | Sequence[str], ts: str, value: str, step_seconds: int = 600, slices: Slices | None = None
 ) -> DataFrame:
-    """Runs of missing readings as (start, stop, duration_s, key).
+    """Runs of missing readings per series as (start, stop, duration_s, *key), ordered by start.
 
     A run breaks when two missing times are more than one step apart; `stop` is
     one step after its last missing time. Keys without gaps give no row.
     """
-    missing = df.filter(F.col(value).isNull()).select(key, ts)
-    slices = slices or plan_slices(missing, [key], ts)
+    keys = [key] if isinstance(key, str) else list(key)
+    missing = df.filter(F.col(value).isNull()).select(*keys, ts)
+    slices = slices or plan_slices(missing, keys, ts)
     session = F.session_window(F.col(ts), f"{step_seconds} seconds")
     runs = (
         slices.add(missing)
-        .groupBy(key, "_slice", session)
+        .groupBy(*keys, "_slice", session)
         .agg(F.min(ts).alias("start"), F.max(ts).alias("last"))
         .drop("session_window")
     )
     if not slices.single:
-        runs = _join_cut_runs(runs, key, step_seconds)
+        runs = _join_cut_runs(runs, keys, step_seconds)
     stop = F.col("last") + F.expr(f"INTERVAL {step_seconds} SECOND")
     seconds = F.unix_seconds(stop.cast("timestamp")) - F.unix_seconds(F.col("start").cast("timestamp"))
-    return runs.select("start", stop.alias("stop"), seconds.alias("duration_s"), F.col(key).alias("asset"))
+    return runs.select("start", stop.alias("stop"), seconds.alias("duration_s"), *keys).orderBy("start", *keys)
 
 
-def _join_cut_runs(runs: DataFrame, key: str, step_seconds: int) -> DataFrame:
+def _join_cut_runs(runs: DataFrame, keys: list[str], step_seconds: int) -> DataFrame:
     """Put runs that a slice edge cut in two together again.
 
     Only the first and last run of a slice can continue elsewhere, so the
     window per key sees at most two rows per slice.
     """
-    part = Window.partitionBy(key, "_slice")
+    part = Window.partitionBy(*keys, "_slice")
     marked = runs.withColumn(
         "_edge",
         (F.col("start") == F.min("start").over(part)) | (F.col("last") == F.max("last").over(part)),
     )
-    line = Window.partitionBy(key).orderBy("start")
+    line = Window.partitionBy(*keys).orderBy("start")
     edges = marked.filter("_edge")
     continues = F.col("start") <= F.lag("last").over(line) + F.expr(f"INTERVAL {step_seconds} SECOND")
     joined = (
         edges.withColumn("_new", F.when(F.coalesce(continues, F.lit(False)), 0).otherwise(1))
         .withColumn("_run", F.sum("_new").over(line))
-        .groupBy(key, "_run")
+        .groupBy(*keys, "_run")
         .agg(F.min("start").alias("start"), F.max("last").alias("last"))
     )
-    return marked.filter(~F.col("_edge")).select(key, "start", "last").unionByName(joined.select(key, "start", "last"))
+    return marked.filter(~F.col("_edge")).select(*keys, "start", "last").unionByName(joined.select(*keys, "start", "last"))
 
 
 def sigma_outliers(df: DataFrame, keys: Sequence[str], value: str, n: float = 3.0) -> DataFrame:

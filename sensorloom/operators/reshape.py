@@ -137,9 +137,11 @@ class Grid:
         return starts.select(*self.series.columns, F.explode(F.sequence("_start", end, seconds(1))).alias(self.ts))
 
     def fill(self, df: DataFrame, value: str) -> DataFrame:
-        """The table on the grid, with NULL where a series has no reading."""
-        keys = [*self.series.columns, self.ts]
-        return self.points().join(df.select(*keys, value), keys, "left")
+        """The table on the grid, with NULL where a series has no reading.
+
+        A reading at a time off the grid fails the job; one without a time has no place and is left out.
+        """
+        return _placed(self.points(), df.select(*self.series.columns, self.ts, value), self.ts, value)
 
     def slices(self, rows_per_slice: int = SLICE_ROWS, keys: Sequence[str] | None = None) -> Slices:
         """Slices of the grid; every series has the same length, so nothing is scanned.
@@ -174,6 +176,20 @@ def step_grid(df: DataFrame, keys: Sequence[str], x: str, step: int) -> DataFram
 
 
 def densify(df: DataFrame, keys: Sequence[str], x: str, value: str, step: int) -> DataFrame:
-    """Known values on the finer step grid; NULL in between."""
+    """Known values on the finer step grid; NULL in between.
+
+    A value at an `x` off the grid fails the job; one without `x` has no place and is left out.
+    """
     grid = step_grid(df, keys, x, step)
-    return grid.join(df.select(*keys, F.col(x).cast("bigint").alias(x), value), [*keys, x], "left")
+    return _placed(grid, df.select(*keys, F.col(x).cast("bigint").alias(x), value), x, value)
+
+
+def _placed(grid: DataFrame, known: DataFrame, x: str, value: str) -> DataFrame:
+    """Known values at their grid points, keys compared with NULL equal to NULL."""
+    keys = grid.columns
+    spots = grid.withColumn("_on_grid", F.lit(True)).alias("g")
+    found = known.filter(F.col(x).isNotNull()).alias("k")
+    same = [F.col(f"g.{c}").eqNullSafe(F.col(f"k.{c}")) for c in keys]
+    off = F.concat(F.lit(f"no grid point for {x} = "), F.col(f"k.{x}").cast("string"))
+    checked = F.when(F.col("g._on_grid").isNull(), F.raise_error(off)).otherwise(F.col(f"k.{value}"))
+    return spots.join(found, same, "full").select(*[F.col(f"g.{c}") for c in keys], checked.alias(value))

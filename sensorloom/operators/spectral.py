@@ -37,6 +37,16 @@ def _centred(
     return joined.select(*keys, n.cast("bigint").alias("n"), "size", (F.col("_v") - F.col("_mean")).alias("dev"))
 
 
+def shared_span(df: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
+    """Rows from the moment on at which every series has begun, so that all spectra have the same bins.
+
+    Series without a single reading do not count; a late series shortens all others.
+    """
+    begins = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.min(order).alias("_begin"))
+    start = begins.agg(F.max("_begin")).scalar()
+    return df.filter(F.col(order) >= start)
+
+
 def dft_magnitude(
     df: DataFrame,
     keys: Sequence[str],
@@ -222,6 +232,16 @@ def spectral_correlation(spectrum: DataFrame, asset: str = "asset", variable: st
     return correlation_long(spectrum, "k", variable, "amp", within=asset)
 
 
+def with_late_copies(df: DataFrame, order: str, seconds: int, variable: str = "variable", mark: str = "_late") -> DataFrame:
+    """The table and a copy of every series that runs `seconds` behind it, named with `mark`.
+
+    A delay changes the correlation in time but not the amplitudes of the spectrum.
+    """
+    later = (F.col(order) + F.expr(f"INTERVAL {seconds} SECOND")).cast(df.schema[order].dataType)
+    late = df.withColumns({order: later, variable: F.concat(variable, F.lit(mark))})
+    return df.unionByName(late)
+
+
 def quadrature_pair(df: DataFrame, keys: Sequence[str], x: str, cycles_per_unit: float) -> DataFrame:
     """Long table with a sine and a cosine of the same phase for each row of `df`."""
     phase = F.lit(2.0) * F.pi() * F.col(x) * F.lit(float(cycles_per_unit))

@@ -22,7 +22,7 @@ from sensorloom.operators import (
     spectral,
     splines,
 )
-from sensorloom.operators.sizing import Slices
+from sensorloom.operators.sizing import Slices, plan_slices
 from sensorloom.plans import flows
 from sensorloom.session import apply_settings
 from sensorloom.sources import files, roles
@@ -225,8 +225,7 @@ def missing_matrix(spark, sf):
 @query
 def gap_report(spark, sf):
     grid, table = _on_grid(spark, sf)
-    inspected = table.filter(F.col("variable") == "click")
-    return quality.gap_report(inspected, "asset", "timestamp", "value", roles.HOUR, grid.slices(keys=["asset"]))
+    return quality.gap_report(table, SERIES, "timestamp", "value", roles.HOUR, grid.slices())
 
 
 @query
@@ -264,8 +263,7 @@ def dropna_any(spark, sf):
 
 @query
 def drop_null_columns(spark, sf):
-    kept = reshape.drop_null_columns(roles.raw_history(roles.hourly(spark, sf, reused=True)))
-    return kept.select("asset", "timestamp", "day", "fcast_day")
+    return reshape.drop_null_columns(roles.raw_history(roles.hourly(spark, sf, reused=True)))
 
 
 def _on_grid(spark, sf) -> tuple[reshape.Grid, DataFrame]:
@@ -313,15 +311,21 @@ def correlation_by_asset(spark, sf):
 
 
 def _spectrum(spark, sf) -> tuple[Slices, DataFrame]:
-    """Spectra of a fixed number of bins, so a series never needs more than one slice."""
+    """Whole, centred spectra over the time that all series share, and slices of their bins if a series is long."""
     grid, filled = _filled(spark, sf)
-    spectrum = spectral.dft_magnitude(filled, SERIES, "timestamp", "value", BINS, grid.slices(), HOUR_MICROS)
-    return Slices(tuple(SERIES), "k", n_keys=grid.n_series), spectrum
+    shared = spectral.shared_span(filled, SERIES, "timestamp", "value")
+    spectrum = spectral.fft_magnitude(shared, SERIES, "timestamp", "value", slices=grid.slices(), step=HOUR_MICROS)
+    centred = spectral.centre_spectrum(spectrum, roles.HOUR)
+    if not grid.slices().single:
+        return plan_slices(centred, SERIES, "k_shift"), centred
+    return Slices(tuple(SERIES), "k_shift", n_keys=grid.n_series), centred
 
 
 @query
 def dft_magnitude(spark, sf):
-    return rounded(_spectrum(spark, sf)[1], "amp")
+    grid, filled = _filled(spark, sf)
+    spectrum = spectral.dft_magnitude(filled, SERIES, "timestamp", "value", BINS, grid.slices(), HOUR_MICROS)
+    return rounded(spectrum, "amp")
 
 
 @query
@@ -337,14 +341,16 @@ def fft_magnitude(spark, sf):
 @query
 def cumulative_energy(spark, sf):
     slices, spectrum = _spectrum(spark, sf)
-    return rounded(spectral.cumulative_energy(spectrum, SERIES, slices=slices).drop("amp"), "cum_energy")
+    energy = spectral.cumulative_energy(spectrum, SERIES, "k_shift", slices=slices)
+    return rounded(energy.select(*SERIES, "k_shift", "cum_energy"), "cum_energy")
 
 
 @query
 def energy_band(spark, sf):
     slices, spectrum = _spectrum(spark, sf)
-    energy = spectral.cumulative_energy(spectrum, SERIES, slices=slices)
-    return rounded(spectral.energy_band(energy), "amp", "cum_energy")
+    energy = spectral.cumulative_energy(spectrum, SERIES, "k_shift", slices=slices)
+    inside = spectral.energy_band(energy.select(*SERIES, "k_shift", "amp", "cum_energy"), k="k_shift")
+    return rounded(inside, "amp", "cum_energy")
 
 
 @query
@@ -354,14 +360,15 @@ def spectral_correlation(spark, sf):
 
 @query
 def quadrature_demo(spark, sf):
-    grid = reshape.Grid.measure(roles.hourly(spark, sf, reused=True), ["asset"], "timestamp", roles.HOUR)
-    placed = ordered.positions(grid.points(), ["asset"], "timestamp", slices=grid.slices())
-    waves = spectral.quadrature_pair(placed, ["asset"], "pos", 1 / 25)
-    in_time = correlation.correlation_long(waves, "pos", "variable", "value", within="asset")
-    spectrum = spectral.dft_magnitude(waves, SERIES, "pos", "value", BINS, grid.slices(), 1)
+    """Every series against its copy six hours behind: apart in time, equal in the spectrum."""
+    grid, filled = _filled(spark, sf)
+    both = spectral.with_late_copies(filled, "timestamp", 6 * roles.HOUR)
+    in_time = correlation.correlation_long(both, "timestamp", "variable", "value", within="asset")
+    # A delayed series has as many points as its origin; `n` counts hours from its own start.
+    spectrum = spectral.fft_magnitude(both, SERIES, "timestamp", "value", slices=grid.slices(), step=HOUR_MICROS)
     in_bins = spectral.spectral_correlation(spectrum)
-    both = in_time.withColumn("domain", F.lit("time")).unionByName(in_bins.withColumn("domain", F.lit("spectrum")))
-    return rounded(both.filter(F.col("var_a") != F.col("var_b")), "corr")
+    pairs = in_time.withColumn("domain", F.lit("time")).unionByName(in_bins.withColumn("domain", F.lit("spectrum")))
+    return rounded(pairs.filter(F.col("var_b") == F.concat("var_a", F.lit("_late"))), "corr")
 
 
 # --- forecasts ----------------------------------------------------------------------------
@@ -636,8 +643,7 @@ def kmeans_labels(spark, sf):
 
 @query
 def silhouette_sweep(spark, sf):
-    vectors = _vectors(spark, sf).filter(F.col("asset") == roles.ASSETS[0])
-    return rounded(clustering.silhouette_sweep(vectors), "silhouette")
+    return rounded(clustering.silhouette_sweep(_vectors(spark, sf), assets=roles.ASSETS), "silhouette")
 
 
 @query

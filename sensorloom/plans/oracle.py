@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sensorloom.plans.catalog import BINS, BLEND, LINE_FEATURES, SERIES_COLUMNS, TEST_DAYS, TRANSLATED_COLUMNS
+from sensorloom.plans.catalog import BLEND, LINE_FEATURES, SERIES_COLUMNS, TEST_DAYS, TRANSLATED_COLUMNS
 from sensorloom.sources.roles import ASSETS, SENSOR_COLUMNS, SENSORS, TRANSLATIONS
 
 _LOOKUP = "CASE variable " + " ".join(f"WHEN '{s}' THEN '{d}'" for s, d in TRANSLATIONS.items()) + " END"
@@ -31,12 +31,21 @@ _PARTS = {
     "wave": """SELECT asset, variable, value - avg(value) OVER (PARTITION BY asset, variable) AS dev,
         row_number() OVER (PARTITION BY asset, variable ORDER BY ts) - 1 AS n,
         count(*) OVER (PARTITION BY asset, variable) AS size FROM filled WHERE value IS NOT NULL""",
-    "spec": f"""SELECT asset, variable, k,
+    "spec": """SELECT asset, variable, k,
         sqrt(pow(sum(dev * cos(2 * pi() * ((k * n) % size) / size)), 2)
            + pow(sum(dev * sin(2 * pi() * ((k * n) % size) / size)), 2)) AS amp
-        FROM wave, (SELECT unnest(range(0, {BINS + 1})) AS k) GROUP BY asset, variable, k""",
-    "energy": """SELECT *, sum(amp * amp) OVER (PARTITION BY asset, variable ORDER BY k)
-        / nullif(sum(amp * amp) OVER (PARTITION BY asset, variable), 0) AS cum_energy FROM spec""",
+        FROM wave, (SELECT unnest(range(0, 41)) AS k) GROUP BY asset, variable, k""",
+    "shared": """SELECT asset, variable, value - avg(value) OVER (PARTITION BY asset, variable) AS dev,
+        row_number() OVER (PARTITION BY asset, variable ORDER BY ts) - 1 AS n,
+        count(*) OVER (PARTITION BY asset, variable) AS size FROM filled WHERE ts >= (SELECT max(b) FROM
+        (SELECT min(ts) AS b FROM filled WHERE value IS NOT NULL GROUP BY asset, variable))""",
+    "whole": """SELECT asset, variable, (k + size // 2) % size - size // 2 AS k_shift,
+        sqrt(pow(sum(dev * cos(2 * pi() * ((k * n) % size) / size)), 2)
+           + pow(sum(dev * sin(2 * pi() * ((k * n) % size) / size)), 2)) AS amp
+        FROM shared, (SELECT unnest(range(0, (SELECT max(size) FROM shared))) AS k)
+        GROUP BY asset, variable, size, k""",
+    "energy": """SELECT *, sum(amp * amp) OVER (PARTITION BY asset, variable ORDER BY k_shift)
+        / nullif(sum(amp * amp) OVER (PARTITION BY asset, variable), 0) AS cum_energy FROM whole""",
     "raw": "SELECT asset, ts, CAST(ts AS DATE) AS day, CAST(ts AS DATE) + 1 AS fcast_day, "
     + ", ".join(f"max(value) FILTER (WHERE variable = '{v}') AS {s}" for v, s in SENSORS.items())
     + " FROM hourly GROUP BY asset, ts",
@@ -252,9 +261,10 @@ def oracle_sql() -> dict[str, str]:
             "hourly",
         ),
         "gap_report": _with(
-            """SELECT min(ts) AS "start", max(ts) + INTERVAL 1 HOUR AS "stop", CAST(count(*) * 3600 AS BIGINT) AS duration_s, asset
-            FROM (SELECT *, rn - row_number() OVER (PARTITION BY asset ORDER BY ts) AS island FROM dense
-              WHERE variable = 'click' AND value IS NULL) GROUP BY asset, island""",
+            """SELECT min(ts) AS "start", max(ts) + INTERVAL 1 HOUR AS "stop", CAST(count(*) * 3600 AS BIGINT) AS duration_s,
+            asset, variable
+            FROM (SELECT *, rn - row_number() OVER (PARTITION BY asset, variable ORDER BY ts) AS island FROM dense
+              WHERE value IS NULL) GROUP BY asset, variable, island""",
             "dense",
         ),
         "outlier_rows": _after(
@@ -308,31 +318,35 @@ def oracle_sql() -> dict[str, str]:
             "wave",
         ),
         "cumulative_energy": _with(
-            "SELECT asset, variable, k, round(cum_energy, 6) AS cum_energy FROM energy", "energy"
+            "SELECT asset, variable, k_shift, round(cum_energy, 6) AS cum_energy FROM energy", "energy"
         ),
         "energy_band": _with(
-            """SELECT asset, variable, k, round(amp, 6) AS amp, round(cum_energy, 6) AS cum_energy FROM energy
-            WHERE (variable, k) IN (SELECT (variable, k) FROM energy GROUP BY variable, k
+            """SELECT asset, variable, k_shift, round(amp, 6) AS amp, round(cum_energy, 6) AS cum_energy FROM energy
+            WHERE (variable, k_shift) IN (SELECT (variable, k_shift) FROM energy GROUP BY variable, k_shift
               HAVING min(cum_energy) > 0.05 AND max(cum_energy) < 0.95)""",
             "energy",
         ),
         "spectral_correlation": _with(
             f"""SELECT a.asset, a.variable AS var_a, b.variable AS var_b, {_corr('a.amp', 'b.amp')} AS corr, count(*) AS n
-            FROM spec a JOIN spec b ON a.asset = b.asset AND a.k = b.k AND a.variable <= b.variable GROUP BY 1, 2, 3""",
-            "spec",
+            FROM whole a JOIN whole b ON a.asset = b.asset AND a.k_shift = b.k_shift AND a.variable <= b.variable
+            GROUP BY 1, 2, 3""",
+            "whole",
         ),
         "quadrature_demo": _after(
-            "grid",
-            f"""w AS (SELECT asset, n, size, sin(2 * pi() * n * (1.0::DOUBLE / 25)) AS s, cos(2 * pi() * n * (1.0::DOUBLE / 25)) AS c FROM
-              (SELECT asset, row_number() OVER (PARTITION BY asset ORDER BY ts) AS n, count(*) OVER (PARTITION BY asset) AS size
-               FROM (SELECT DISTINCT asset, ts FROM grid))),
-            d AS (SELECT *, s - avg(s) OVER (PARTITION BY asset) AS ds, c - avg(c) OVER (PARTITION BY asset) AS dc FROM w),
-            f AS (SELECT asset, k, sqrt(pow(sum(ds * cos(a)), 2) + pow(sum(ds * sin(a)), 2)) AS fs,
-                sqrt(pow(sum(dc * cos(a)), 2) + pow(sum(dc * sin(a)), 2)) AS fc
-              FROM (SELECT *, 2 * pi() * ((k * (n - 1)) % size) / size AS a FROM d, (SELECT unnest(range(0, {BINS + 1})) AS k))
-              GROUP BY 1, 2)""",
-            f"""SELECT asset, 'cos' AS var_a, 'sin' AS var_b, {_corr('c', 's')} AS corr, count(*) AS n, 'time' AS domain FROM w GROUP BY 1
-            UNION ALL SELECT asset, 'cos', 'sin', {_corr('fc', 'fs')}, count(*), 'spectrum' FROM f GROUP BY 1""",
+            "filled",
+            """w AS (SELECT asset, variable, ts, value FROM filled UNION ALL
+              SELECT asset, variable || '_late', ts + INTERVAL 6 HOUR, value FROM filled),
+            d AS (SELECT asset, variable, value - avg(value) OVER (PARTITION BY asset, variable) AS dev,
+              row_number() OVER (PARTITION BY asset, variable ORDER BY ts) - 1 AS n,
+              count(*) OVER (PARTITION BY asset, variable) AS size FROM w WHERE value IS NOT NULL),
+            f AS (SELECT asset, variable, k, sqrt(pow(sum(dev * cos(a)), 2) + pow(sum(dev * sin(a)), 2)) AS amp
+              FROM (SELECT *, 2 * pi() * ((k * n) % size) / size AS a FROM d,
+                (SELECT unnest(range(0, (SELECT max(size) FROM d))) AS k) WHERE k < size) GROUP BY 1, 2, 3)""",
+            f"""SELECT a.asset, a.variable AS var_a, b.variable AS var_b, {_corr('a.value', 'b.value')} AS corr, count(*) AS n,
+            'time' AS domain FROM w a JOIN w b ON a.asset = b.asset AND b.variable = a.variable || '_late' AND a.ts = b.ts
+            WHERE a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY 1, 2, 3
+            UNION ALL SELECT a.asset, a.variable, b.variable, {_corr('a.amp', 'b.amp')}, count(*), 'spectrum'
+            FROM f a JOIN f b ON a.asset = b.asset AND b.variable = a.variable || '_late' AND a.k = b.k GROUP BY 1, 2, 3""",
         ),
         "forecast_join": _with(
             """SELECT asset, fcast_day, "range", ts AS "timestamp", fcast_time, round(WTURPower, 6) AS WTURPower,

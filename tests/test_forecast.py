@@ -109,6 +109,15 @@ def test_few_knots_are_joined_by_lines(spark):
     assert np.isnan(splines.not_a_knot(np.array([]), np.array([]), np.array([1.0]))).all()
 
 
+def test_densify_refuses_values_off_the_grid(spark):
+    schema = "asset string, fcast_day string, range int, pred double"
+    df = spark.createDataFrame([("A001", "d", 0, 0.0), (None, "d", 1200, 2.0), ("A001", "d", 900, 1.0)], schema)
+    fits = reshape.densify(df.filter("range <> 900"), ["asset", "fcast_day"], "range", "pred", 600)
+    assert sorted((str(r.asset), r.range, r.pred) for r in fits.collect() if r.pred is not None) == [("A001", 0, 0.0), ("None", 1200, 2.0)]
+    with pytest.raises(Exception, match="no grid point"):
+        reshape.densify(df, ["asset", "fcast_day"], "range", "pred", 600).collect()
+
+
 def test_densify_and_linear_curve(spark):
     rows = [("A001", "d", 0, 0.0), ("A001", "d", 3600, 6.0), ("A002", "d", 3600, 1.0)]
     df = spark.createDataFrame(rows, "asset string, fcast_day string, range int, pred double")

@@ -94,8 +94,10 @@ def test_states_are_found_and_projected(spark):
     out = clustering.kmeans_labels(vectors, ["asset", "timestamp"], k=3).toPandas()
     for _, one in out.groupby("asset"):
         assert one.groupby(one.timestamp % 3).label.nunique().eq(1).all() and one.label.nunique() == 3
-    sweep = clustering.silhouette_sweep(vectors.filter("asset = 'A001'"), range(2, 5)).toPandas()
-    assert sweep.sort_values("silhouette").k.iloc[-1] == 3
+    sweep = clustering.silhouette_sweep(vectors, range(2, 5)).toPandas()
+    for _, one in sweep.groupby("asset"):
+        assert one.sort_values("silhouette").k.tolist()[-1] == 3 and len(one) == 3
+    assert sweep.asset.nunique() == 2
     labelled = clustering.kmeans_labels(vectors, ["asset", "timestamp"], k=3)
     flat = clustering.state_projection(labelled, ["asset", "timestamp"]).toPandas()
     assert flat.x.var() > flat.y.var() and abs(flat.x.mean()) < 1e-6

@@ -21,6 +21,27 @@ def test_gap_report(spark, at):
     assert found == [(at(10), at(40), 1800, "A001"), (at(60), at(70), 600, "A001")]
 
 
+def test_gaps_per_asset_and_variable_in_order_of_start(spark, at):
+    rows = [("A001", v, at(10 * i), None if i in gaps else 1.0) for v, gaps in (("v", {4, 5}), ("w", {1, 4})) for i in range(9)]
+    report = quality.gap_report(spark.createDataFrame(rows, SCHEMA), ["asset", "variable"], "timestamp", "value", 600)
+    assert report.columns == ["start", "stop", "duration_s", "asset", "variable"]
+    assert list(map(tuple, report.collect())) == [
+        (at(10), at(20), 600, "A001", "w"),
+        (at(40), at(60), 1200, "A001", "v"),
+        (at(40), at(50), 600, "A001", "w"),
+    ]
+
+
+def test_readings_off_the_grid_fail(spark, at):
+    rows = [("A001", "v", at(0), 1.0), ("A001", "v", at(15), 2.0), ("A001", "v", at(30), 3.0), ("A001", "v", None, 4.0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    grid = reshape.Grid.measure(df, ["asset", "variable"], "timestamp", 600)
+    with pytest.raises(Exception, match="no grid point"):
+        grid.fill(df, "value").collect()
+    fitting = df.filter("value <> 2")
+    assert sorted(r.value for r in grid.fill(fitting, "value").collect() if r.value) == [1.0, 3.0]
+
+
 def test_no_gaps(spark, at):
     df = spark.createDataFrame(grid_rows(at, set()), SCHEMA)
     assert quality.gap_report(df, "asset", "timestamp", "value", 600).count() == 0

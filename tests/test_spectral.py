@@ -20,6 +20,29 @@ def test_dft_of_a_sine(spark):
     assert np.allclose([on_grid[k] for k in range(8)], [amp[k] for k in range(8)])
 
 
+def test_shared_span_gives_equal_lengths(spark):
+    df = waves(spark, early=range(10), late=[None, None, *range(8)], silent=[None] * 10)
+    sizes = spectral.fft_magnitude(spectral.shared_span(df, KEYS, "n", "value"), KEYS, "n", "value")
+    assert {(r.variable, r["size"]) for r in sizes.select("variable", "size").distinct().collect()} == {
+        ("early", 8),
+        ("late", 8),
+    }
+
+
+def test_late_copies_differ_in_time_only(spark, at):
+    values = np.random.default_rng(1).normal(size=30)
+    rows = [("A001", "v", at(10 * i), float(v)) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "asset string, variable string, timestamp timestamp_ntz, value double")
+    both = spectral.with_late_copies(df, "timestamp", 1200)
+    assert both.schema["timestamp"].dataType == df.schema["timestamp"].dataType
+    in_time = {(r.var_a, r.var_b): r for r in correlation.correlation_long(both, "timestamp", "variable", "value", within="asset").collect()}
+    pair = in_time["v", "v_late"]
+    assert pair.n == 28 and np.isclose(pair["corr"], abs(np.corrcoef(values[2:], values[:-2])[0, 1]))
+    bins = spectral.fft_magnitude(both, KEYS, "timestamp", "value", step=600_000_000)
+    in_bins = {(r.var_a, r.var_b): r["corr"] for r in spectral.spectral_correlation(bins).collect()}
+    assert np.isclose(in_bins["v", "v_late"], 1)
+
+
 @pytest.mark.parametrize("size", [1, 2, 7, 16, 45, 101])
 def test_distributed_transform_equals_numpy(spark, size):
     rng = np.random.default_rng(size)
