@@ -15,13 +15,18 @@ from sensorloom.llm.common import only, stage
 
 
 class Kind(NamedTuple):
-    """A kind of candidate: what it is called, its pattern, which group is its value, least length of that value."""
+    """A kind of candidate: what it is called, its pattern, which group is its value, least length of that value.
+
+    A `wrapped` value may be broken into lines in several ways: it is compared without
+    spaces and line breaks, and the whole match stands for one that is empty.
+    """
 
     name: str
     pattern: str
     value: int
     least: int
     groups: int
+    wrapped: bool = False
 
 
 #: Base kinds (fixed patterns), in the order in which spans with one start are listed.
@@ -30,12 +35,22 @@ BASE = (
     Kind("access", "AKIA[A-Z0-9]+", 0, 18, 0),
     Kind("hex", "[0-9a-f]{16,}", 0, 16, 0),
 )
-#: Further kinds: vendor tokens, signed web tokens, private key headers, credentials in addresses.
+#: A break inside a key: white space, or one written as an escape in a string.
+BREAK = "(?:\\s|\\\\[nr])"
+#: What stands between the two lines around a key: all of it where the second line follows; otherwise its
+#: own two header fields, its lines of base64, and a shorter last line that holds nothing else.
+KEY_END = "-----END [A-Z ]*PRIVATE KEY-----"
+KEY_BODY = (
+    f"(?:(?!-----)(?s:.))*+(?={KEY_END})"
+    f"|(?:{BREAK}*+(?:Proc-Type|DEK-Info):\\x20?[A-Z0-9,-]++)*+(?:{BREAK}*+[A-Za-z0-9+/]{{16,}}+={{0,2}}+)*+"
+    f"(?:[\\x20\\t]*+(?:[\\r\\n]|\\\\[nr])++[\\x20\\t]*+[A-Za-z0-9+/]++={{0,2}}+(?=[\\x20\\t]*+(?:[\\r\\n\"']|\\\\[nr]|\\z)))?+"
+)
+#: Further kinds: vendor tokens, signed web tokens, private keys, credentials in addresses.
 ADDED = (
     Kind("vendor", "(?:gh[pousr]_|sk_live_|xox[abprs]-)[A-Za-z0-9-]+", 0, 20, 0),
     Kind("jwt", "eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+", 0, 30, 0),
-    Kind("keyblock", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 20, 0),
-    Kind("address", "[a-z][a-z0-9+.-]{1,20}://[^\\x20\\x09-\\x0D/:@]{1,64}:([^\\x20\\x09-\\x0D/@]{1,128})@", 1, 6, 1),
+    Kind("keyblock", f"-----BEGIN [A-Z ]*PRIVATE KEY-----({KEY_BODY})(?:{KEY_END})?+", 1, 1, 1, wrapped=True),
+    Kind("address", "[a-z][a-z0-9+.-]{1,20}://[^\\x20\\x09-\\x0D/:@]*+:([^\\x20\\x09-\\x0D/@]++)@", 1, 6, 1),
 )
 
 
@@ -56,8 +71,11 @@ def spans_of(text: Column, kind: Kind) -> Column:
     def step(state: Column, match: Column) -> Column:
         begin = state["at"] + F.length(match["gap"])
         end = begin + F.length(match["whole"])
-        span = F.struct(begin.alias("start"), end.alias("end"), F.lit(kind.name).alias("kind"), match["value"].alias("value"))
-        kept = F.when(F.length(match["value"]) >= kind.least, F.array(span)).otherwise(F.array().cast("array<struct<start:int,end:int,kind:string,value:string>>"))
+        value = match["value"]
+        if kind.wrapped:
+            value = F.coalesce(F.nullif(F.regexp_replace(value, BREAK, ""), F.lit("")), match["whole"])
+        span = F.struct(begin.alias("start"), end.alias("end"), F.lit(kind.name).alias("kind"), value.alias("value"))
+        kept = F.when(F.length(value) >= kind.least, F.array(span)).otherwise(F.array().cast("array<struct<start:int,end:int,kind:string,value:string>>"))
         return F.struct(end.alias("at"), F.concat(state["spans"], kept).alias("spans"))
 
     return F.aggregate(found, start, step, lambda state: state["spans"])

@@ -86,6 +86,31 @@ def test_secrets(docs, nothing, texts):
     assert secrets.scan(nothing, "doc_id", "text", owner, repository).count() == 0
 
 
+def test_private_keys_are_judged_and_replaced_whole(spark, docs):
+    """Keys of one type at many owners differ in their bodies; a copied one is the same key however its lines break."""
+    rng = random.Random(7)
+    body = lambda n: ["".join(rng.choices("GHJKLMgjkmnp0123456789+/", k=64)) for _ in range(n)] + ["shortEnd=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    own, copied, long = [body(25) for _ in range(4)], body(3), body(3000)
+    texts = [
+        *(f"before\n{begin}\n" + "\n".join(k) + f"\n{end}\nafter {i}." for i, k in enumerate(own)),
+        *(f"k {begin}" + b + b.join(copied) + b + f"{end} z" for b in ("\n", "\r\n", "\\n")),
+        f"cut {begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n" + "\n".join(own[0][:3]) + "\nlast1=\nSome words after.",
+        f"a {begin} is a header, and {begin}\n" + "\n".join(long) + f"\n{end}!",
+        f"redis://:longsecret@host and http://{'u' * 90}:{'p' * 300}@host/x",
+    ]
+    table = spark.createDataFrame([(i, t, "en", f"src{i}", None) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    owner = repository = F.col("source")
+    judged = by_id(secrets.digest(secrets.scan(table, "doc_id", "text", owner, repository), "doc_id"), "n_live", "n_copied")
+    assert judged == {**dict.fromkeys((0, 1, 2, 3, 7), (1, 0)), **dict.fromkeys((4, 5, 6), (0, 1)), 8: (2, 0), 9: (2, 0)}
+    clean = {i: t for i, (t,) in by_id(secrets.redact(table, "doc_id", "text", owner, repository), "text").items()}
+    assert [clean[i] for i in range(4)] == [f"before\n<keyblock>\nafter {i}." for i in range(4)]
+    assert [clean[i] for i in (4, 5, 6)] == texts[4:7]
+    assert clean[7] == "cut <keyblock>\nSome words after."
+    assert clean[8] == "a <keyblock> is a header, and <keyblock>!"
+    assert clean[9] == "<address>host and <address>host/x"
+
+
 def test_quality(docs, nothing, texts):
     columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     found = quality.judge(docs, "doc_id", "text")
