@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.operators.correlation import correlation_long
@@ -14,15 +14,24 @@ from sensorloom.operators.ordered import cumulative_sum, positions
 from sensorloom.operators.sizing import Slices, order_number, plan_slices
 
 POINTS_PER_TASK = 1 << 20
+PADDING_BLOCK = 1 << 16
 
 
 def _centred(
-    df: DataFrame, keys: Sequence[str], order: str, value: str, slices: Slices | None, step: float | None
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    value: str,
+    slices: Slices | None,
+    step: float | None,
+    within: str | None = None,
 ) -> DataFrame:
     """Position `n` from 0, length `size` and deviation `dev` from the mean; missing rows are trimmed.
 
     On a regular grid (`step` in order units, microseconds for times) the
-    position follows from the order value, so nothing is sorted.
+    position follows from the order value, so nothing is sorted. With `within` (one of
+    the keys) every series gets the length of the longest of its group: deviations of
+    zero follow it, so its spectrum is taken at the frequencies of that one.
     """
     known = df.filter(F.col(value).isNotNull()).select(
         *keys, order, order_number(df, order).alias("_x"), F.col(value).cast("double").alias("_v")
@@ -34,7 +43,21 @@ def _centred(
     placed = known if step else positions(known, keys, order, name="_pos", slices=slices)
     n = F.round((F.col("_x") - F.col("_lo")) / F.lit(step)) if step else F.col("_pos") - 1
     joined = placed.join(slices.per_key(stats), list(keys))
-    return joined.select(*keys, n.cast("bigint").alias("n"), "size", (F.col("_v") - F.col("_mean")).alias("dev"))
+    centred = joined.select(*keys, n.cast("bigint").alias("n"), "size", (F.col("_v") - F.col("_mean")).alias("dev"))
+    if within is None:
+        return centred
+    longest = stats.groupBy(within).agg(F.max("size").alias("_longest"))
+    lengths = stats.select(*keys, "size").join(longest, within)
+    block, last = F.lit(PADDING_BLOCK), F.col("_longest") - 1
+    blocks = lengths.filter(F.col("size") <= last).select(
+        *keys, "size", "_longest", F.explode(F.sequence(F.floor(F.col("size") / block), F.floor(last / block))).alias("_b")
+    )
+    begin, end = F.greatest(F.col("size"), F.col("_b") * block), F.least(last, (F.col("_b") + 1) * block - 1)
+    padding = blocks.select(
+        *keys, F.explode(F.sequence(begin, end)).alias("n"), F.col("_longest").alias("size"), F.lit(0.0).alias("dev")
+    )
+    whole = centred.join(slices.per_key(lengths.select(*keys, "_longest")), list(keys))
+    return whole.select(*keys, "n", F.col("_longest").alias("size"), "dev").unionByName(padding)
 
 
 def shared_span(df: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
@@ -80,15 +103,19 @@ def fft_magnitude(
     points_per_task: int = POINTS_PER_TASK,
     slices: Slices | None = None,
     step: float | None = None,
+    within: str | None = None,
 ) -> DataFrame:
     """Amplitudes of all bins k = 0 .. size-1, with the length as `size`.
 
+    With `within` (one of the keys) the series of a group have the bins of its longest
+    one, so that equal bins are equal frequencies; no reading is left out.
+
     Series up to `points_per_task` are transformed one per group. Longer ones
     go through the distributed transform, whose groups hold about the square
     root of the series.
     """
     keys = list(keys)
-    centred = _centred(df, keys, order, value, slices, step)
+    centred = _centred(df, keys, order, value, slices, step, within)
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys)
     schema = f"{fields}, k bigint, amp double, size bigint"
 
@@ -218,13 +245,22 @@ def cumulative_energy(
 
 
 def energy_band(
-    energy: DataFrame, variable: str = "variable", k: str = "k", low: float = 0.05, high: float = 0.95
+    energy: DataFrame, variable: str = "variable", k: str = "k", low: float = 0.05, high: float = 0.95, asset: str = "asset"
 ) -> DataFrame:
-    """Rows of bins where every asset of the variable lies strictly inside the band."""
-    bins = Window.partitionBy(variable, k)  # one row per asset in a bin
-    lowest, highest = F.min("cum_energy").over(bins), F.max("cum_energy").over(bins)
-    inside = energy.withColumns({"_lo": lowest, "_hi": highest}).filter((F.col("_lo") > low) & (F.col("_hi") < high))
-    return inside.drop("_lo", "_hi")
+    """Rows of bins where every asset of the variable lies strictly inside the band.
+
+    `k` is the bin, or its frequency where the assets have spectra of different lengths:
+    an asset's share at a frequency is that of its last bin up to there. Shares never
+    fall, so each asset is inside from one bin on and up to before another; assets
+    without energy do not count.
+    """
+    share = F.col("cum_energy")
+    inside = energy.groupBy(asset, variable).agg(
+        F.min(F.when(share > low, F.col(k))).alias("_lo"), F.min(F.when(share >= high, F.col(k))).alias("_hi")
+    )
+    bands = inside.groupBy(variable).agg(F.max("_lo").alias("_lo"), F.min("_hi").alias("_hi"))
+    found = energy.join(bands, variable).filter((F.col(k) >= F.col("_lo")) & (F.col(k) < F.col("_hi")))
+    return found.select(*energy.columns)
 
 
 def spectral_correlation(spectrum: DataFrame, asset: str = "asset", variable: str = "variable") -> DataFrame:

@@ -311,10 +311,9 @@ def correlation_by_asset(spark, sf):
 
 
 def _spectrum(spark, sf) -> tuple[Slices, DataFrame]:
-    """Whole, centred spectra over the time that all series share, and slices of their bins if a series is long."""
+    """Centred spectra of whole series, each from its own first reading on, and slices of their bins if a series is long."""
     grid, filled = _filled(spark, sf)
-    shared = spectral.shared_span(filled, SERIES, "timestamp", "value")
-    spectrum = spectral.fft_magnitude(shared, SERIES, "timestamp", "value", slices=grid.slices(), step=HOUR_MICROS)
+    spectrum = spectral.fft_magnitude(filled, SERIES, "timestamp", "value", slices=grid.slices(), step=HOUR_MICROS)
     centred = spectral.centre_spectrum(spectrum, roles.HOUR)
     if not grid.slices().single:
         return plan_slices(centred, SERIES, "k_shift"), centred
@@ -349,13 +348,18 @@ def cumulative_energy(spark, sf):
 def energy_band(spark, sf):
     slices, spectrum = _spectrum(spark, sf)
     energy = spectral.cumulative_energy(spectrum, SERIES, "k_shift", slices=slices)
-    inside = spectral.energy_band(energy.select(*SERIES, "k_shift", "amp", "cum_energy"), k="k_shift")
-    return rounded(inside, "amp", "cum_energy")
+    inside = spectral.energy_band(energy.select(*SERIES, "k_shift", "freq", "amp", "cum_energy"), k="freq")
+    return rounded(inside.drop("freq"), "amp", "cum_energy")
 
 
 @query
 def spectral_correlation(spark, sf):
-    return rounded(spectral.spectral_correlation(_spectrum(spark, sf)[1]), "corr")
+    """Whole series; those of an asset are compared at the frequencies of its longest one."""
+    grid, filled = _filled(spark, sf)
+    spectrum = spectral.fft_magnitude(
+        filled, SERIES, "timestamp", "value", slices=grid.slices(), step=HOUR_MICROS, within="asset"
+    )
+    return rounded(spectral.spectral_correlation(spectrum), "corr")
 
 
 @query

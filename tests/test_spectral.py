@@ -43,6 +43,56 @@ def test_late_copies_differ_in_time_only(spark, at):
     assert np.isclose(in_bins["v", "v_late"], 1)
 
 
+def test_late_series_shorten_no_others(spark, tmp_path, at):
+    """Energy, band and correlation of whole series against numpy, with one late series and one late asset."""
+    from sensorloom.plans.catalog import QUERIES
+
+    rng = np.random.default_rng(3)
+    begins = {(1, "click"): 0, (1, "view"): 37, (2, "click"): 11, (2, "view"): 10, (3, "click"): 47}
+    series = {key: rng.normal(size=48 - begin) for key, begin in begins.items()}
+    rows = [(a - 1, v, at(60 * (begins[a, v] + i)), float(x), 0) for (a, v), xs in series.items() for i, x in enumerate(xs)]
+    spark.createDataFrame(rows, "user_id long, event_type string, ts timestamp_ntz, value double, event_id long").write.parquet(str(tmp_path / "events.parquet"))
+
+    def spectrum(x, size=None):
+        return np.abs(np.fft.fft(x - x.mean(), size))
+
+    shares, freqs = {}, {}
+    for key, x in series.items():
+        power = np.fft.fftshift(spectrum(x)) ** 2
+        shares[key] = np.cumsum(power) / power.sum() if len(x) > 1 else np.array([np.nan])
+        freqs[key] = np.arange(len(x)) - len(x) // 2
+    energy = QUERIES["cumulative_energy"](spark, str(tmp_path)).toPandas()
+    for (a, v), want in shares.items():
+        one = energy[(energy.asset == f"A00{a}") & (energy.variable == v)].sort_values("k_shift")
+        assert len(one) == 48 - begins[a, v] and np.allclose(one.cum_energy.astype(float), want, atol=1e-6, equal_nan=True)
+    band = {(r.asset, r.variable, r.k_shift) for r in QUERIES["energy_band"](spark, str(tmp_path)).collect()}
+    want = set()
+    for (a, v), ks in freqs.items():
+        others = [o for o in series if o[1] == v and len(series[o]) > 1]
+        for k in ks:
+            # Share of each asset at the last of its bins up to this frequency, in whole numbers.
+            at_k = [shares[o][np.flatnonzero(freqs[o] * len(ks) <= k * len(series[o]))].max(initial=0) for o in others]
+            if min(at_k) > 0.05 and max(at_k) < 0.95:
+                want.add((f"A00{a}", v, k))
+    assert band == want and {x[0] for x in want} == {"A001", "A002", "A003"}
+    pairs = {(r.asset, r.var_a, r.var_b): r for r in QUERIES["spectral_correlation"](spark, str(tmp_path)).collect()}
+    for a, size in ((1, 48), (2, 38)):
+        pair = pairs[f"A00{a}", "click", "view"]
+        x, y = spectrum(series[a, "click"], size), spectrum(series[a, "view"], size)
+        assert pair.n == size and np.isclose(pair["corr"], abs(np.corrcoef(x, y)[0, 1]), atol=1e-6)
+
+
+@pytest.mark.parametrize("limit", [0, 100])
+def test_shared_bins_of_a_group(spark, monkeypatch, limit):
+    monkeypatch.setattr(spectral, "PADDING_BLOCK", 4)
+    x, y = np.arange(30.0) ** 2 % 7, np.arange(13.0) ** 2 % 5
+    df = waves(spark, x=x, y=[None] * 17 + list(y))
+    out = spectral.fft_magnitude(df, KEYS, "n", "value", points_per_task=limit, within="asset").toPandas()
+    for name, values in (("x", x), ("y", y)):
+        one = out[out.variable == name].sort_values("k")
+        assert len(one) == 30 and np.allclose(one.amp, np.abs(np.fft.fft(values - values.mean(), 30)), atol=1e-8)
+
+
 @pytest.mark.parametrize("size", [1, 2, 7, 16, 45, 101])
 def test_distributed_transform_equals_numpy(spark, size):
     rng = np.random.default_rng(size)
