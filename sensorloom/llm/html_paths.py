@@ -165,9 +165,10 @@ def main_text(page: str | None, strictness: float = 0.8) -> str:
     """The article of a page: its blocks joined by an empty line.
 
     Paths whose fused score reaches `strictness` standard deviations of all scores hold
-    content. The content's container is the article or main element with most of it, or
-    else the innermost container of nine tenths of it; all its blocks are kept but those
-    set aside, so short headings and lines stay. NULL, empty and textless pages give "".
+    content. The content's container is the article or main element with nine tenths of
+    it, or all those that hold some of it if they have nine tenths together, or else the
+    innermost container of nine tenths of it; all its blocks are kept but those set
+    aside, so short headings and lines stay. NULL, empty and textless pages give "".
     """
     pieces, names = pieces_of(page or "")
     shown = [p for p in pieces if p.text != " "]
@@ -185,15 +186,18 @@ def main_text(page: str | None, strictness: float = 0.8) -> str:
         for e in p.inside:
             weight[e] += len(p.text)
     total = sum(len(p.text) for p in content)
-    marked = [e for e in weight if names[e] in ("article", "main")]
+    marked = {e for e in weight if names[e] in ("article", "main")}
     # Among nested marked elements of equal weight the inner one, which was opened later.
-    chosen = max(marked, key=lambda e: (weight[e], e), default=None)
-    if chosen is None:
-        wide = [e for e in weight if names[e] in CONTAINERS and weight[e] >= 0.9 * total]
-        chosen = max(wide, default=None)
+    heaviest = max(marked, key=lambda e: (weight[e], e), default=None)
+    if heaviest is not None and weight[heaviest] >= 0.9 * total:
+        chosen = {heaviest}
+    elif sum(len(p.text) for p in content if not marked.isdisjoint(p.inside)) >= 0.9 * total:
+        chosen = marked
+    else:
+        chosen = {max((e for e in weight if names[e] in CONTAINERS and weight[e] >= 0.9 * total), default=0)} - {0}
     blocks: dict[int, list[str]] = defaultdict(list)
     for p in pieces:
-        if not p.aside and (chosen is None or chosen in p.inside):
+        if not p.aside and (not chosen or not chosen.isdisjoint(p.inside)):
             blocks[p.block].append(p.text)
     joined = (" ".join("".join(parts).split()) for _, parts in sorted(blocks.items()))
     return "\n\n".join(b for b in joined if b)

@@ -163,6 +163,16 @@ def test_main_text():
     assert html_paths.main_text(bare) == "Head\n\nLong, long text here. And more, still.\n\nSecond, also long. Yes, it is."
 
 
+def test_main_text_of_several_articles():
+    prose = [f"Part {i}, with words. More of it, too; and the rest of part {i}, at some length." for i in range(4)]
+    nav = "<nav><a href=/>Home</a></nav>"
+    parts = "".join(f"<article><p>{x}</p></article>" for x in prose)
+    assert html_paths.main_text(f"<body>{nav}<div class=x>Menu</div>{parts}</body>") == "\n\n".join(prose)
+    card = "<article><p>A card, short. Read it.</p></article>"
+    body = "".join(f"<p>{x}</p>" for x in prose)
+    assert "\n\n".join(prose) in html_paths.main_text(f"<body>{nav}<div>{body}</div>{card}</body>")
+
+
 def test_web_archive(docs, spark, tmp_path):
     rows = [(1, "http://a", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "http://c\r\nX: y", None), (4, "http://d", ""), (5, "http://e", "x" * 100_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("sha256", F.lit(1))
