@@ -36,56 +36,78 @@ WORDS = frozenset(
     related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription
     tags teaser toolbar topbar widget widgets""".split()
 )
+#: Words that remarks of readers go by: these are set aside however long they are.
+REMARKS = frozenset("comment comments commentlist discussion disqus replies reply respond".split())
+#: Words that parts of an article go by as well; inside one the scores decide.
+AMBIGUOUS = frozenset(
+    "banner disclaimer notice notices notification promo promoted promotion recommended related search social sponsored subscription tags teaser widget".split()
+)
+#: How an element is marked: never shown; as a remark; by its name; by its role or as a form; by a word of its class or id; by a part of such a word.
+HIDDEN, REMARK, NAME, KIND, WORD, PART = "hidden", "remark", "name", "kind", "word", "part"
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 
 
 class Element(NamedTuple):
     name: str
     number: int
-    aside: bool
 
 
 class Piece(NamedTuple):
-    """Text directly inside one element: its block, tag path, enclosing elements and whether one of them is set aside."""
+    """Text directly inside one element: its block, tag path and enclosing elements."""
 
     block: int
     path: tuple[str, ...]
     inside: tuple[int, ...]
-    aside: bool
     text: str
 
 
-def _set_aside(name: str, rest: str, in_article: bool) -> bool:
-    """Whether an element belongs to what surrounds the article."""
-    if name in ASIDE or (name == "header" and not in_article):
-        return True
-    if "=" not in rest and "hidden" not in rest:
-        return False
-    for key, *values in ATTRIBUTE.findall(rest):
-        key, value = key.lower(), "".join(values).lower()
-        if key in ("class", "id") and name not in ("body", "html", "article", "main"):
-            if not WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-                return True
-        elif key == "role" and value in ROLES:
-            return True
-        elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
-    return False
-
-
-def pieces_of(page: str) -> tuple[list[Piece], dict[int, str]]:
-    """The shown text of a page in order, and the name of every element; broken markup is closed as browsers do."""
+class Page(NamedTuple):
+    """Shown text in order, names of all elements, marks of suspected ones, and elements around an article or main."""
+
+    pieces: list[Piece]
+    names: dict[int, str]
+    marks: dict[int, str]
+    around: set[int]
+
+
+def _mark(name: str, rest: str, in_article: bool) -> str | None:
+    """What speaks for an element belonging to what surrounds the article, the strongest sign of all."""
+    found = set()
+    if name in ASIDE:
+        found.add(KIND if name in ("form", "fieldset") else NAME)
+    elif name == "header" and not in_article:
+        found.add(KIND)
+    if "=" in rest or "hidden" in rest:
+        for key, *values in ATTRIBUTE.findall(rest):
+            key, value = key.lower(), "".join(values).lower()
+            if key in ("class", "id") and name not in ("body", "html", "article", "main"):
+                for token in value.split():
+                    if token in REMARKS:
+                        found.add(REMARK)
+                    elif token in WORDS and not (in_article and token in AMBIGUOUS):
+                        found.add(WORD)
+                    elif not WORDS.isdisjoint(re.split(r"[^a-z0-9]+", token)):
+                        found.add(PART)
+            elif key == "role" and value in ROLES:
+                found.add(KIND)
+            elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
+                found.add(HIDDEN)
+    return next((m for m in (HIDDEN, REMARK, NAME, KIND, WORD, PART) if m in found), None)
+
+
+def pieces_of(page: str) -> Page:
+    """The text of a page in order and its elements; broken markup is closed as browsers do."""
     stack: list[Element] = []
     names: dict[int, str] = {}
+    marks: dict[int, str] = {}
+    around: set[int] = set()
     out: list[Piece] = []
     block = at = 0
     position, size = 0, len(page)
 
     def add(text: str) -> None:
         if text and not text.isspace():
-            out.append(
-                Piece(block, tuple(e.name for e in stack), tuple(e.number for e in stack), any(e.aside for e in stack), html.unescape(text))
-            )
+            out.append(Piece(block, tuple(e.name for e in stack), tuple(e.number for e in stack), html.unescape(text)))
         elif text and out and out[-1].block == block:
             out.append(out[-1]._replace(text=" "))
 
@@ -137,8 +159,13 @@ def pieces_of(page: str) -> tuple[list[Piece], dict[int, str]]:
             at += 1
             names[at] = name
             in_article = any(e.name in ("article", "main") for e in stack)
-            stack.append(Element(name, at, _set_aside(name, found["rest"], in_article)))
-    return out, names
+            if name in ("article", "main"):
+                around.update(e.number for e in stack)
+            mark = _mark(name, found["rest"], in_article)
+            if mark:
+                marks[at] = mark
+            stack.append(Element(name, at))
+    return Page(out, names, marks, around)
 
 
 def path_scores(pieces: list[Piece], width: float = 1.0) -> np.ndarray:
@@ -161,6 +188,40 @@ def path_scores(pieces: list[Piece], width: float = 1.0) -> np.ndarray:
     return smooth[:, 0] * smooth[:, 1]
 
 
+def _aside(page: Page, selected: list[Piece], high: set[tuple]) -> set[tuple[int, ...]]:
+    """Enclosing elements (as in `inside`) of the pieces that are set aside.
+
+    An element around an article or main, or with most of the selected text, is not set
+    aside by its name, role or class; one suspected only by a part of a word keeps the
+    pieces on selected paths. Remarks of readers, which may be articles themselves, are
+    released only around an article with nine tenths of it, and a page with an article
+    has none of its text in a footer or the like, however short it is.
+    """
+    held: dict[int, int] = defaultdict(int)
+    total = 0
+    for p in selected:
+        if not any(page.marks.get(e) == HIDDEN for e in p.inside):
+            total += len(p.text)
+            for e in p.inside:
+                held[e] += len(p.text)
+
+    def firm(e: int) -> str | None:
+        mark = page.marks.get(e)
+        if mark in (None, HIDDEN):
+            return mark
+        if mark == REMARK:
+            return None if e in page.around and held[e] >= 0.9 * total else mark
+        return None if e in page.around or (2 * held[e] > total and not (mark == NAME and page.around)) else mark
+
+    kept = {e: m for e in page.marks if (m := firm(e))}
+    out = set()
+    for p in page.pieces:
+        marks = {kept[e] for e in p.inside if e in kept}
+        if marks - {PART} or (marks and p.path not in high):
+            out.add(p.inside)
+    return out
+
+
 def main_text(page: str | None, strictness: float = 0.8) -> str:
     """The article of a page: its blocks joined by an empty line.
 
@@ -170,7 +231,8 @@ def main_text(page: str | None, strictness: float = 0.8) -> str:
     innermost container of nine tenths of it; all its blocks are kept but those set
     aside, so short headings and lines stay. NULL, empty and textless pages give "".
     """
-    pieces, names = pieces_of(page or "")
+    found = pieces_of(page or "")
+    pieces, names = found.pieces, found.names
     shown = [p for p in pieces if p.text != " "]
     if not shown:
         return ""
@@ -179,8 +241,11 @@ def main_text(page: str | None, strictness: float = 0.8) -> str:
     by_path: dict[tuple, float] = defaultdict(float)
     for p, s in zip(shown, scores, strict=True):
         by_path[p.path] = max(by_path[p.path], s)
-    content = [p for p in shown if not p.aside and by_path[p.path] >= threshold and by_path[p.path] > 0]
-    content = content or [p for p in shown if not p.aside]
+    high = {path for path, s in by_path.items() if s >= threshold and s > 0}
+    selected = [p for p in shown if p.path in high]
+    aside = _aside(found, selected, high)
+    content = [p for p in selected if p.inside not in aside]
+    content = content or [p for p in shown if p.inside not in aside]
     weight: dict[int, int] = defaultdict(int)
     for p in content:
         for e in p.inside:
@@ -197,7 +262,7 @@ def main_text(page: str | None, strictness: float = 0.8) -> str:
         chosen = {max((e for e in weight if names[e] in CONTAINERS and weight[e] >= 0.9 * total), default=0)} - {0}
     blocks: dict[int, list[str]] = defaultdict(list)
     for p in pieces:
-        if not p.aside and (not chosen or not chosen.isdisjoint(p.inside)):
+        if p.inside not in aside and (not chosen or not chosen.isdisjoint(p.inside)):
             blocks[p.block].append(p.text)
     joined = (" ".join("".join(parts).split()) for _, parts in sorted(blocks.items()))
     return "\n\n".join(b for b in joined if b)

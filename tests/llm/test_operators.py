@@ -173,6 +173,22 @@ def test_main_text_of_several_articles():
     assert "\n\n".join(prose) in html_paths.main_text(f"<body>{nav}<div>{body}</div>{card}</body>")
 
 
+@pytest.mark.parametrize(
+    "wrapper", ["<div class='layout no-sidebar'>", "<div class='with-sidebar has-comments'>", "<div id='search-page'>", "<form action=/>", "<div class=widget>"]
+)
+def test_main_text_inside_a_suspected_wrapper(wrapper):
+    prose = [f"Part {i}, with words. More of it, too; and the rest of part {i}, at some length." for i in range(4)]
+    body = "".join(f"<p>{x}</p>" for x in prose)
+    extra = "<nav><a href=/>Home, all.</a></nav><div style='display:none'><p>Not, shown. Never, at all.</p></div>"
+    for page in (f"<body>{wrapper}{extra}<article>{body}</article></body>", f"<body>{wrapper}{extra}<div>{body}</div></body>"):
+        assert html_paths.main_text(page) == "\n\n".join(prose)
+    for part in ("notice", "promotion", "related text", "info-notice"):
+        page = f"<body>{extra}<article>{body}<div class='{part}'><p>A note, also long. It belongs here, as the scores say; so it stays, in full.</p></div></article>"
+        assert html_paths.main_text(page).endswith("in full.")
+    page = f"<body><article>{body}</article><div class=comments>{body * 5}</div></body>"
+    assert html_paths.main_text(page) == "\n\n".join(prose)
+
+
 def test_web_archive(docs, spark, tmp_path):
     rows = [(1, "http://a", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "http://c\r\nX: y", None), (4, "http://d", ""), (5, "http://e", "x" * 100_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("sha256", F.lit(1))
