@@ -556,9 +556,10 @@ def _complete(spark, sf) -> DataFrame:
     return flows.wide_history(filled, roles.SENSOR_COLUMNS)
 
 
-def _learning(spark, sf) -> tuple[DataFrame, list[str]]:
+def _learning(spark, sf, complete: bool = True) -> tuple[DataFrame, list[str]]:
     raw, fcast = _complete(spark, sf), roles.forecasts(roles.hourly(spark, sf, reused=True))
-    table = forecast.training_table(raw, fcast).na.drop("any")
+    table = forecast.training_table(raw, fcast)
+    table = table.na.drop("any") if complete else table
     return stage(table, ["asset", "timestamp"]), regression.feature_columns(table)
 
 
@@ -596,12 +597,8 @@ def grid_search_scores(spark, sf):
 
 @query
 def per_asset_predictions(spark, sf):
-    table, inputs = _learning(spark, sf)
-
-    def fit(train: DataFrame):
-        return regression.fit_pipeline(train, inputs, "true_WTURPower", lambda t: regression.affine(t, "true_WTURPower", 1e-3))
-
-    out = flows.day_ahead_predictions(table, table, fit, assets=roles.ASSETS)
+    table, inputs = _learning(spark, sf, complete=False)
+    out = flows.day_ahead_predictions(table, table, inputs, 1e-3)
     return rounded(out, "pred_WTURPower")
 
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from typing import Any
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.functions.columns import time_text
-from sensorloom.operators import forecast, grouped_pipeline, ordered, regression, reshape, sampling, splines
+from sensorloom.operators import forecast, grouped_pipeline, ordered, reshape, sampling, splines
 
 
 def smooth_and_widen(
@@ -56,15 +55,19 @@ def wide_history(filled: DataFrame, columns: Sequence[str], name: str = "sensor"
 def day_ahead_predictions(
     train: DataFrame,
     evaluation: DataFrame,
-    fit: Callable[[DataFrame], Any],
+    inputs: Sequence[str],
+    alpha: float,
     target: str = "WTURPower",
-    assets: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Model per asset on all training rows, then one prediction per evaluation cell."""
-    models = regression.fit_per_asset(train, fit, assets=assets)
+    """Model per asset on all complete training rows, then one prediction per evaluation cell.
+
+    It is made from the latest reading that gives one; a cell without any, for a missing
+    feature or an asset without a model, stays with NULL.
+    """
     name = f"pred_{target}"
-    rows = regression.predict_per_asset(models, evaluation, name, ["asset", "fcast_day", "range", "timestamp"])
-    return forecast.latest_prediction(rows, name)
+    models = grouped_pipeline.fit_grouped_pipeline(train, ["asset"], inputs, f"true_{target}", [alpha])
+    rows = grouped_pipeline.predict_grouped_pipeline(evaluation, models, ["asset"], inputs, name)
+    return forecast.latest_prediction(rows.withColumn("_at", F.when(F.col(name).isNotNull(), F.col("timestamp"))), name, "_at")
 
 
 def fleet_predictions(

@@ -116,3 +116,27 @@ def test_union_in_batches(spark, batch):
     build = lambda names: [spark.createDataFrame([(n,)], "name string") for n in names]
     out = union_in_batches(list("abcde"), build, batch)
     assert sorted(r.name for r in out.collect()) == list("abcde")
+
+
+def test_per_asset_predictions_keep_every_cell(spark, tmp_path, at):
+    """A late sensor, a day without truth and an asset without one sensor leave no cell out."""
+    from sensorloom.plans.catalog import QUERIES
+    from sensorloom.sources import roles
+
+    rng = np.random.default_rng(4)
+    begins = {v: 0 for v in roles.VARIABLES} | {"error": 30}
+    rows = [
+        (a - 1, v, at(60 * h), float(rng.normal()), 0)
+        for a in (1, 2) for v, begin in begins.items() for h in range(begin, 120) if (a, v) != (2, "signup")
+    ]
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(str(tmp_path / "shared"))
+    events = spark.createDataFrame(rows, "user_id long, event_type string, ts timestamp_ntz, value double, event_id long")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    found = QUERIES["per_asset_predictions"](spark, str(tmp_path)).toPandas()
+    days = found.fcast_day.map(str)
+    assert len(found) == 2 * 5 * 24 and not found.duplicated(["asset", "fcast_day", "range"]).any()
+    assert found[found.asset == "A002"].pred_WTURPower.isna().all()
+    known = found[found.asset == "A001"].pred_WTURPower.notna()
+    # The first day has no complete reading; the last has no truth, yet a prediction.
+    assert (known == (days[found.asset == "A001"] > "2024-01-02")).all() and known.sum() == 4 * 24
