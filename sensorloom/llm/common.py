@@ -6,13 +6,13 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sensorloom.session import apply_settings
 from sensorloom.sources.staging import stage
 
-__all__ = ["arrow_map", "cells", "connected_components", "mix64", "only", "prepare", "read", "stage"]
+__all__ = ["arrow_map", "cells", "connected_components", "draw", "mix64", "only", "prepare", "read", "stage"]
 
 #: White space of the corpus operators: blank and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"
@@ -61,6 +61,25 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def draw(rows: DataFrame, per_label: int) -> tuple[DataFrame, dict]:
+    """At most `per_label` different texts of each label, by the smallest hashes: (label, h), and the number of different ones by label.
+
+    `rows` has label and h, the hash of a text, and any number of copies. Hashes that cannot be
+    among the smallest go before any label's rows meet, so no task sees more than about
+    twice `per_label` of a label. There must be few labels.
+    """
+    counted = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count_distinct("h").alias("n")).collect()}
+    if not counted:
+        return rows, counted
+    span = 1 << 30
+    # Twice the wanted share leaves too few only by a chance below e^-200 for a thousand wanted ones.
+    limit = {k: span if n <= 4 * per_label + 100 else int(span * 2 * per_label / n) for k, n in counted.items()}
+    limits = F.create_map(*(F.lit(x) for pair in limit.items() for x in pair))
+    small = rows.where(F.pmod("h", F.lit(span)) <= limits[F.col("label")]).distinct()
+    order = Window.partitionBy("label").orderBy(F.pmod("h", F.lit(span)), "h")
+    return small.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_label).drop("place"), counted
+
+
 def connected_components(edges: DataFrame, columns: Sequence[str] = ("a", "b"), rounds: int = 60) -> DataFrame:
     """Smallest node reachable from each node of an undirected graph: columns node, component.
 

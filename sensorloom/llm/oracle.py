@@ -52,6 +52,28 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+LEXICAL = r"""
+WITH t AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents
+), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term)
+, d AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id)
+, a AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM d)
+, q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), w AS (
+  SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM tf CROSS JOIN a GROUP BY term
+), s AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))))::BIGINT AS score
+  FROM q JOIN tf USING (term) JOIN w USING (term) JOIN d USING (doc_id) CROSS JOIN a GROUP BY item_id, doc_id
+), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_web_archive": WEB_ARCHIVE, "op9_voronoi_knn": VORONOI, "op10_quality_cascade": QUALITY}
+    return {"op8_web_archive": WEB_ARCHIVE, "op9_voronoi_knn": VORONOI, "op10_quality_cascade": QUALITY, "op11_lexical_search": LEXICAL}

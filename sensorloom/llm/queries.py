@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm import bpe, html_paths, langid, mixing, nearcopies, quality, secrets, substrings, voronoi, warc
+from sensorloom.llm import bpe, factors, html_paths, langid, lexical, mixing, nearcopies, quality, secrets, spelling, substrings, voronoi, warc
 from sensorloom.llm.common import prepare, read
 from sensorloom.sources.staging import fresh_path
 
@@ -86,6 +86,24 @@ def op10_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"), "doc_id", "text").drop("rejected_by")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return lexical.rank(read(spark, sf_dir, "documents"), "doc_id", "text", read(spark, sf_dir, "benchmark"), "item_id", "text", k=50)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return spelling.group(read(spark, sf_dir, "documents"), "doc_id", "text", least_length=6, least_count=5, every=199, factor=5)
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs, size = read(spark, sf_dir, "documents"), F.col("n_chars")
+    model = factors.fit(docs.where(~factors.held_out(F.col("doc_id"))), "doc_id", "text", size, read(spark, sf_dir, "labels"), "doc_id", "quality")
+    scored = factors.classify(docs, "doc_id", "text", size, model)
+    return scored.select("doc_id", factors.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         op1_language_id,
@@ -98,5 +116,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_web_archive,
         op9_voronoi_knn,
         op10_quality_cascade,
+        op11_lexical_search,
+        op12_spelling_variants,
+        op13_quality_classifier,
     ]
     return {f.__name__: f for f in own}

@@ -108,3 +108,71 @@ def top_k(vectors, every, k):
         scored = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)
         out += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:k], 1)]
     return out
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def ranked(docs, items, k):
+    """[(item, rank, doc, score)] by scoring every document for every item."""
+    import math
+
+    split = lambda t: TERM.findall((t or "").translate(LOWER))
+    tf = [(i, collections.Counter(split(t))) for i, t in docs if i is not None]
+    n_docs, n_all = sum(bool(c) for _, c in tf), sum(c.total() for _, c in tf)
+    df = collections.Counter(x for _, c in tf for x in c)
+    asked = collections.defaultdict(set)
+    for i, t in items:
+        if i is not None:
+            asked[i] |= set(split(t))
+    out = []
+    for item, terms in sorted(asked.items()):
+        found = []
+        for i, c in tf:
+            m = 50 + 50 * c.total() * n_docs // max(1, n_all)
+            score = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[x] + 1))) * (10**9 * c[x] // (1000 * c[x] + 20 * m)) for x in terms if c[x])
+            if score > 0:
+                found.append((-score, i))
+        out += [(item, r, i, -s) for r, (s, i) in enumerate(sorted(found)[:k], 1)]
+    return out
+
+
+def slips(docs, every):
+    """Occurrences of all runs of letters, some read with a slip."""
+    import zlib
+
+    counts = collections.Counter()
+    for i, t in docs:
+        for run in re.findall("[A-Za-z\u00C0-\u00FF]+", t or ""):
+            run = run.translate(LOWER)
+            h = zlib.crc32(f"{i}:{run}".encode())
+            if i is not None and h % every == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] += 1
+    return counts
+
+
+def variants(counts, factor):
+    """{(word, form, root, n, n_near, form_n)} by comparing all pairs."""
+
+    def near(a, b):
+        if a == b or abs(len(a) - len(b)) > 1:
+            return False
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+        a, b = sorted((a, b), key=len)
+        return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    found = {w: [x for x in counts if near(w, x)] for w in counts}
+    form = {}
+    for w, others in found.items():
+        if others and counts[best := min(others, key=lambda x: (-counts[x], x))] >= factor * counts[w]:
+            form[w] = best
+
+    def root(w):
+        while w in form:
+            w = form[w]
+        return w
+
+    return {(w, form.get(w), root(w), n, len(found[w]), counts.get(form.get(w))) for w, n in counts.items()}
