@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 << 20
 SLICE_ROWS = 4_000_000
 # A long key gets this many slices per SLICE_ROWS, so an uneven spread still leaves even tasks.
 _OVERCUT = 16
@@ -21,14 +22,16 @@ _LEVELS = 3
 _MAX_CUTS = 1 << 16
 
 
-def checked_broadcast(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast `small` if it has at most `max_rows` rows, else leave the join to a shuffle.
+def checked_broadcast(small: DataFrame, max_rows: int = BROADCAST_ROWS, row_bytes: int = 64) -> DataFrame:
+    """Broadcast `small` if it is at most `max_rows` rows and `BROADCAST_BYTES` large, else leave the join to a shuffle.
 
-    The fetch is bounded by `max_rows + 1`; beyond it the frame comes back
-    unhinted, and adaptive skew-join handling splits hot keys.
+    `row_bytes` is the caller's estimate for tables with arrays or long texts; it keeps the
+    fetch itself bounded, what was fetched is measured. Beyond the bounds the frame comes
+    back unhinted, and adaptive skew-join handling splits hot keys.
     """
+    max_rows = min(max_rows, BROADCAST_BYTES // row_bytes)
     table = small.limit(max_rows + 1).toArrow()
-    if table.num_rows > max_rows:
+    if table.num_rows > max_rows or table.nbytes > BROADCAST_BYTES:
         return small
     return F.broadcast(small.sparkSession.createDataFrame(table, schema=small.schema))
 

@@ -60,16 +60,6 @@ def _centred(
     return whole.select(*keys, "n", F.col("_longest").alias("size"), "dev").unionByName(padding)
 
 
-def shared_span(df: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
-    """Rows from the moment on at which every series has begun, so that all spectra have the same bins.
-
-    Series without a single reading do not count; a late series shortens all others.
-    """
-    begins = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.min(order).alias("_begin"))
-    start = begins.agg(F.max("_begin")).scalar()
-    return df.filter(F.col(order) >= start)
-
-
 def dft_magnitude(
     df: DataFrame,
     keys: Sequence[str],
@@ -276,15 +266,3 @@ def with_late_copies(df: DataFrame, order: str, seconds: int, variable: str = "v
     later = (F.col(order) + F.expr(f"INTERVAL {seconds} SECOND")).cast(df.schema[order].dataType)
     late = df.withColumns({order: later, variable: F.concat(variable, F.lit(mark))})
     return df.unionByName(late)
-
-
-def quadrature_pair(df: DataFrame, keys: Sequence[str], x: str, cycles_per_unit: float) -> DataFrame:
-    """Long table with a sine and a cosine of the same phase for each row of `df`."""
-    phase = F.lit(2.0) * F.pi() * F.col(x) * F.lit(float(cycles_per_unit))
-    wave = F.explode(
-        F.array(
-            F.struct(F.lit("cos").alias("variable"), F.cos(phase).alias("value")),
-            F.struct(F.lit("sin").alias("variable"), F.sin(phase).alias("value")),
-        )
-    )
-    return df.select(*keys, x, wave.alias("_w")).select(*keys, x, "_w.*")

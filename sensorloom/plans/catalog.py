@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,6 +68,11 @@ def etl_wide(spark, sf):
     )
 
 
+@query
+def resample_wide(spark, sf):
+    return flows.resample_and_widen(roles.telemetry(spark, sf), roles.dictionary(spark), TRANSLATED_COLUMNS)
+
+
 @query
 def trailing_avg_rows(spark, sf):
     tel = roles.telemetry(spark, sf)
@@ -657,6 +662,3 @@ def state_projection_2d(spark, sf):
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
-
-def names() -> Sequence[str]:
-    return sorted(QUERIES)

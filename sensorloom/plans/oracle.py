@@ -35,16 +35,18 @@ _PARTS = {
         sqrt(pow(sum(dev * cos(2 * pi() * ((k * n) % size) / size)), 2)
            + pow(sum(dev * sin(2 * pi() * ((k * n) % size) / size)), 2)) AS amp
         FROM wave, (SELECT unnest(range(0, 41)) AS k) GROUP BY asset, variable, k""",
-    "shared": """SELECT asset, variable, value - avg(value) OVER (PARTITION BY asset, variable) AS dev,
-        row_number() OVER (PARTITION BY asset, variable ORDER BY ts) - 1 AS n,
-        count(*) OVER (PARTITION BY asset, variable) AS size FROM filled WHERE ts >= (SELECT max(b) FROM
-        (SELECT min(ts) AS b FROM filled WHERE value IS NOT NULL GROUP BY asset, variable))""",
-    "whole": """SELECT asset, variable, (k + size // 2) % size - size // 2 AS k_shift,
+    "whole": """SELECT asset, variable, size, (k + size // 2) % size - size // 2 AS k_shift,
         sqrt(pow(sum(dev * cos(2 * pi() * ((k * n) % size) / size)), 2)
            + pow(sum(dev * sin(2 * pi() * ((k * n) % size) / size)), 2)) AS amp
-        FROM shared, (SELECT unnest(range(0, (SELECT max(size) FROM shared))) AS k)
-        GROUP BY asset, variable, size, k""",
-    "energy": """SELECT *, sum(amp * amp) OVER (PARTITION BY asset, variable ORDER BY k_shift)
+        FROM wave, (SELECT unnest(range(0, (SELECT max(size) FROM wave))) AS k)
+        WHERE k < size GROUP BY asset, variable, size, k""",
+    "padded": """SELECT asset, variable, k,
+        sqrt(pow(sum(dev * cos(2 * pi() * ((k * n) % longest) / longest)), 2)
+           + pow(sum(dev * sin(2 * pi() * ((k * n) % longest) / longest)), 2)) AS amp
+        FROM (SELECT *, max(size) OVER (PARTITION BY asset) AS longest FROM wave),
+        (SELECT unnest(range(0, (SELECT max(size) FROM wave))) AS k)
+        WHERE k < longest GROUP BY asset, variable, k""",
+    "energy": """SELECT *, k_shift / (size * 3600.0::DOUBLE) AS freq, sum(amp * amp) OVER (PARTITION BY asset, variable ORDER BY k_shift)
         / nullif(sum(amp * amp) OVER (PARTITION BY asset, variable), 0) AS cum_energy FROM whole""",
     "raw": "SELECT asset, ts, CAST(ts AS DATE) AS day, CAST(ts AS DATE) + 1 AS fcast_day, "
     + ", ".join(f"max(value) FILTER (WHERE variable = '{v}') AS {s}" for v, s in SENSORS.items())
@@ -172,6 +174,13 @@ def oracle_sql() -> dict[str, str]:
             WHERE id IS NOT NULL GROUP BY 1""",
             "tel",
         ),
+        "resample_wide": _with(
+            f"""SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS "timestamp", {_pivot(TRANSLATED_COLUMNS, 'id', 'v', 'min')}
+            FROM (SELECT make_timestamp(CAST(ceil(epoch_us(ts) / 600000000) * 600000000 AS BIGINT)) AS ts,
+              {_LOOKUP} || '_' || asset AS id, round(avg(value), 6) AS v FROM tel GROUP BY 1, 2)
+            WHERE id IS NOT NULL GROUP BY 1""",
+            "tel",
+        ),
         "trailing_avg_rows": _with(
             f"SELECT event_id, asset, variable, {_LABEL}, round({ma10}, 6) AS ma FROM tel", "tel"
         ),
@@ -320,17 +329,21 @@ def oracle_sql() -> dict[str, str]:
         "cumulative_energy": _with(
             "SELECT asset, variable, k_shift, round(cum_energy, 6) AS cum_energy FROM energy", "energy"
         ),
-        "energy_band": _with(
-            """SELECT asset, variable, k_shift, round(amp, 6) AS amp, round(cum_energy, 6) AS cum_energy FROM energy
-            WHERE (variable, k_shift) IN (SELECT (variable, k_shift) FROM energy GROUP BY variable, k_shift
-              HAVING min(cum_energy) > 0.05 AND max(cum_energy) < 0.95)""",
+        "energy_band": _after(
             "energy",
+            """live AS (SELECT DISTINCT asset, variable FROM energy WHERE cum_energy IS NOT NULL),
+            seen AS (SELECT e.asset, e.variable, e.k_shift, o.asset AS other, e.freq FROM energy e JOIN live o ON o.variable = e.variable),
+            reached AS (SELECT s.asset, s.variable, s.k_shift, coalesce(e.cum_energy, 0) AS share FROM seen s
+              ASOF LEFT JOIN energy e ON e.asset = s.other AND e.variable = s.variable AND s.freq >= e.freq)""",
+            """SELECT e.asset, e.variable, e.k_shift, round(amp, 6) AS amp, round(cum_energy, 6) AS cum_energy FROM energy e
+            JOIN (SELECT asset, variable, k_shift FROM reached GROUP BY 1, 2, 3 HAVING min(share) > 0.05 AND max(share) < 0.95) b
+            ON b.asset = e.asset AND b.variable = e.variable AND b.k_shift = e.k_shift""",
         ),
         "spectral_correlation": _with(
             f"""SELECT a.asset, a.variable AS var_a, b.variable AS var_b, {_corr('a.amp', 'b.amp')} AS corr, count(*) AS n
-            FROM whole a JOIN whole b ON a.asset = b.asset AND a.k_shift = b.k_shift AND a.variable <= b.variable
+            FROM padded a JOIN padded b ON a.asset = b.asset AND a.k = b.k AND a.variable <= b.variable
             GROUP BY 1, 2, 3""",
-            "whole",
+            "padded",
         ),
         "quadrature_demo": _after(
             "filled",

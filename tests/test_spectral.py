@@ -20,15 +20,6 @@ def test_dft_of_a_sine(spark):
     assert np.allclose([on_grid[k] for k in range(8)], [amp[k] for k in range(8)])
 
 
-def test_shared_span_gives_equal_lengths(spark):
-    df = waves(spark, early=range(10), late=[None, None, *range(8)], silent=[None] * 10)
-    sizes = spectral.fft_magnitude(spectral.shared_span(df, KEYS, "n", "value"), KEYS, "n", "value")
-    assert {(r.variable, r["size"]) for r in sizes.select("variable", "size").distinct().collect()} == {
-        ("early", 8),
-        ("late", 8),
-    }
-
-
 def test_late_copies_differ_in_time_only(spark, at):
     values = np.random.default_rng(1).normal(size=30)
     rows = [("A001", "v", at(10 * i), float(v)) for i, v in enumerate(values)]
