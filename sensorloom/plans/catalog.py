@@ -39,6 +39,7 @@ TEST_DAYS = 5
 TRANSLATED_COLUMNS = sorted(f"{v}_{a}" for v in roles.TRANSLATIONS.values() for a in roles.ASSETS)
 SERIES_COLUMNS = sorted(f"{v}_{a}" for v in roles.VARIABLES for a in roles.ASSETS)
 ALPHAS = (0.01, 1.0, 100.0)
+KMEANS_STEPS = 10
 BLEND = (0.731058578630005, 0.268941421369995)
 LINE_FEATURES = ["l_quantity", "l_discount", "l_tax"]
 
@@ -635,28 +636,28 @@ def nonlinear_fit(spark, sf):
     return rounded(forecast.regression_metrics(scored, "true_WTURPower", "prediction", ["asset"]), "mse", "r2")
 
 
-def _vectors(spark, sf) -> DataFrame:
-    complete = _complete(spark, sf).select("asset", "timestamp", *roles.SENSOR_COLUMNS)
-    staged = stage(complete, ["asset", "timestamp"])
-    return clustering.sensor_vectors(staged, roles.SENSOR_COLUMNS).select("asset", "timestamp", "features")
+def _states(spark, sf) -> DataFrame:
+    return _complete(spark, sf).select("asset", "timestamp", *roles.SENSOR_COLUMNS)
 
 
 @query
 def kmeans_labels(spark, sf):
-    vectors = _vectors(spark, sf)
-    return clustering.kmeans_labels(vectors, ["asset", "timestamp"], assets=roles.ASSETS).drop("features")
+    return clustering.kmeans_labels(_states(spark, sf), roles.SENSOR_COLUMNS, ["asset", "timestamp"], k=8, steps=KMEANS_STEPS)
 
 
 @query
 def silhouette_sweep(spark, sf):
-    return rounded(clustering.silhouette_sweep(_vectors(spark, sf), assets=roles.ASSETS), "silhouette")
+    scores = clustering.silhouette_sweep(_states(spark, sf), roles.SENSOR_COLUMNS, ["timestamp"], range(2, 15), steps=KMEANS_STEPS)
+    return rounded(scores, "silhouette")
 
 
 @query
 def state_projection_2d(spark, sf):
-    vectors = _vectors(spark, sf)
-    labelled = clustering.kmeans_labels(vectors, ["asset", "timestamp"], assets=roles.ASSETS)
-    return rounded(clustering.state_projection(labelled, ["asset", "timestamp"]), "x", "y")
+    states = stage(_states(spark, sf), ["asset", "timestamp"])
+    keep = ["asset", "timestamp"]
+    labelled = clustering.kmeans_labels(states, roles.SENSOR_COLUMNS, keep, k=8, steps=KMEANS_STEPS)
+    flat = clustering.state_projection(states, ["asset"], roles.SENSOR_COLUMNS, keep)
+    return rounded(labelled.join(flat, keep).select(*keep, "label", "x", "y"), "x", "y")
 
 
 def queries() -> dict[str, Query]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sensorloom.plans.catalog import BLEND, LINE_FEATURES, SERIES_COLUMNS, TEST_DAYS, TRANSLATED_COLUMNS
+from sensorloom.plans.catalog import BLEND, KMEANS_STEPS, LINE_FEATURES, SERIES_COLUMNS, TEST_DAYS, TRANSLATED_COLUMNS
 from sensorloom.sources.roles import ASSETS, SENSOR_COLUMNS, SENSORS, TRANSLATIONS
 
 _LOOKUP = "CASE variable " + " ".join(f"WHEN '{s}' THEN '{d}'" for s, d in TRANSLATIONS.items()) + " END"
@@ -149,6 +149,37 @@ def _after(parts: str, extra: str, sql: str) -> str:
     return f"{_with('', parts)}, {extra} {sql}"
 
 
+def _kmeans(ks: list[int], steps: int) -> str:
+    """Centres c (asset, k, label, inputs) and labels l of all rows after Lloyd steps, from starts drawn by distance."""
+    xs = SENSOR_COLUMNS
+    gap = lambda a, b: " + ".join(f"pow({a}.{x} - {b}.{x}, 2)" for x in xs)
+    means = ", ".join(f"avg(p.{x}) AS {x}" for x in xs)
+    columns = ", ".join(xs)
+    parts = [
+        "wide AS (SELECT asset, ts, " + ", ".join(f"max(value) FILTER (WHERE variable = '{v}') AS {s}" for v, s in SENSORS.items()) + " FROM filled GROUP BY 1, 2)",
+        f"""p AS MATERIALIZED (SELECT *, -ln((CAST('0x' || substr(md5('|' || asset || '|' || CAST(ts AS VARCHAR)), 1, 8) AS BIGINT) + 0.5) / 4294967296) AS e
+          FROM wide WHERE {" AND ".join(f"{x} IS NOT NULL" for x in xs)})""",
+        f"s0 AS MATERIALIZED (SELECT asset, 0 AS label, {columns} FROM p QUALIFY row_number() OVER (PARTITION BY asset ORDER BY e) = 1)",
+    ]
+    for j in range(1, max(ks)):
+        parts.append(
+            f"""s{j} AS MATERIALIZED (SELECT * FROM s{j - 1} UNION ALL SELECT asset, {j}, {columns} FROM (
+              SELECT p.asset, p.ts, any_value(e) AS e, {", ".join(f"any_value(p.{x}) AS {x}" for x in xs)}, min({gap("p", "s")}) AS d
+              FROM p JOIN s{j - 1} s ON s.asset = p.asset GROUP BY 1, 2)
+              WHERE d > 0 QUALIFY row_number() OVER (PARTITION BY asset ORDER BY e / d) = 1)"""
+        )
+    parts.append(f"c0 AS MATERIALIZED (SELECT s.asset, k, label, {columns} FROM s{max(ks) - 1} s, (SELECT unnest({ks}) AS k) WHERE label < k)")
+    label = lambda step: f"SELECT p.asset, p.ts, c.k, arg_min(c.label, struct_pack(d := {gap('p', 'c')}, l := c.label)) AS label FROM p JOIN c{step} c ON c.asset = p.asset GROUP BY 1, 2, 3"
+    for j in range(1, steps + 1):
+        parts.append(
+            f"""c{j} AS MATERIALIZED (SELECT c.asset, c.k, c.label, {", ".join(f"coalesce(m.{x}, c.{x}) AS {x}" for x in xs)} FROM c{j - 1} c
+              LEFT JOIN (SELECT l.asset, l.k, l.label, {means} FROM ({label(j - 1)}) l JOIN p ON p.asset = l.asset AND p.ts = l.ts GROUP BY 1, 2, 3) m
+              ON m.asset = c.asset AND m.k = c.k AND m.label = c.label)"""
+        )
+    parts.append(f"l AS MATERIALIZED ({label(steps)})")
+    return ", ".join(parts)
+
+
 def oracle_sql() -> dict[str, str]:
     scored = """count(y) AS n, round(avg(pow(y - p, 2)), 6) AS mse,
         round(1 - sum(pow(y - p, 2)) / nullif(var_pop(y) * count(y), 0), 6) AS r2"""
@@ -451,6 +482,18 @@ def oracle_sql() -> dict[str, str]:
             round(my + w1 * (WNACWindSpeed_fcast - mx) / sp + w2 * (pow(WNACWindSpeed_fcast - mx, 2) - mq) / sq, 6) AS pred_WTURPower
             FROM truth f LEFT JOIN w ON w.asset = f.asset""",
         ),
+        "kmeans_labels": _after("filled", _kmeans([8], KMEANS_STEPS), f"SELECT asset, {_LABEL}, label FROM l"),
+        "silhouette_sweep": _after(
+            "filled",
+            _kmeans(list(range(2, 15)), KMEANS_STEPS)
+            + f""", pairs AS (SELECT a.asset, a.ts, b.ts AS other, {" + ".join(f"pow(a.{x} - b.{x}, 2)" for x in SENSOR_COLUMNS)} AS d
+              FROM p a JOIN p b ON a.asset = b.asset AND a.ts <> b.ts),
+            near AS (SELECT q.asset, q.ts, m.k, o.label = m.label AS own, o.label, avg(d) AS d FROM pairs q
+              JOIN l o ON o.asset = q.asset AND o.ts = q.other JOIN l m ON m.asset = q.asset AND m.ts = q.ts AND m.k = o.k GROUP BY 1, 2, 3, 4, 5),
+            best AS (SELECT asset, ts, k, min(d) FILTER (WHERE own) AS a, min(d) FILTER (WHERE NOT own) AS b FROM near GROUP BY 1, 2, 3)""",
+            """SELECT asset, k, round(avg(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette
+            FROM best GROUP BY 1, 2""",
+        ),
         "ridge_gram": _gram(),
         "ridge_fit": "WITH "
         + _ridge("lineitem", LINE_FEATURES, "l_extendedprice", "alpha")
