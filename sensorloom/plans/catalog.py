@@ -608,22 +608,36 @@ def per_asset_predictions(spark, sf):
     return rounded(out, "pred_WTURPower")
 
 
-def _folded(spark, sf) -> tuple[DataFrame, list[str]]:
-    table, inputs = _learning(spark, sf)
-    return regression.with_folds(table, "timestamp", ["range"], keys=["asset"]), inputs
+def _folded(table: DataFrame) -> DataFrame:
+    return regression.with_folds(table.na.drop("any"), "timestamp", ["range"], keys=["asset"])
 
 
 @query
 def grouped_grid_search(spark, sf):
-    folded, inputs = _folded(spark, sf)
-    scores, _ = grouped_pipeline.grouped_grid_search(folded, ["asset"], inputs, "true_WTURPower", ALPHAS)
+    table, inputs = _learning(spark, sf, complete=False)
+    scores, _ = grouped_pipeline.grouped_grid_search(_folded(table), ["asset"], inputs, "true_WTURPower", ALPHAS)
     return rounded(scores, "r2")
 
 
+@query
+def grouped_grid_search_single(spark, sf):
+    """One input: wind speed forecast against power."""
+    folded = regression.with_folds(_power_pairs(spark, sf), "fcast_time", ["range"], keys=["asset"])
+    scores, models = grouped_pipeline.grouped_grid_search(folded, ["asset"], ["WNACWindSpeed_fcast"], "true_WTURPower", ALPHAS)
+    chosen = models.select("asset", F.col("alpha").alias("best"), "n")
+    return rounded(scores.join(chosen, "asset").select("asset", "alpha", "r2", (F.col("alpha") == F.col("best")).alias("best"), "n"), "r2")
+
+
+def _power_pairs(spark, sf) -> DataFrame:
+    raw, fcast = _raw_and_forecasts(spark, sf)
+    truth = forecast.attach_truth(fcast, raw, "WTURPower").select("asset", "fcast_time", "range", "WNACWindSpeed_fcast", "true_WTURPower")
+    return truth.na.drop("any")
+
+
 @query
 def fleet_predictions(spark, sf):
-    folded, inputs = _folded(spark, sf)
-    return rounded(flows.fleet_predictions(folded, folded.drop("fold"), inputs, ALPHAS), "pred_WTURPower")
+    table, inputs = _learning(spark, sf, complete=False)
+    return rounded(flows.fleet_predictions(_folded(table), table, inputs, ALPHAS), "pred_WTURPower")
 
 
 @query

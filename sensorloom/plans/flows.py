@@ -66,8 +66,7 @@ def day_ahead_predictions(
     """
     name = f"pred_{target}"
     models = grouped_pipeline.fit_grouped_pipeline(train, ["asset"], inputs, f"true_{target}", [alpha])
-    rows = grouped_pipeline.predict_grouped_pipeline(evaluation, models, ["asset"], inputs, name)
-    return forecast.latest_prediction(rows.withColumn("_at", F.when(F.col(name).isNotNull(), F.col("timestamp"))), name, "_at")
+    return _latest(evaluation, models, inputs, name)
 
 
 def fleet_predictions(
@@ -77,14 +76,18 @@ def fleet_predictions(
     alphas: Sequence[float],
     target: str = "WTURPower",
 ) -> DataFrame:
-    """The same for a fleet of any size: one penalty is chosen per asset, all models fit together.
+    """The same with one penalty chosen per asset by cross-validation, all models fitted together.
 
-    `train` carries a `fold` column; rows per asset are never brought together.
+    `train` carries a `fold` column; every cell of `evaluation` stays.
     """
-    label, name = f"true_{target}", f"pred_{target}"
-    _, models = grouped_pipeline.grouped_grid_search(train, ["asset"], inputs, label, alphas)
+    name = f"pred_{target}"
+    _, models = grouped_pipeline.grouped_grid_search(train, ["asset"], inputs, f"true_{target}", alphas)
+    return _latest(evaluation, models, inputs, name)
+
+
+def _latest(evaluation: DataFrame, models: DataFrame, inputs: Sequence[str], name: str) -> DataFrame:
     rows = grouped_pipeline.predict_grouped_pipeline(evaluation, models, ["asset"], inputs, name)
-    return forecast.latest_prediction(rows, name)
+    return forecast.latest_prediction(rows.withColumn("_at", F.when(F.col(name).isNotNull(), F.col("timestamp"))), name, "_at")
 
 
 def fine_predictions(pred: DataFrame, step: int = 600, value: str = "pred_WTURPower") -> DataFrame:

@@ -494,6 +494,27 @@ def oracle_sql() -> dict[str, str]:
             """SELECT asset, k, round(avg(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette
             FROM best GROUP BY 1, 2""",
         ),
+        "grouped_grid_search_single": _after(
+            "truth",
+            """used AS (SELECT asset, WNACWindSpeed_fcast AS x, true_WTURPower AS y,
+              ntile(3) OVER (PARTITION BY asset ORDER BY fcast_time, "range") - 1 AS fold FROM truth
+              WHERE WNACWindSpeed_fcast IS NOT NULL AND true_WTURPower IS NOT NULL),
+            h AS (SELECT unnest([0, 1, 2]) AS held),
+            t AS (SELECT held, asset, y, x - avg(x) OVER (PARTITION BY held, asset) AS p FROM used, h WHERE fold <> held),
+            m AS (SELECT held, asset, avg(x) AS mx FROM used, h WHERE fold <> held GROUP BY 1, 2),
+            s AS (SELECT held, asset, count(*) AS n, avg(y) AS my, avg(p * p) AS mq, stddev_pop(p) AS sp, stddev_pop(p * p) AS sq,
+              covar_pop(p, p * p) / (stddev_pop(p) * stddev_pop(p * p)) AS r, covar_pop(p, y) / stddev_pop(p) AS cp,
+              covar_pop(p * p, y) / stddev_pop(p * p) AS cq FROM t GROUP BY 1, 2),
+            w AS (SELECT s.*, mx, alpha, n * (cp * (n + alpha) - cq * n * r) / (pow(n + alpha, 2) - pow(n * r, 2)) AS w1,
+              n * (cq * (n + alpha) - cp * n * r) / (pow(n + alpha, 2) - pow(n * r, 2)) AS w2
+              FROM s JOIN m USING (held, asset), (VALUES (0.01::DOUBLE), (1.0), (100.0)) AS a(alpha)),
+            e AS (SELECT u.asset, alpha, held, 1 - sum(pow(y - my - w1 * (x - mx) / sp - w2 * (pow(x - mx, 2) - mq) / sq, 2))
+              / (var_pop(y) * count(*)) AS r2 FROM used u JOIN w ON w.asset = u.asset AND w.held = u.fold GROUP BY 1, 2, 3),
+            g AS (SELECT asset, alpha, avg(r2) AS r2 FROM e GROUP BY 1, 2),
+            c AS (SELECT asset, count(*) AS n FROM used GROUP BY 1)""",
+            """SELECT g.asset, alpha, round(r2, 6) AS r2,
+            row_number() OVER (PARTITION BY g.asset ORDER BY r2 DESC, alpha) = 1 AS best, n FROM g JOIN c ON c.asset = g.asset""",
+        ),
         "ridge_gram": _gram(),
         "ridge_fit": "WITH "
         + _ridge("lineitem", LINE_FEATURES, "l_extendedprice", "alpha")

@@ -78,3 +78,63 @@ def test_agrees_with_the_ml_pipeline_without_penalty(sample):
     grouped = gp.fit_grouped_pipeline(one, ["asset"], INPUTS, "y", [0.0])
     ours = gp.predict_grouped_pipeline(one, grouped, ["asset"], INPUTS, "p").toPandas().sort_values("t").p
     assert np.allclose(ml, ours, atol=1e-6)
+
+
+def test_many_interleaved_groups_in_bounded_memory(spark, monkeypatch):
+    """5,000 groups whose rows alternate: a task holds one group's sums and little more."""
+    monkeypatch.setattr(gp, "HELD_BYTES", 1 << 16)
+    monkeypatch.setattr(gp, "RECORD", 4)
+    monkeypatch.setattr(gp, "BLOCK_ROWS", 2)
+    rng = np.random.default_rng(1)
+    pdf = pd.DataFrame({"g": np.tile(np.arange(5000), 4), "a": rng.normal(size=20000), "b": rng.normal(size=20000), "y": rng.normal(size=20000)})
+    df = spark.createDataFrame(pdf).repartition(3)
+    sizes: list[int] = []
+    rows = gp.group_sums(df, ["g"], ["a", "b"], "y")
+    found = rows.toPandas()
+    assert len(found) == 5000 * 7 and found.sums.map(len).max() == 4
+    for g in (0, 17, 4999):
+        one = pdf[pdf.g == g]
+        terms = np.hstack([gp.quadratic_terms(one[["a", "b"]].to_numpy()), one[["y"]].to_numpy()])
+        assert np.allclose(gp._square(found[found.g == g], 7), terms.T @ terms)
+
+    # The batches a task sends never hold more than the bound and one group.
+    class Rows:
+        def __init__(self, df):
+            self.df, self.schema = df, df.schema
+
+        select = sortWithinPartitions = lambda self, *_: self
+
+        def mapInPandas(self, run, _):
+            sizes.extend(len(part) for part in run(iter([pdf.sort_values("g")])))
+            raise StopIteration
+
+    with pytest.raises(StopIteration):
+        gp.group_sums(Rows(df), ["g"], ["a", "b"], "y")
+    assert len(sizes) > 10 and max(sizes) * gp.RECORD * 8 <= gp.HELD_BYTES + 7 * gp.RECORD * 8
+
+
+def test_groups_without_a_defined_score_keep_a_model(spark):
+    rng = np.random.default_rng(2)
+    rows = [("flat", float(rng.normal()), 3.0, i % 3) for i in range(30)] + [("one fold", float(rng.normal()), float(i), 0) for i in range(30)]
+    rows += [("fine", float(i), 2.0 * i + float(rng.normal()), i % 3) for i in range(30)] + [("lone", 1.0, 5.0, 1)]
+    df = spark.createDataFrame(rows, "asset string, a double, y double, fold int")
+    scores, models = gp.grouped_grid_search(df, ["asset"], ["a"], "y", [5.0, 0.1])
+    r2 = {(r.asset, r.alpha): r.r2 for r in scores.collect()}
+    assert {k for k, v in r2.items() if v is None} == {(a, p) for a in ("flat", "one fold", "lone") for p in (5.0, 0.1)}
+    assert {(r.asset, r.alpha, r.n) for r in models.collect()} == {("flat", 5.0, 30), ("one fold", 5.0, 30), ("fine", 0.1, 30), ("lone", 5.0, 1)}
+    out = gp.predict_grouped_pipeline(df, models, ["asset"], ["a"], "p").toPandas()
+    assert np.allclose(out[out.asset == "flat"].p, 3.0) and np.isclose(out[out.asset == "lone"].p.iloc[0], 5.0)
+
+
+def test_models_outside_the_broadcast_bound_and_too_many_inputs(sample, monkeypatch):
+    from sensorloom.operators import sizing
+
+    pdf, df = sample
+    want = gp.predict_grouped_pipeline(df, gp.fit_grouped_pipeline(df, ["asset"], INPUTS, "y", [1.0]), ["asset"], INPUTS, "p").toPandas()
+    monkeypatch.setattr(sizing, "BROADCAST_BYTES", 100)
+    models = gp.fit_grouped_pipeline(df, ["asset"], INPUTS, "y", [1.0])
+    got = gp.predict_grouped_pipeline(df, models, ["asset"], INPUTS, "p").toPandas()
+    sort = lambda f: f.sort_values(["asset", "t"]).p.to_numpy()
+    assert np.allclose(sort(want), sort(got))
+    with pytest.raises(ValueError, match="reduce them first"):
+        gp.fit_grouped_pipeline(df, ["asset"], ["a"] * 65, "y", [1.0])
