@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_opened: list[list[str]] = []
+
+
 def staging_folder(spark: SparkSession) -> str:
     """Shared folder the cluster names for intermediate data.
 
@@ -43,7 +49,35 @@ def stage(df: DataFrame, layout: Sequence[str] = ()) -> DataFrame:
     if layout:
         df = df.repartitionByRange(*layout).sortWithinPartitions(*layout)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[table] = path
+    for paths in _opened:
+        paths.append(path)
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of staged tables that nothing reads any more; other tables are left alone."""
+    for table in tables:
+        if path := _paths.pop(table, None):
+            delete(table.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, in whatever store it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of all tables staged inside the block, for `delete` once their last reader is done."""
+    paths: list[str] = []
+    _opened.append(paths)
+    try:
+        yield paths
+    finally:
+        _opened[:] = [p for p in _opened if p is not paths]
 
 
 def union_in_batches(
