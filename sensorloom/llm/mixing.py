@@ -31,23 +31,23 @@ def weight_of(name: Column, weights: Mapping[str, int]) -> Column:
 def budgets(leaves: DataFrame, levels: Sequence[str], weights: Sequence[Mapping[str, int]], total: Column, epochs: int) -> DataFrame:
     """Budget of every leaf, in tokens: the levels, supply, budget.
 
-    `leaves` has the levels and supply. A node can take `epochs` times what lies below it.
-    From the root down every node's budget goes to its children by weight; what a child
+    `leaves` has the levels and supply. A leaf can take `epochs` times its supply, nothing if
+    it or a node above has weight 0; a node can take what its children can. From the root down every node's budget goes to its children by weight; what a child
     cannot take goes to its siblings first. Since a node is never given more than its
     children can take, a shortage reaches an ancestor's siblings only when all siblings
-    are full. Children of one node are filled in order of capacity per weight: once all
+    are full. Parts are rounded down to whole tokens. Children of one node are filled in order of capacity per weight: once all
     children before one are full, the others share the rest at one rate. Children of
     weight 0 get nothing.
     """
-    nodes = leaves.select(*levels, "supply")
-    given = nodes.agg(F.sum(F.col("supply") * epochs).alias("capacity"), total.cast("long").alias("wanted")).select(
+    reached = reduce(Column.__and__, [weight_of(F.col(name), weights[i]) > 0 for i, name in enumerate(levels)])
+    nodes = leaves.select(*levels, "supply", F.when(reached, F.col("supply") * epochs).otherwise(0).alias("capacity"))
+    given = nodes.agg(F.sum("capacity").alias("capacity"), total.cast("long").alias("wanted")).select(
         F.least("capacity", "wanted").alias("given")
     )
     for depth in range(1, len(levels) + 1):
         own, above = list(levels[:depth]), list(levels[: depth - 1])
-        level = nodes.groupBy(*own).agg(F.sum("supply").alias("supply"))
-        weight = weight_of(F.col(own[-1]), weights[depth - 1])
-        level = level.withColumn("weight", weight).withColumn("capacity", F.when(F.col("weight") > 0, F.col("supply") * epochs).otherwise(0))
+        level = nodes.groupBy(*own).agg(F.sum("supply").alias("supply"), F.sum("capacity").alias("capacity"))
+        level = level.withColumn("weight", weight_of(F.col(own[-1]), weights[depth - 1]))
         level = level.join(given, above) if above else level.crossJoin(F.broadcast(given))
         ratio = F.when(F.col("weight") > 0, F.col("capacity") / F.col("weight")).otherwise(-1.0)
         siblings = Window.partitionBy(*above) if above else Window.partitionBy(F.lit(0))
@@ -56,7 +56,7 @@ def budgets(leaves: DataFrame, levels: Sequence[str], weights: Sequence[Mapping[
             level.withColumn("ratio", ratio)
             .withColumn("full", F.coalesce(F.sum("capacity").over(before), F.lit(0)))
             .withColumn("open", F.sum("weight").over(siblings) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-            .withColumn("rate", (F.col("given") - F.col("full")) / F.col("open"))
+            .withColumn("rate", F.try_divide((F.col("given") - F.col("full")).cast("double"), F.col("open")))
         )
         # The first child that the common rate does not fill sets it; later ones would give less.
         level = level.withColumn("level_rate", F.max(F.when((F.col("weight") > 0) & (F.col("rate") < F.col("ratio")), F.col("rate"))).over(siblings))
@@ -70,7 +70,9 @@ def budgets(leaves: DataFrame, levels: Sequence[str], weights: Sequence[Mapping[
 
 
 def mix(docs: DataFrame, key: str, tokens: Column, levels: Mapping[str, Column], weights: Sequence[Mapping[str, int]], share: float, epochs: int, seed: str = "mix") -> DataFrame:
-    """`docs` with n_copies (how often the mixture takes a row, 0 left out) and the levels' names.
+    """`docs` with the levels' names, n_tokens, n_copies (how often the mixture takes a row; 0 for the others).
+
+    Columns of `docs` with one of these names give way to the operator's; `chosen` keeps them.
 
     The mixture has `share` of all tokens of `docs`, dealt out by `budgets`. A leaf's rows
     come in seeded epochs, each an order of its own by a hash of seed, epoch and key; as
@@ -84,7 +86,20 @@ def mix(docs: DataFrame, key: str, tokens: Column, levels: Mapping[str, Column],
     row by row, so a leaf with a third of all rows is one task's work in a 4,096th only.
     """
     names = list(levels)
-    carried = [c for c in docs.columns if c not in names]
+    taken = _taken(docs, key, tokens, levels, weights, share, epochs, seed)
+    own = [c for c in docs.columns if c not in (*names, "n_tokens", "n_copies")]
+    return taken.select(*(F.col("doc")[c].alias(c) for c in own), *names, F.col("tokens").alias("n_tokens"), "n_copies")
+
+
+def chosen(docs: DataFrame, key: str, tokens: Column, levels: Mapping[str, Column], weights: Sequence[Mapping[str, int]], share: float, epochs: int, seed: str = "mix") -> DataFrame:
+    """The rows of `docs` that `mix` takes at least once, with their own columns whatever these are called."""
+    taken = _taken(docs, key, tokens, levels, weights, share, epochs, seed).where("n_copies > 0")
+    return taken.select(*(F.col("doc")[c].alias(c) for c in docs.columns))
+
+
+def _taken(docs: DataFrame, key: str, tokens: Column, levels: Mapping[str, Column], weights: Sequence[Mapping[str, int]], share: float, epochs: int, seed: str) -> DataFrame:
+    """doc (a row of `docs`), the levels' names, tokens, n_copies."""
+    names = list(levels)
     named = [F.coalesce(c.cast("string"), F.lit(MISSING)).alias(n) for n, c in levels.items()]
     rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(key).alias("key"), tokens.alias("tokens"), *named)
     light = stage(rows.select("key", "tokens", *names))
@@ -126,9 +141,4 @@ def mix(docs: DataFrame, key: str, tokens: Column, levels: Mapping[str, Column],
             F.lit(False),
         )
     )
-    return out.select(
-        *(F.col("doc")[c].alias(c) for c in carried),
-        *names,
-        F.col("tokens").alias("n_tokens"),
-        (F.col("whole") + inside.cast("long")).alias("n_copies"),
-    )
+    return out.select("doc", *names, "tokens", (F.col("whole") + inside.cast("long")).alias("n_copies"))
