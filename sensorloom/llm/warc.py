@@ -93,10 +93,14 @@ def write_archive(pages: DataFrame, path: str, page: str = "page_id", url: str =
     )
     # A payload goes from its first row alone: found by page id and digest, so copies never move.
     chosen = firsts.select(F.col("first.id").alias("own"), F.col("sha256").alias("address"))
+    sources = rows.select("page_id", F.sha2(payload, 256).alias("sha256"), payload.alias("payload")).join(
+        chosen, F.col("page_id").eqNullSafe(F.col("own")) & (F.col("sha256") == F.col("address")), "left_semi"
+    )
+    # Only where a first page id stands in several rows of equal payload are there several sources of one.
+    if digests.groupBy("page_id", "sha256").count().where("count > 1").limit(1).count():
+        sources = sources.dropDuplicates(["sha256"])
     (
-        rows.select("page_id", F.sha2(payload, 256).alias("sha256"), payload.alias("payload"))
-        .join(chosen, F.col("page_id").eqNullSafe(F.col("own")) & (F.col("sha256") == F.col("address")), "left_semi")
-        .select("sha256", F.octet_length("payload").cast("long").alias("n_bytes"), "payload")
+        sources.select("sha256", F.octet_length("payload").cast("long").alias("n_bytes"), "payload")
         .write.option("compression", "zstd")
         .parquet(f"{path}/payloads")
     )
@@ -108,8 +112,10 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     Columns page_id, record_type, refers_to (page id or NULL), url, payload_digest (base32
     SHA-1 as in the header), sha256, n_bytes, head, tail.
     """
-    text = F.decode("head", "UTF-8")
-    field = lambda name: F.nullif(F.regexp_extract(text, rf"(?m)^{name}: ?([^\r\n]*)\r?$", 1), F.lit(""))
+    # The record's own header ends at the first empty line; (?d) leaves \n as the only line end a pattern sees.
+    text = F.substring_index(F.decode("head", "UTF-8"), END + END, 1)
+    line = lambda name: rf"(?dm)^{name}: ([^\r\n]*)\r?$"
+    field = lambda name: F.when(text.rlike(line(name)), F.regexp_extract(text, line(name), 1))
     number = lambda c: F.nullif(F.regexp_extract(c, "<urn:page:(-?[0-9]*)>", 1), F.lit("")).cast("long")
     return spark.read.parquet(f"{path}/headers").select(
         number(field("WARC-Record-ID")).alias("page_id"),
@@ -125,8 +131,8 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def verified_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """Payloads with both digests computed anew; a stored payload that does not match its address fails the job."""
-    stored = spark.read.parquet(f"{path}/payloads").dropDuplicates(["sha256"])
+    """Every payload, stored once, with both digests computed anew where it lies; a stored payload that does not match its address fails the job."""
+    stored = spark.read.parquet(f"{path}/payloads")
     intact = (F.sha2("payload", 256) == F.col("sha256")) & (F.octet_length("payload") == F.col("n_bytes"))
     return stored.select(
         F.when(intact, F.col("sha256")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), "sha256"))).alias("sha256"),
