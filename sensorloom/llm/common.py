@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sensorloom.session import apply_settings
-from sensorloom.sources.staging import stage
+from sensorloom.sources.staging import release, stage
 
-__all__ = ["arrow_map", "cells", "connected_components", "draw", "mix64", "only", "prepare", "read", "stage"]
+__all__ = ["arrow_map", "cells", "connected_components", "draw", "mix64", "only", "prepare", "read", "release", "stage"]
 
 #: White space of the corpus operators: blank and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"
@@ -61,16 +61,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def draw(rows: DataFrame, per_label: int) -> tuple[DataFrame, dict]:
-    """At most `per_label` different texts of each label, by the smallest hashes: (label, h), and the number of different ones by label.
+def draw(rows: DataFrame, total: int) -> tuple[DataFrame, dict]:
+    """At most `total` different texts, as many of each label: (label, h), and the number of different ones by label.
 
-    `rows` has label and h, the hash of a text, and any number of copies. Hashes that cannot be
+    Those with the smallest hashes are drawn. `rows` has label and h, the hash of a text, and any number of copies. Hashes that cannot be
     among the smallest go before any label's rows meet, so no task sees more than about
-    twice `per_label` of a label. There must be few labels.
+    twice the wanted number of a label. There must be few labels.
     """
     counted = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count_distinct("h").alias("n")).collect()}
     if not counted:
         return rows, counted
+    per_label = max(1, total // len(counted))
     span = 1 << 30
     # Twice the wanted share leaves too few only by a chance below e^-200 for a thousand wanted ones.
     limit = {k: span if n <= 4 * per_label + 100 else int(span * 2 * per_label / n) for k, n in counted.items()}
@@ -110,9 +111,9 @@ def connected_components(edges: DataFrame, columns: Sequence[str] = ("a", "b"),
             floor.select("hi", F.col("low").alias("lo"))
         )
         after = stage(small.where("hi <> lo").distinct())
-        # Done when every node hangs on one node that hangs on none.
-        sums = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo") % 1000003)).first()
-        done = sums(after) == sums(links)
+        # Done when a round leaves every link as it was: both have distinct links, so none new and as many says so.
+        done = after.count() == links.count() and after.join(links, ["hi", "lo"], "left_anti").isEmpty()
+        release(links)
         links = after
         if done:
             break

@@ -157,7 +157,7 @@ def _learned(edges: np.ndarray, rows: Rows, y: np.ndarray, importance: np.ndarra
 def fit(docs: DataFrame, key: str, text: str, size: Column, labels: DataFrame, label_key: str, label: str, sample_texts: int = 3000, steps: int = 60, seed: int = 3) -> Model | None:
     """Learn from at most `sample_texts` different labelled texts; None if there are none.
 
-    The bound is `sample_texts`, half for either label (0 and 1), and holds whatever the number
+    The bound is `sample_texts`, shared evenly by the labels (0 and 1), and holds whatever the number
     of copies: among different texts of a label those with the smallest hashes are drawn,
     whole. Learning weighs the labels by their numbers of different texts. `size` is the
     metadata's size of a document, in any unit. Rows without key, text or label teach
@@ -167,7 +167,7 @@ def fit(docs: DataFrame, key: str, text: str, size: Column, labels: DataFrame, l
     rows = only(docs, id=F.col(key), text=F.col(text), size=size.cast("long")).where("id is not null and text is not null")
     rows = rows.withColumn("h", F.xxhash64("text"))
     known = only(labels, id=F.col(label_key), label=F.col(label).cast("int")).where("label in (0, 1)").distinct()
-    drawn, counted = draw(rows.select("id", "h").join(known, "id").select("label", "h"), sample_texts // 2)
+    drawn, counted = draw(rows.select("id", "h").join(known, "id").select("label", "h"), sample_texts)
     if not counted:
         return None
 

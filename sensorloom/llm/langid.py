@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.llm.common import arrow_map
+from sensorloom.llm.common import arrow_map, draw, only
 
 #: Buckets of the hashed character n-grams, and the longest n-gram.
 BUCKETS = 1 << 12
@@ -99,20 +99,20 @@ class Model(NamedTuple):
 
 
 def fit(docs: DataFrame, text: str, label: str, sample_texts: int = 1600, steps: int = 120) -> Model | None:
-    """Learn one classifier per bit from about `sample_texts` labelled texts; None if there are none.
+    """Learn one classifier per bit from at most `sample_texts` different labelled texts; None if there are none.
 
-    The bound on the sample is `sample_texts`, shared out evenly over the labels; within a
-    label the texts with the smallest hashes are drawn, whole. Texts without a letter and
-    NULL labels teach nothing. The n-gram counts of the sample, no texts, come to the driver.
+    The bound on the sample is `sample_texts`, shared out evenly over the labels, whatever
+    the number of copies; within a label the different texts with the smallest hashes are
+    drawn, whole. Texts without a letter and NULL labels teach nothing. The n-gram counts
+    of the sample, no texts, come to the driver.
     """
-    rows = docs.select(F.col(text).alias("text"), F.col(label).cast("string").alias("label")).where("label is not null and text is not null")
-    counted = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    rows = only(docs, text=F.col(text), label=F.col(label).cast("string")).where("label is not null and text is not null")
+    rows = rows.where(F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
+    wanted, counted = draw(rows.select("label", "h"), sample_texts)
     if not counted:
         return None
     labels = sorted(counted)
-    share = {k: min(1.0, sample_texts / len(labels) / n) for k, n in counted.items()}
-    limits = F.create_map(*(F.lit(v) for k in labels for v in (k, int(share[k] * (1 << 30)))))
-    drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) <= limits[F.col("label")])
+    drawn = rows.join(F.broadcast(wanted), ["label", "h"]).groupBy("label", "h").agg(F.first("text").alias("text")).select("text", "label")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         out: list[list] = [[], [], []]
@@ -137,6 +137,9 @@ def fit(docs: DataFrame, text: str, label: str, sample_texts: int = 1600, steps:
     np.sqrt(x, out=x)
     y = np.array([labels.index(v) for v in found.column("label").to_pylist()])
     del found
+    # Rows arrive in any order; sorted, they give the same model every time.
+    order = np.lexsort((*x[:, x.any(0)].T[:64], y))
+    x, y = x[order], y[order]
     code = codewords(len(labels))
     target = code[y]
     weight = 1.0 / np.bincount(y, minlength=len(labels))[y]

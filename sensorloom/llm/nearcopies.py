@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.llm.common import arrow_map, connected_components, mix64, only, stage
+from sensorloom.llm.common import arrow_map, connected_components, mix64, only, release, stage
 
 #: Registers of a sketch; a power of two. The top bits of a shingle's hash choose its register.
 REGISTERS = 128
@@ -385,7 +385,8 @@ def components(docs: DataFrame, key: str, text: str, words: int = 5, percent: in
     first = stage(_confirmed(likely, sets, percent))
     settled = stage(connected_components(first))
 
-    left = stage(_mixed(_parted(shared.select("band", "rep", "n"), settled)))
+    mixed_left = stage(_mixed(_parted(shared.select("band", "rep", "n"), settled)))
+    left = mixed_left
     mixed = sets.join(left.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
     # At best a set has its common shingles in a partner of just that size, or of the smallest size in the bucket.
     common = stage(left.join(_common(mixed).withColumnRenamed("id", "rep"), "rep"))
@@ -395,6 +396,8 @@ def components(docs: DataFrame, key: str, text: str, words: int = 5, percent: in
 
     second = stage(_across(left, sets, percent))
     found = stage(connected_components(first.unionByName(second)))
+    # What follows reads the sketches, classes and components alone.
+    release(shared, likely, sets, first, settled, mixed_left, common, left, second)
 
     by_class = (
         classes.select("digest", "rep")

@@ -223,6 +223,87 @@ def test_mixture(docs, nothing):
     assert mixing.mix(nothing.select("doc_id", "source", "lang").withColumn("tokens", F.lit(1).cast("long")), "doc_id", F.col("tokens"), levels, ({}, {}), 1.0, 1).count() == 0
 
 
+def filled(node, wanted, weights, path=()):
+    """Budgets of all leaves below a node, {path: tokens}, by filling siblings at one rate until all is dealt out."""
+    if not isinstance(node, dict):
+        return {path: wanted}
+
+    def room(x, depth):
+        return x if not isinstance(x, dict) else sum(room(c, depth + 1) for n, c in x.items() if weights[depth].get(n, weights[depth].get("*", 1)) > 0)
+
+    depth = len(path)
+    weight = {n: weights[depth].get(n, weights[depth].get("*", 1)) for n in node}
+    part = dict.fromkeys(node, 0.0)
+    rest, live = wanted, {n for n in node if weight[n] > 0}
+    while live:
+        rate = rest / sum(weight[n] for n in live)
+        full = {n for n in live if room(node[n], depth + 1) <= rate * weight[n]}
+        for n in full or live:
+            part[n] = room(node[n], depth + 1) if full else rate * weight[n]
+        live -= full or live
+        rest = wanted - sum(part.values())
+    out = {}
+    for n, child in node.items():
+        out |= filled(child, int(part[n]), weights, (*path, n))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_budgets_lose_nothing(spark, seed):
+    """Weights of 0 anywhere: what a node cannot pass on goes to its siblings, then to its parent's."""
+    rng = random.Random(seed)
+    tree = {d: {k: {s: rng.choice([0, 10, 100, 1000]) for s in "pqr"[: rng.randint(1, 3)]} for k in "xyz"[: rng.randint(1, 3)]} for d in "AB"}
+    weights = ({"A": 1, "B": rng.randint(0, 2)}, {"x": 1, "y": 0, "*": 3}, {"p": rng.randint(0, 1), "*": 2})
+    rows = [(d, k, s, n) for d, t in tree.items() for k, u in t.items() for s, n in u.items()]
+    leaves = spark.createDataFrame(rows, "domain string, language string, site string, supply long")
+    reach = sum(n for d, k, s, n in rows if all(w.get(x, w.get("*", 1)) for w, x in zip(weights, (d, k, s), strict=True)))
+    for wanted in (reach // 3, reach, 10 * reach):
+        found = mixing.budgets(leaves, ["domain", "language", "site"], weights, F.lit(wanted), 1).collect()
+        got = {(r.domain, r.language, r.site): r.budget for r in found}
+        want = filled(tree, min(wanted, reach), weights)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 6 for k in got)
+        assert min(wanted, reach) - 20 <= sum(got.values()) <= min(wanted, reach)
+
+
+def test_shortage_reaches_an_ancestors_sibling(spark):
+    leaves = spark.createDataFrame([("A", "x", 10), ("A", "y", 1000), ("B", "x", 1000)], "domain string, language string, supply long")
+    found = mixing.budgets(leaves, ["domain", "language"], ({}, {"x": 1, "y": 0}), F.lit(502), 1).collect()
+    assert {(r.domain, r.language): r.budget for r in found} == {("A", "x"): 10, ("A", "y"): 0, ("B", "x"): 492}
+
+
+def test_mixture_keeps_columns_of_any_name(docs):
+    levels = {"domain": F.col("source"), "leaf": F.col("lang")}
+    rows = docs.withColumns({"n_tokens": F.lit("t"), "n_copies": F.lit("c"), "domain": F.col("doc_id"), "tokens": F.lit(2), "doc": F.lit(1)})
+    kept = mixing.chosen(rows, "doc_id", F.lit(10).cast("long"), levels, ({}, {}), 1.0, 1)
+    assert kept.columns == rows.columns and sorted(kept.select("doc_id", "domain", "n_copies").collect()) == sorted(rows.select("doc_id", "domain", "n_copies").collect())
+    mixed = mixing.mix(rows, "doc_id", F.lit(10).cast("long"), levels, ({}, {}), 1.0, 1)
+    assert {r.n_copies for r in mixed.collect()} == {1} and mixed.columns.count("domain") == 1
+
+
+def test_archive_reads_any_url(spark, tmp_path):
+    """Line ends of any kind inside a URL start no header."""
+    bad = ["a\u2028WARC-Payload-Digest: sha1:AAAA", "b\u0085WARC-Refers-To: <urn:page:77>", "c\u2029WARC-Type: revisit", "d\r\nWARC-Type: revisit", "e\n\nWARC-Record-ID: <urn:page:5>", "", None, "f\x0bWARC-Type: x\x0cy"]
+    rows = [(i, u, "same" if i % 2 else f"page {i}") for i, u in enumerate(bad)] + [(1, bad[1], "same"), (None, "n", "same"), (None, "n", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = sorted(map(tuple, warc.round_trip(pages, str(tmp_path / "a")).select("page_id", "record_type", "refers_to", "payload_bytes").collect()), key=str)
+    want = [(i, "response" if i % 2 == 0 or i == 1 else "revisit", None if i % 2 == 0 or i == 1 else 1, 4 if i % 2 else 6) for i in range(8)]
+    assert found == sorted([*want, (1, "revisit", 1, 4), (None, "revisit", 1, 4), (None, "response", None, 0)], key=str)
+    urls = {r.page_id: r.url for r in warc.read_archive(spark, str(tmp_path / "a")).collect() if r.page_id is not None}
+    assert urls[0] == bad[0] and urls[5] == "" and urls[6] is None and urls[7] == bad[7] and urls[3] == "d%0D%0AWARC-Type: revisit"
+    # Payloads are stored once, records come back byte for byte.
+    assert spark.read.parquet(str(tmp_path / "a/payloads")).count() == 6 and warc.rebuild(spark, str(tmp_path / "a")).count() == len(rows)
+
+
+def test_language_sample_is_bounded_and_covers_all_labels(spark, texts):
+    prepare(spark)
+    rng = random.Random(1)
+    word = {"a": "aeb", "b": "xyz"}
+    rows = [("hot text of one kind", "a")] * 3000 + [(" ".join("".join(rng.choices(word[k], k=5)) for _ in range(20)), k) for k in "ab" for _ in range(30)]
+    model = langid.fit(spark.createDataFrame(rows, "text string, label string").repartition(4), "text", "label", sample_texts=40)
+    found = langid.identify(spark.createDataFrame(rows[-60:], "text string, label string"), "text", model)
+    assert {(r.label, r.lang_pred) for r in found.collect()} == {("a", "a"), ("b", "b")}
+
+
 def test_pipeline(docs, spark, tmp_path):
     import corpus_pipeline
 
@@ -230,3 +311,35 @@ def test_pipeline(docs, spark, tmp_path):
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     ids = {r.doc_id for r in rows}
     assert not ids & {1, 2, 3, 5, 6, 18} and all(r.n_tokens == len(r.ids) for r in rows)
+
+
+def test_near_duplicate_stage_keeps_different_texts_under_one_id(docs, spark, texts):
+    import corpus_pipeline
+
+    rows = [(1, texts[15], "x"), (1, texts[3], "x"), (2, texts[3], "x"), (3, "a b c d e f", "x"), (3, "a b c d e f", "x"), (4, None, "x"), (None, texts[3], "x"), (None, texts[3], "x")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, `document key` string".replace("`document key`", "component_id"))
+    kept = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, table, "").collect()), key=str)
+    assert kept == sorted([(1, texts[15]), (1, texts[3]), (3, "a b c d e f"), (4, None), (None, texts[3]), (None, texts[3])], key=str)
+    assert corpus_pipeline.drop_near_duplicates(spark, table.where("doc_id > 9"), "").count() == 0
+
+
+def test_language_stage_without_labels_and_with_clashing_columns(docs, spark, texts):
+    import corpus_pipeline
+
+    odd = docs.withColumns({"score": F.lit("s"), "ambiguous": F.lit("a"), "lang_pred": F.col("doc_id")})
+    kept = corpus_pipeline.identify_language(spark, odd, "")
+    assert kept.columns == odd.columns and all(r.score == "s" and r.lang_pred == r.doc_id for r in kept.collect())
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in corpus_pipeline.identify_language(spark, unlabelled, "").collect()} == {i for i, t in enumerate(texts, 1) if t and any(c.isalpha() for c in t)}
+
+
+def test_stages_delete_what_the_one_before_staged(docs, spark):
+    import os
+
+    import corpus_pipeline
+
+    corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    paths = [p.removeprefix("file:") for p in corpus_pipeline._left_behind]
+    assert any(map(os.path.exists, paths))
+    corpus_pipeline.mix_sources(spark, docs, "").collect()
+    assert not any(map(os.path.exists, paths))

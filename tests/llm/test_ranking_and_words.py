@@ -168,5 +168,5 @@ def test_pairs_by_sum_of_squares():
 
 def test_drawing_is_bounded_whatever_the_copies(spark):
     rows = spark.createDataFrame([(0, 5)] * 3000 + [(0, i * 10**15) for i in range(3000)] + [(1, i) for i in range(3)], "label int, h long")
-    drawn, counted = draw(rows, 100)
+    drawn, counted = draw(rows, 200)
     assert counted == {0: 3000 + 1, 1: 3} and Counter(r.label for r in drawn.collect()) == {0: 100, 1: 3}
