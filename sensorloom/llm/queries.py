@@ -45,7 +45,8 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return substrings.repeated_bytes(read(spark, sf_dir, "documents"), "doc_id", "text", length=400)
+    found = substrings.repeated_bytes(read(spark, sf_dir, "documents"), "doc_id", "text", length=400)
+    return found.select("*", (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), (F.col("n_removed") > 0).alias("repeats"))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
