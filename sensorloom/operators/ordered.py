@@ -2,7 +2,9 @@
 
 Each one runs as a plain window per series while series are short. Series over
 the slice size are cut into ordered slices; the work then runs per
-(series, slice), and a table with one row per slice carries what crosses the cut.
+(series, slice), and one row per slice carries what crosses the cut. Readings lie by
+(series, slice) already when that row joins them, so only the carries move, to the
+partition of their slice; nothing is broadcast unasked.
 """
 
 from __future__ import annotations
@@ -61,7 +63,7 @@ def trailing_avg(
         F.aggregate(extra, F.lit(0.0), lambda acc, e: acc + F.coalesce(e["v"], F.lit(0.0))), F.lit(0.0)
     )
     count = F.col("_cnt") + F.coalesce(F.size(F.filter(extra, lambda e: e["v"].isNotNull())), F.lit(0))
-    joined = inside.join(F.broadcast(carry), [*keys, "_slice"], "left")
+    joined = inside.join(carry, [*keys, "_slice"], "left")
     return joined.select(*df.columns, (total / F.nullif(count, F.lit(0))).alias(name))
 
 
@@ -126,7 +128,7 @@ def positions(
         "_rn", F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(order, *tiebreak))
     )
     sizes = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_step"))
-    joined = inside.join(F.broadcast(_offsets(sizes, keys)), [*keys, "_slice"], "left")
+    joined = inside.join(_offsets(sizes, keys), [*keys, "_slice"], "left")
     pos = F.col("_rn") + F.coalesce(F.col("_offset"), F.lit(0))
     return joined.select(*df.columns, pos.cast("bigint").alias(name))
 
@@ -148,7 +150,7 @@ def cumulative_sum(
     frame = Window.partitionBy(*keys, "_slice").orderBy(order).rowsBetween(*_UP_TO_HERE)
     inside = sliced.withColumn("_part", F.sum("_v").over(frame))
     totals = sliced.groupBy(*keys, "_slice").agg(F.coalesce(F.sum("_v"), F.lit(0.0)).alias("_step"))
-    joined = inside.join(F.broadcast(_offsets(totals, keys)), [*keys, "_slice"], "left")
+    joined = inside.join(_offsets(totals, keys), [*keys, "_slice"], "left")
     return joined.select(*df.columns, (F.col("_part") + F.coalesce(F.col("_offset"), F.lit(0.0))).alias(name))
 
 
@@ -194,7 +196,7 @@ def interpolate_linear(
     )
     prev, nxt, pos = F.col("_prev"), F.col("_next"), F.col("_rn")
     if not slices.single:
-        filled = filled.join(F.broadcast(_neighbours(numbered, keys, known)), [*keys, "_slice"], "left")
+        filled = filled.join(_neighbours(numbered, keys, known), [*keys, "_slice"], "left")
         offset = F.coalesce(F.col("_offset"), F.lit(0).cast("bigint"))
         shifted = lambda s: F.when(s.isNotNull(), F.struct((s["p"] + offset).alias("p"), s["v"].alias("v")))
         prev = F.coalesce(shifted(prev), F.col("_before"))
@@ -247,6 +249,6 @@ def step_to_previous(df: DataFrame, keys: Sequence[str], ts: str, name: str = "s
         carry = ends.select(*keys, "_slice", F.lag("_end").over(line).alias("_carry")).filter(
             F.col("_carry").isNotNull()
         )
-        inside = inside.join(F.broadcast(carry), [*keys, "_slice"], "left")
+        inside = inside.join(carry, [*keys, "_slice"], "left")
         before = F.coalesce(before, F.col("_carry"))
     return inside.select(*df.columns, ((F.col("_us") - before) / 1e6).alias(name))

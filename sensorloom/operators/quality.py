@@ -9,9 +9,10 @@ from operator import or_
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorloom.operators.ordered import positions
+from sensorloom.operators.ordered import cumulative_sum
 from sensorloom.operators.reshape import column_values
 from sensorloom.operators.sizing import SLICE_ROWS, Slices, checked_broadcast, plan_slices
+from sensorloom.sources.staging import stage
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
@@ -151,9 +152,10 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact quantiles per key with linear interpolation between neighbours.
 
-    Keys of ordinary size use the built-in aggregate. When a key is longer than
-    a slice, all keys are ranked slice by slice and only the few ranks next to
-    a quantile are kept, so no task ever holds the values of a key.
+    Keys of ordinary size use the built-in aggregate. When a key is longer than a slice,
+    equal values are counted first, so a value that fills most of a key is one row a task;
+    running totals over the distinct values, slice by slice, then tell which of them hold the
+    few ranks next to a quantile. No task ever holds the values of a key.
     """
     known = df.filter(F.col(value).isNotNull()).select(*keys, value)
     slices = slices or plan_slices(known, keys, value)
@@ -161,15 +163,18 @@ def exact_quantiles(
         return known.groupBy(*keys).agg(
             *[F.percentile(value, F.lit(q)).alias(name) for name, q in fractions.items()]
         )
-    ranked = positions(known, keys, value, name="_pos", slices=slices)
-    sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    counts = stage(known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")))
+    distinct = plan_slices(counts, keys, value, slices.rows_per_slice)
+    ranked = cumulative_sum(counts, keys, value, F.col("_c"), "_upto", distinct)
+    sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     ranked = ranked.join(slices.per_key(sizes), list(keys))
     spots = {name: (F.col("_n") - 1) * F.lit(q) + 1 for name, q in fractions.items()}
-    wanted = reduce(or_, [F.col("_pos").between(F.floor(s), F.ceil(s)) for s in spots.values()])
+    holds = lambda rank: (F.col("_upto") - F.col("_c") < rank) & (rank <= F.col("_upto"))
+    wanted = reduce(or_, [holds(F.floor(s)) | holds(F.ceil(s)) for s in spots.values()])
     out = []
     for name, spot in spots.items():
-        low = F.max(F.when(F.col("_pos") == F.floor(spot), F.col(value)))
-        high = F.max(F.when(F.col("_pos") == F.ceil(spot), F.col(value)))
+        low = F.max(F.when(holds(F.floor(spot)), F.col(value)))
+        high = F.max(F.when(holds(F.ceil(spot)), F.col(value)))
         share = F.max(spot - F.floor(spot))
         out.append((low + (high - low) * share).alias(name))
     return ranked.filter(wanted).groupBy(*keys).agg(*out)

@@ -6,6 +6,7 @@ and whether a series is so long that one task must not order it alone.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
@@ -13,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sensorloom.sources.staging import stage
+
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 << 20
 SLICE_ROWS = 4_000_000
@@ -59,6 +62,7 @@ class Slices:
     n_keys: int | None = None
     n_rows: int | None = None
     n_longest: int | None = None
+    rows_per_slice: int = SLICE_ROWS
 
     @property
     def single(self) -> bool:
@@ -77,7 +81,7 @@ class Slices:
             return df.withColumn(name, F.lit(0).cast("bigint"))
         out = df.withColumns({"_x": order_number(df, self.order), "_slice": F.lit(0).cast("bigint")})
         for level in self.levels:
-            out = out.join(F.broadcast(level), [*self.keys, "_slice"], "left")
+            out = out.join(level, [*self.keys, "_slice"], "left")
             inner = F.floor((F.col("_x") - F.col("_lo")) / F.col("_width"))
             clamped = F.greatest(F.least(inner, F.col("_cuts") - 1), F.lit(0).cast("bigint"))
             # Rows without an order value come first, as in a plain window.
@@ -91,16 +95,16 @@ def plan_slices(df: DataFrame, keys: Sequence[str], order: str, rows_per_slice:
     """Measure the series and cut those longer than `rows_per_slice`.
 
     One aggregate over the keys tells how many there are and whether any is
-    long; only then the bounds of long keys are fetched, at most
+    long; only then the bounds of long keys are staged, at most
     (rows / rows_per_slice) rows. Slices left too full by an uneven spread are
-    cut again between their own bounds.
+    cut again between their own bounds; what is too full after the last level is warned of.
     """
     keys = list(keys)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     n_keys, n_rows, n_longest = counts.agg(
         F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))
     ).first()
-    found = Slices(tuple(keys), order, (), n_keys, n_rows, n_longest)
+    found = Slices(tuple(keys), order, (), n_keys, n_rows, n_longest, rows_per_slice)
     if n_longest <= rows_per_slice:
         return found
     base = df.select(*keys, order)
@@ -114,10 +118,12 @@ def plan_slices(df: DataFrame, keys: Sequence[str], order: str, rows_per_slice:
         # Equal order values cannot be cut, so a full slice of one value stays.
         full = stats.filter((F.col("_n") > rows_per_slice) & (F.col("_hi") > F.col("_lo")))
         level = full.withColumn("_cuts", cuts).withColumn("_width", width)
-        level = level.select(*keys, "_slice", F.col("_lo").cast("double").alias("_lo"), "_width", "_cuts")
-        table = level.toArrow()
-        if not table.num_rows:
-            break
-        fetched = df.sparkSession.createDataFrame(table, schema=level.schema)
-        found = replace(found, levels=(*found.levels, fetched))
+        level = stage(level.select(*keys, "_slice", F.col("_lo").cast("double").alias("_lo"), "_width", "_cuts"))
+        if level.isEmpty():
+            return found
+        # Up to BROADCAST_ROWS bounds go to every task; more meet their rows by a shuffle that splits hot keys.
+        found = replace(found, levels=(*found.levels, checked_broadcast(level)))
+    left = found.add(base).groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+    if not left.where((F.col("_n") > rows_per_slice) & (F.col("_hi") > F.col("_lo"))).isEmpty():
+        warnings.warn(f"slices of more than {rows_per_slice} rows are left after {_LEVELS} cuts", stacklevel=2)
     return found

@@ -192,6 +192,71 @@ def long_csv_round_trip(spark, sf):
 # --- profile and data quality -------------------------------------------------------------
 
 
+@query
+def wide_csv_round_trip(spark, sf):
+    """The wide table of the ETL written as CSV and read back with its times."""
+    path = fresh_path(spark, "wide")
+    files.write_csv(etl_wide(spark, sf), path)
+    back = files.read_wide_csv(spark, path)
+    return back.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+
+
+@query
+def xml_dictionary(spark, sf):
+    """Readings per variable with its name from an XML dictionary."""
+    path = fresh_path(spark, "translations")
+    files.write_translations(roles.dictionary(spark).unionByName(roles.dictionary(spark)), path)
+    named = reshape.translate(roles.telemetry(spark, sf), files.read_translations(spark, path))
+    return named.groupBy("variable", "identifier").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _epoch_files(spark, sf) -> str:
+    """Raw history in files of two layouts: columns in another order on odd days, which also lack one sensor."""
+    raw, path = roles.raw_history(roles.hourly(spark, sf)), fresh_path(spark, "raw")
+    seconds = F.unix_timestamp(F.col("timestamp").cast("timestamp")).alias("unixtime")
+    sensors, odd = list(roles.SENSOR_COLUMNS), F.dayofmonth("timestamp") % 2 == 1
+    files.write_csv(raw.where(~odd).select("asset", seconds, *sensors), path)
+    files.write_csv(raw.where(odd).select(*reversed(sensors[1:]), seconds, "asset"), path, mode="append")
+    return path
+
+
+@query
+def csv_by_name(spark, sf):
+    types = {"asset": "string", "unixtime": "bigint"}
+    back = files.read_csv_by_name(spark, _epoch_files(spark, sf), types)
+    return rounded(back.select("asset", "unixtime", *roles.SENSOR_COLUMNS), *roles.SENSOR_COLUMNS)
+
+
+@query
+def epoch_preparation(spark, sf):
+    """Files in epoch seconds, prepared and paired: of the issues at 00:00 and 06:00 only the first meets a day."""
+    types = {"asset": "string", "unixtime": "bigint", "range": "bigint"}
+    raw = forecast.prepare_raw(files.read_csv_by_name(spark, _epoch_files(spark, sf), types))
+    issued = roles.forecasts(roles.hourly(spark, sf)).withColumn("_hour", F.explode(F.array(F.lit(0), F.lit(6))))
+    seconds = (F.unix_timestamp(F.col("fcast_day").cast("timestamp")) + F.col("_hour") * roles.HOUR).alias("unixtime")
+    path = fresh_path(spark, "forecasts")
+    values = [F.col(f"{v}_fcast").alias(v) for v in forecast.FORECAST_VARIABLES]
+    files.write_csv(issued.select("asset", seconds, "range", *values), path)
+    fcast = forecast.prepare_forecasts(files.read_csv_by_name(spark, path, types))
+    paired = forecast.forecast_join(raw.select("asset", "timestamp", "day", "fcast_day", "WNACWindSpeed"), fcast)
+    times = {c: F.col(c).cast("timestamp_ntz") for c in ("timestamp", "fcast_day", "fcast_time")}
+    wanted = ["asset", "timestamp", "day", "fcast_day", "range", "fcast_time", "WNACWindSpeed", "WNACWindSpeed_fcast"]
+    return rounded(paired.withColumns(times).select(*wanted), *wanted[6:])
+
+
+@query
+def evaluation_flow(spark, sf):
+    """Trained on all but the last days, whose readings and forecasts are the evaluation: one CSV folder per day."""
+    raw, fcast = _raw_and_forecasts(spark, sf)
+    raw = raw.select("asset", "timestamp", "fcast_day", "WTURPower")
+    cut = fcast.agg(F.date_sub(F.max("fcast_day"), TEST_DAYS).alias("cut"))
+    known, later = (fcast.join(F.broadcast(cut), when).drop("cut") for when in (F.col("fcast_day") <= F.col("cut"), F.col("fcast_day") > F.col("cut")))
+    path = fresh_path(spark, "evaluation")
+    train = forecast.training_table(raw, known)
+    flows.evaluate_to_daily_files(train, forecast.forecast_join(raw, later), ["WNACWindSpeed_fcast"], 10.0, path, curve="linear")
+    return rounded(files.read_daily_csv(spark, path), "pred_WTURPower")
+
+
 @query
 def table_profile(spark, sf):
     return quality.table_profile(roles.telemetry(spark, sf), "asset", "variable", "timestamp")

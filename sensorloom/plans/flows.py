@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from sensorloom.functions.columns import time_text
 from sensorloom.operators import forecast, grouped_pipeline, ordered, reshape, sampling, splines
+from sensorloom.sources import files
+from sensorloom.sources.staging import stage
 
 
 def smooth_and_widen(
@@ -90,6 +92,23 @@ def _latest(evaluation: DataFrame, models: DataFrame, inputs: Sequence[str], nam
     return forecast.latest_prediction(rows.withColumn("_at", F.when(F.col(name).isNotNull(), F.col("timestamp"))), name, "_at")
 
 
+def evaluate_to_daily_files(
+    train: DataFrame, evaluation: DataFrame, inputs: Sequence[str], alpha: float, path: str, step: int = 600, target: str = "WTURPower", curve: str = "spline"
+) -> None:
+    """Models from one table, predictions for another, interpolated and written as a folder of CSV per day.
+
+    `evaluation` needs no truth. A missing feature column fails before anything runs; a cell
+    without a feature or a model keeps NULL up to the files, where the curve does not fill it.
+    """
+    lacking = [c for c in ("asset", "timestamp", "fcast_day", "range", *inputs) if c not in evaluation.columns]
+    if lacking:
+        raise ValueError(f"the evaluation table has no {', '.join(lacking)}")
+    keys, name = ["asset", "fcast_day"], f"pred_{target}"
+    predicted = stage(day_ahead_predictions(train, evaluation, inputs, alpha, target))
+    fill = splines.spline if curve == "spline" else splines.linear_curve
+    files.write_daily_csv(fill(reshape.densify(predicted, keys, "range", name, step), keys, "range", name), path)
+
+
 def fine_predictions(pred: DataFrame, step: int = 600, value: str = "pred_WTURPower") -> DataFrame:
     """Predictions on the finer grid, interpolated by a cubic spline per asset and day."""
     keys = ["asset", "fcast_day"]

@@ -212,6 +212,46 @@ def oracle_sql() -> dict[str, str]:
             WHERE id IS NOT NULL GROUP BY 1""",
             "tel",
         ),
+        "wide_csv_round_trip": _with(
+            f"""SELECT date_trunc('second', ts) AS "timestamp", {_pivot(TRANSLATED_COLUMNS, 'id', 'v', 'min')}
+            FROM (SELECT ts, {_LOOKUP} || '_' || asset AS id, round(ma, 6) AS v
+              FROM (SELECT *, {ma10} AS ma FROM tel) WHERE minute(ts) % 10 = 0)
+            WHERE id IS NOT NULL GROUP BY 1""",
+            "tel",
+        ),
+        "xml_dictionary": _with(f"SELECT variable, {_LOOKUP} AS identifier, count(*) AS n FROM tel GROUP BY 1, 2", "tel"),
+        "csv_by_name": _with(
+            f"""SELECT asset, CAST(epoch(ts) AS BIGINT) AS unixtime,
+            CASE WHEN day(ts) % 2 = 0 THEN round({SENSOR_COLUMNS[0]}, 6) END AS {SENSOR_COLUMNS[0]},
+            {", ".join(f"round({s}, 6) AS {s}" for s in SENSOR_COLUMNS[1:])} FROM raw""",
+            "raw",
+        ),
+        "epoch_preparation": _with(
+            f"""SELECT asset, {_LABEL}, CAST(ts AS DATE) AS day, CAST(fcast_day AS TIMESTAMP) AS fcast_day, "range", fcast_time,
+            round(WNACWindSpeed, 6) AS WNACWindSpeed, round(WNACWindSpeed_fcast, 6) AS WNACWindSpeed_fcast FROM paired""",
+            "paired",
+        ),
+        "evaluation_flow": _after(
+            "paired",
+            f"""cut AS (SELECT max(fcast_day) - {TEST_DAYS} AS last FROM fcast),
+            used AS (SELECT asset, WNACWindSpeed_fcast AS x, true_WTURPower AS y FROM paired, cut
+              WHERE fcast_day <= last AND WNACWindSpeed_fcast IS NOT NULL AND true_WTURPower IS NOT NULL),
+            c AS (SELECT asset, avg(x) AS mx FROM used GROUP BY 1),
+            t AS (SELECT u.asset, y, x - mx AS p, (x - mx) * (x - mx) AS q FROM used u JOIN c ON c.asset = u.asset),
+            s AS (SELECT asset, count(*) AS n, avg(y) AS my, avg(q) AS mq, stddev_pop(p) AS sp, stddev_pop(q) AS sq,
+              covar_pop(p, q) / (stddev_pop(p) * stddev_pop(q)) AS r, covar_pop(p, y) / stddev_pop(p) AS cp,
+              covar_pop(q, y) / stddev_pop(q) AS cq FROM t GROUP BY 1),
+            w AS (SELECT s.*, mx, n * (cp * (n + 10.0) - cq * n * r) / (pow(n + 10.0, 2) - pow(n * r, 2)) AS w1,
+              n * (cq * (n + 10.0) - cp * n * r) / (pow(n + 10.0, 2) - pow(n * r, 2)) AS w2 FROM s JOIN c ON c.asset = s.asset),
+            cells AS (SELECT DISTINCT f.asset, f.fcast_day, f."range",
+              my + w1 * (WNACWindSpeed_fcast - mx) / sp + w2 * (pow(WNACWindSpeed_fcast - mx, 2) - mq) / sq AS pred
+              FROM paired f CROSS JOIN cut LEFT JOIN w ON w.asset = f.asset WHERE f.fcast_day > last),
+            fine AS (SELECT d.asset, d.fcast_day, d."range", b.pred FROM
+              (SELECT k.asset, k.fcast_day, g."range" FROM (SELECT DISTINCT asset, fcast_day FROM cells) k,
+                (SELECT unnest(generate_series(min("range"), max("range"), 600)) AS "range" FROM cells) g) d
+              LEFT JOIN cells b ON b.asset = d.asset AND b.fcast_day = d.fcast_day AND b."range" = d."range")""",
+            curve,
+        ),
         "trailing_avg_rows": _with(
             f"SELECT event_id, asset, variable, {_LABEL}, round({ma10}, 6) AS ma FROM tel", "tel"
         ),

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
-from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sensorloom.functions.columns import missing_if_nan, parse_time, reading_time
+from sensorloom.operators.sizing import checked_broadcast
 
 # Time of day stays text: inference would attach today's date to it.
 LONG_SCHEMA = T.StructType(
@@ -59,31 +60,31 @@ def list_files(spark: SparkSession, directory: str, suffix: str = ".csv") -> lis
 def read_csv_by_name(spark: SparkSession, directory: str, types: dict[str, str], suffix: str = ".csv") -> DataFrame:
     """All CSV files of a directory with columns matched by name.
 
-    Files whose header lists the columns in another order are read separately,
-    one read per distinct header, and united by name. Columns are double unless
-    `types` says otherwise.
+    Files whose header lists the columns in another order are read separately, one read per
+    distinct header, and united by name; a column that a file lacks is NULL there. Columns
+    are double unless `types` says otherwise. One pass finds the headers of all files, so the
+    number of jobs follows that of distinct headers, not of files.
     """
     groups: dict[tuple[str, ...], list[str]] = {}
-    for path, header in _headers(spark, directory, suffix):
-        groups.setdefault(tuple(header), []).append(path)
+    for r in file_headers(spark, directory, suffix).collect():
+        groups.setdefault(tuple(next(csv.reader([r["header"]]))), []).append(r["path"])
     if not groups:
         raise FileNotFoundError(f"no {suffix} file in {directory}")
     out = None
     for header, paths in sorted(groups.items()):
         schema = ", ".join(f"`{c}` {types.get(c, 'double')}" for c in header)
-        part = spark.read.schema(schema).option("header", True).csv(paths)
+        part = spark.read.schema(schema).option("header", True).csv(sorted(paths))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 
 
-def _headers(spark: SparkSession, directory: str, suffix: str) -> list[tuple[str, list[str]]]:
-    """(path, column names) of every file; each read stops after the first line."""
-
-    def columns(path: str) -> tuple[str, list[str]]:
-        return path, spark.read.option("header", True).csv(path).columns
-
-    with ThreadPool(16) as pool:
-        return pool.map(columns, list_files(spark, directory, suffix))
+def file_headers(spark: SparkSession, directory: str, suffix: str = ".csv") -> DataFrame:
+    """path, header: the first line of every file of a directory that has one."""
+    lines = spark.read.option("pathGlobFilter", f"*{suffix}").text(directory)
+    first = lines.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_start"))
+    # The ids of one task grow with its rows, so the first block's smallest one is the first line.
+    first = first.where("_start = 0").withColumn("_at", F.monotonically_increasing_id())
+    return first.groupBy("path").agg(F.min_by("value", "_at").alias("header"))
 
 
 def read_translations(spark: SparkSession, path: str) -> DataFrame:
@@ -111,9 +112,25 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "
 
 def write_daily_csv(
     df: DataFrame, path: str, day: str = "fcast_day", columns: Sequence[str] = ("asset", "range", "pred_WTURPower"),
-    files_per_day: int = 1, mode: str = "errorifexists",
+    rows_per_file: int = 1_000_000, mode: str = "errorifexists",
 ) -> None:
-    """A folder per day with one file, or `files_per_day` even ones for large days."""
-    spread = F.pmod(F.xxhash64(*columns[:2]), F.lit(files_per_day))
-    placed = df.select(F.col(day).cast("date").alias(day), *columns).repartition(F.col(day), spread)
-    placed.write.mode(mode).partitionBy(day).option("header", True).csv(path)
+    """A folder per day, with as many even files as its rows need; one for a day of up to `rows_per_file` rows.
+
+    The days are counted first, so a day that holds most of the rows is several tasks.
+    """
+    placed = df.select(F.col(day).cast("date").alias(day), *columns)
+    counts = placed.groupBy(day).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).cast("int").alias("_files"))
+    large = counts.where("_files > 1")
+    if large.isEmpty():
+        spread = placed.repartition(day)
+    else:
+        numbered = placed.join(checked_broadcast(large), day, "left")
+        # Dealt out by content, so a task that runs again writes the same rows.
+        part = F.pmod(F.xxhash64(*columns), F.coalesce("_files", F.lit(1)))
+        spread = numbered.withColumn("_part", part).repartition(day, "_part").drop("_files", "_part")
+    spread.write.mode(mode).partitionBy(day).option("header", True).option("maxRecordsPerFile", rows_per_file).csv(path)
+
+
+def write_translations(pairs: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """(src, dest) pairs as an XML dictionary."""
+    pairs.select("src", "dest").write.mode(mode).format("xml").option("rootTag", "assets").option("rowTag", "translation").save(path)

@@ -114,3 +114,41 @@ def test_rows_without_time_go_to_the_first_slice(spark, at):
     placed = slices.add(df).collect()
     assert not slices.single
     assert {r["_slice"] for r in placed if r["timestamp"] is None} == {min(r["_slice"] for r in placed)}
+
+
+@pytest.fixture
+def no_broadcast(spark, monkeypatch):
+    """Nothing is small enough to be broadcast."""
+    from sensorloom.operators import sizing
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(sizing, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(sizing, "BROADCAST_BYTES", 0)
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_carries_move_to_their_slice_without_broadcast(noisy, no_broadcast):
+    """The same results where bounds, carries and offsets all go by shuffle; the readings are shuffled once more than plainly at most."""
+    slices = plan_slices(noisy, KEYS, "timestamp", 7)
+    work = {
+        "average": lambda s: ordered.trailing_avg(noisy, KEYS, "timestamp", "value", slices=s),
+        "positions": lambda s: ordered.positions(noisy, KEYS, "timestamp", slices=s),
+        "sums": lambda s: ordered.cumulative_sum(noisy, KEYS, "timestamp", F.coalesce("value", F.lit(0.0)), slices=s),
+        "fill": lambda s: ordered.interpolate_linear(noisy, KEYS, "timestamp", "value", slices=s),
+    }
+    for name, run in work.items():
+        cut = run(slices)
+        assert "Broadcast" not in cut._jdf.queryExecution().executedPlan().toString(), name
+        plain = run(plan_slices(noisy, KEYS, "timestamp"))
+        pd.testing.assert_frame_equal(collect(plain, "asset", "seq"), collect(cut, "asset", "seq")[plain.columns])
+
+
+def test_slices_left_too_full_are_warned_of(noisy, monkeypatch):
+    from sensorloom.operators import sizing
+
+    monkeypatch.setattr(sizing, "_LEVELS", 1)
+    monkeypatch.setattr(sizing, "_OVERCUT", 1)
+    with pytest.warns(UserWarning, match="left after 1 cuts"):
+        plan_slices(noisy, KEYS, "timestamp", 40)

@@ -102,6 +102,21 @@ def test_sliced_quantiles_equal_numpy(noisy, rows_per_slice):
         assert out.loc[asset, "count"] == len(known)
 
 
+@pytest.mark.parametrize("rows_per_slice", [5, 100])
+def test_quantiles_of_a_key_full_of_one_value(spark, rows_per_slice):
+    """One value in 99 % of the rows of a sliced key is one row of counts."""
+    rng = np.random.default_rng(3)
+    values = np.concatenate([np.full(1980, 7.0), rng.normal(7, 50, 20)])
+    rng.shuffle(values)
+    rows = [("hot", float(v)) for v in values] + [("even", float(v)) for v in rng.integers(0, 40, 300) / 4] + [("short", 1.0), ("short", 4.0), ("none", None)]
+    df = spark.createDataFrame(rows, "asset string, value double").repartition(5)
+    out = quality.describe(df, ["asset"], "value", rows_per_slice).toPandas().set_index("asset")
+    for asset in ("hot", "even", "short"):
+        known = [v for a, v in rows if a == asset]
+        assert np.allclose(out.loc[asset, ["p25", "p50", "p75"]].astype(float), np.quantile(known, [0.25, 0.5, 0.75]))
+    assert out.loc["hot", "p50"] == 7 and out.loc[["none"], ["p25", "p50", "p75"]].isna().all().all()
+
+
 def test_table_profile(noisy):
     row = quality.table_profile(noisy, "asset", "variable", "timestamp").first()
     assert (row.n_assets, row.n_variables, row.n_rows) == (3, 1, 463)

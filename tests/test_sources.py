@@ -114,3 +114,47 @@ def test_right_closed_bucket(spark):
 def test_safe_corr_of_a_constant(spark):
     df = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "a double, b double")
     assert df.agg(fn.safe_corr(F.col("a"), F.col("b")).alias("c")).first().c is None
+
+
+def test_headers_of_many_files_in_one_pass(spark, tmp_path):
+    """Two layouts over many files, quoted names, an empty file and one without rows; jobs do not follow the files."""
+    want = []
+    for i in range(40):
+        columns = ["asset", "a,b", "c"] if i % 2 else ["c", "asset"]
+        row = {"asset": f"A{i:03d}", "a,b": i + 0.5, "c": float(i)}
+        quoted = ",".join(f'"{c}"' if "," in c else c for c in columns)
+        (tmp_path / f"f{i:02d}.csv").write_text(quoted + "\n" + ("" if i == 39 else ",".join(str(row[c]) for c in columns) + "\n"))
+        if i < 39:
+            want.append((row["asset"], row["a,b"] if i % 2 else None, row["c"]))
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "notes.txt").write_text("not,a,table\n")
+    assert files.file_headers(spark, str(tmp_path)).count() == 40
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("headers", "")
+    back = files.read_csv_by_name(spark, str(tmp_path), {"asset": "string"})
+    jobs = len(tracker.getJobIdsForGroup("headers"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(map(tuple, back.select("asset", "`a,b`", "c").collect())) == sorted(want) and jobs <= 6
+    with pytest.raises(FileNotFoundError):
+        files.read_csv_by_name(spark, str(tmp_path), {}, ".tsv")
+
+
+def test_a_large_day_is_several_files(spark, tmp_path):
+    rows = [(f"A{i % 7}", dt.date(2024, 1, 2 if i % 10 else 3), i, float(i)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "asset string, fcast_day date, range long, pred_WTURPower double").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    files.write_daily_csv(df, str(tmp_path / "days"), rows_per_file=200)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    parts = {d.name: len(list(d.glob("*.csv"))) for d in (tmp_path / "days").iterdir() if d.is_dir()}
+    tasks = {f.name.split("-")[1] for f in (tmp_path / "days/fcast_day=2024-01-02").glob("*.csv")}
+    assert len(tasks) > 1 and parts["fcast_day=2024-01-02"] >= 5 and parts["fcast_day=2024-01-03"] == 1
+    back = files.read_daily_csv(spark, str(tmp_path / "days"))
+    assert sorted(map(tuple, back.select(*df.columns).collect())) == sorted(rows)
+
+
+def test_evaluation_needs_its_features(spark, tmp_path):
+    from sensorloom.plans import flows
+
+    table = spark.createDataFrame([], "asset string, timestamp timestamp_ntz, fcast_day date, range long, a double, true_WTURPower double")
+    with pytest.raises(ValueError, match="has no a"):
+        flows.evaluate_to_daily_files(table, table.drop("a"), ["a"], 1.0, str(tmp_path / "out"))
