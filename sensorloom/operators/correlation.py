@@ -13,6 +13,8 @@ from sensorloom.operators.sizing import checked_broadcast
 
 CELLS_PER_GROUP = 500_000
 SERIES_PER_TILE = 512
+#: Cells, missing ones too, of the times x series matrix a task holds at a time.
+MATRIX_CELLS = 1 << 21
 
 _SUMS = ("n", "sa", "sb", "saa", "sbb", "sab")
 
@@ -30,11 +32,13 @@ def correlation_long(
 
     Readings are first reduced to their mean per (within, time, id), which
     bounds a time by the number of series and needs no shuffle after a grouping
-    by the same columns. Times are then spread by hash into groups of bounded size; a group turns into a small time × series
-    matrix whose cross products give partial sums for all pairs at once, so
-    pairs of readings never become rows. The partial sums, one row per pair and
-    group, are then added up. Many series are cut into tiles of
-    `series_per_tile`, one group per pair of tiles.
+    by the same columns. Times are then spread by hash into groups of bounded size; a group is
+    walked in blocks of times, each a times × series matrix of at most MATRIX_CELLS cells
+    whose cross products are added up for all pairs at once, so pairs of readings never
+    become rows and times at which few series have a reading cost no memory. The partial sums, one
+    row per pair and group, are then added up. Many series are cut into tiles of
+    `series_per_tile`, one group per pair of tiles. Series of one group of `within` without a
+    common time come with n = 0 and NULL.
     """
     within = [within] if isinstance(within, str) else list(within or [])
     cells = (
@@ -82,11 +86,7 @@ def correlation_long(
         p, q = key[-2], key[-1]
         times, row = np.unique(rows["_t"].to_numpy(), return_inverse=True)
         names, col = np.unique(rows["_id"].to_numpy().astype(str), return_inverse=True)
-        x = np.zeros((len(times), len(names)))
-        seen = np.zeros_like(x)
-        x[row, col] = rows["_v"].to_numpy()
-        seen[row, col] = 1.0
-        n, sa, saa, sab = seen.T @ seen, x.T @ seen, (x * x).T @ seen, x.T @ x
+        n, sa, saa, sab = co_moments(row, col, rows["_v"].to_numpy(), len(times), len(names))
         tile = np.zeros(len(names), dtype=np.int64)
         tile[col] = rows["_tile"].to_numpy()
         a, b = np.triu_indices(len(names))
@@ -101,10 +101,31 @@ def correlation_long(
 
     partial = tiled.groupBy(*by).applyInPandas(pair_sums, schema)
     total = partial.groupBy(*within, "var_a", "var_b").agg(*[F.sum(s).alias(s) for s in _SUMS])
-    cov = F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")
-    var_a = F.col("saa") - F.col("sa") * F.col("sa") / F.col("n")
-    var_b = F.col("sbb") - F.col("sb") * F.col("sb") / F.col("n")
+    # The result has a row for every pair of names anyway; here are those that share no time.
+    side = lambda c: sizes.select(*within, F.lit(0).alias("_all"), F.col("_id").alias(c))
+    pairs = side("var_a").join(side("var_b"), [*within, "_all"]).where("var_a <= var_b").drop("_all")
+    total = pairs.join(total, [*within, "var_a", "var_b"], "left").withColumn("n", F.coalesce("n", F.lit(0.0)))
+    cov = F.col("sab") - F.col("sa") * F.col("sb") / F.nullif(F.col("n"), F.lit(0.0))
+    var_a = F.col("saa") - F.col("sa") * F.col("sa") / F.nullif(F.col("n"), F.lit(0.0))
+    var_b = F.col("sbb") - F.col("sb") * F.col("sb") / F.nullif(F.col("n"), F.lit(0.0))
     # A constant side leaves only rounding noise around zero variance.
     flat = (var_a <= 1e-12 * F.col("saa")) | (var_b <= 1e-12 * F.col("sbb")) | (F.col("n") < 2)
     corr = F.when(~flat, F.abs(cov / F.sqrt(var_a * var_b)))
     return total.select(*within, "var_a", "var_b", corr.alias("corr"), F.col("n").cast("bigint").alias("n"))
+
+
+def co_moments(row: np.ndarray, col: np.ndarray, value: np.ndarray, n_rows: int, n_cols: int) -> tuple[np.ndarray, ...]:
+    """For all pairs of columns of a sparse matrix, over rows where both have a value: count, sum of the first, of its square, of the product."""
+    step = max(1, MATRIX_CELLS // max(1, n_cols))
+    order = np.argsort(row, kind="stable")
+    row, col, value = row[order], col[order], value[order]
+    out = [np.zeros((n_cols, n_cols)) for _ in range(4)]
+    for start in range(0, n_rows, step):
+        mine = slice(*np.searchsorted(row, (start, start + step)))
+        height = min(step, n_rows - start)
+        x, seen = np.zeros((height, n_cols)), np.zeros((height, n_cols))
+        x[row[mine] - start, col[mine]] = value[mine]
+        seen[row[mine] - start, col[mine]] = 1.0
+        for total, part in zip(out, (seen.T @ seen, x.T @ seen, (x * x).T @ seen, x.T @ x), strict=True):
+            total += part
+    return tuple(out)

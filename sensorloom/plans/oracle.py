@@ -376,16 +376,22 @@ def oracle_sql() -> dict[str, str]:
         ),
         "union_by_name": """SELECT o_orderkey AS "key", o_orderdate AS "timestamp", o_totalprice AS value, NULL::DOUBLE AS quantity
             FROM orders UNION ALL SELECT l_orderkey, l_shipdate, l_extendedprice, l_quantity FROM lineitem""",
-        "correlation_matrix": _with(
-            f"""SELECT a.variable || '_' || a.asset AS var_a, b.variable || '_' || b.asset AS var_b,
-            {_corr('a.value', 'b.value')} AS corr, count(*) AS n FROM hourly a JOIN hourly b ON a.ts = b.ts
-            AND a.variable || '_' || a.asset <= b.variable || '_' || b.asset GROUP BY 1, 2""",
+        "correlation_matrix": _after(
             "hourly",
+            """h AS (SELECT variable || '_' || asset AS id, ts, value FROM hourly), s AS (SELECT DISTINCT id FROM h WHERE value IS NOT NULL),
+            p AS (SELECT x.id AS var_a, y.id AS var_b FROM s x, s y WHERE x.id <= y.id)""",
+            f"""SELECT p.var_a, p.var_b, {_corr('va', 'vb')} AS corr, count(vb) AS n FROM p LEFT JOIN
+            (SELECT a.id AS var_a, b.id AS var_b, a.value AS va, b.value AS vb FROM h a JOIN h b ON b.ts = a.ts AND a.id <= b.id
+              WHERE a.value IS NOT NULL AND b.value IS NOT NULL) j ON j.var_a = p.var_a AND j.var_b = p.var_b GROUP BY 1, 2""",
         ),
-        "correlation_by_asset": _with(
-            f"""SELECT a.asset, a.variable AS var_a, b.variable AS var_b, {_corr('a.value', 'b.value')} AS corr, count(*) AS n
-            FROM hourly a JOIN hourly b ON a.ts = b.ts AND a.asset = b.asset AND a.variable <= b.variable GROUP BY 1, 2, 3""",
+        "correlation_by_asset": _after(
             "hourly",
+            """s AS (SELECT DISTINCT asset, variable FROM hourly WHERE value IS NOT NULL),
+            p AS (SELECT x.asset, x.variable AS var_a, y.variable AS var_b FROM s x JOIN s y ON x.asset = y.asset AND x.variable <= y.variable),
+            j AS (SELECT p.*, a.value AS va, b.value AS vb FROM p JOIN hourly a ON a.asset = p.asset AND a.variable = var_a
+              JOIN hourly b ON b.asset = p.asset AND b.variable = var_b AND b.ts = a.ts WHERE a.value IS NOT NULL AND b.value IS NOT NULL)""",
+            f"""SELECT p.asset, p.var_a, p.var_b, {_corr('va', 'vb')} AS corr, count(vb) AS n
+            FROM p LEFT JOIN j ON j.asset = p.asset AND j.var_a = p.var_a AND j.var_b = p.var_b GROUP BY 1, 2, 3""",
         ),
         "dft_magnitude": _with("SELECT asset, variable, k, round(amp, 6) AS amp FROM spec", "spec"),
         "fft_magnitude": _with(

@@ -159,6 +159,30 @@ def test_correlation_equals_pandas(spark, noisy, cells, tile):
             assert row.n == (wide[row.var_a].notna() & wide[row.var_b].notna()).sum()
 
 
+def test_series_without_a_common_time(spark):
+    df = spark.createDataFrame([("A001", v, n, float(n)) for v, start in (("a", 0), ("b", 5), ("c", 2)) for n in range(start, start + 5)], SCHEMA)
+    for within in (None, "asset"):
+        out = {(r.var_a, r.var_b): r for r in correlation.correlation_long(df, "n", "variable", "value", within).collect()}
+        assert len(out) == 6 and out["a", "b"].n == 0 and out["a", "b"]["corr"] is None and out["a", "c"].n == 3
+
+
+def test_many_times_by_many_series_in_blocks(monkeypatch):
+    """A task's matrices stay within the bound though no two times have the same series."""
+    monkeypatch.setattr(correlation, "MATRIX_CELLS", 1 << 12)
+    held, rng = [], np.random.default_rng(6)
+    zeros = np.zeros
+    monkeypatch.setattr(correlation.np, "zeros", lambda shape, *a, **k: held.append(np.prod(shape)) or zeros(shape, *a, **k))
+    row, col = np.arange(20_000) // 2, rng.integers(0, 50, 20_000)
+    _, first = np.unique(row * 50 + col, return_index=True)
+    row, col, value = row[first], col[first], rng.normal(size=len(first))
+    n, sa, saa, sab = correlation.co_moments(row, col, value, 10_000, 50)
+    assert max(held) <= 1 << 12
+    full, seen = zeros((10_000, 50)), zeros((10_000, 50))
+    full[row, col], seen[row, col] = value, 1
+    for got, want in ((n, seen.T @ seen), (sa, full.T @ seen), (saa, (full**2).T @ seen), (sab, full.T @ full)):
+        assert np.allclose(got, want)
+
+
 def test_constant_series_have_no_coefficient(spark):
     df = waves(spark, a=[1, 1], b=[2, 3])
     out = {(r.var_a, r.var_b): r["corr"] for r in correlation.correlation_long(df, "n", "variable", "value").collect()}
