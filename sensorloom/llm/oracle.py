@@ -22,7 +22,9 @@ WITH w AS (
 ), m AS (
   SELECT doc_id, len(words)::BIGINT AS n_words, length(list_aggregate(words || [''], 'string_agg', ''))::BIGINT AS word_chars,
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines,
+    len(regexp_extract_all(text, '[A-Z]')) AS upper, len(regexp_extract_all(text, '[A-Za-z]')) AS letters, len(regexp_extract_all(text, '[!?]')) AS marks,
+    len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) AS echoes
   FROM w
 ), windows AS (
   SELECT doc_id, i, list_aggregate(words[i:i + 7], 'string_agg', ' ') AS g
@@ -32,12 +34,13 @@ WITH w AS (
   FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows) WHERE n > 1
 ), r AS (SELECT doc_id, sum(least(8, coalesce(following - i, 8)))::BIGINT AS n FROM repeated GROUP BY doc_id)
 , q AS (
-  SELECT doc_id, n_words, word_chars, n_symbols, len(lines)::BIGINT AS n_lines,
+  SELECT doc_id, n_words, word_chars, n_symbols, upper, letters, marks, echoes, len(lines)::BIGINT AS n_lines,
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
   FROM m LEFT JOIN r USING (doc_id)
 ), b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR 2 * n_symbols > word_chars OR word_chars > 40 * n_words OR 5 * n_dup_lines > 4 * n_lines) AS kept
+  NOT (base_failed OR 2 * n_symbols > word_chars OR word_chars > 40 * n_words OR 5 * n_dup_lines > 4 * n_lines
+    OR 5 * upper > 4 * letters OR marks > n_words OR 2 * echoes > n_words) AS kept
 FROM b
 """
 

@@ -119,6 +119,32 @@ def test_quality(docs, nothing, texts):
     assert quality.judge(nothing, "doc_id", "text").count() == 0
 
 
+def test_later_rules_are_not_evaluated_for_rejected_rows(docs):
+    boom = quality.Rule("boom", F.raise_error(F.lit("evaluated")).cast("boolean"))
+    short = quality.Rule("short", F.col("q.n_words") < 10**9)
+    measured = quality.measure(docs.select("text"), "text")
+    assert {r.rejected_by for r in quality.cascade(measured, [short, boom]).collect()} == {"short"}
+    with pytest.raises(Exception, match="evaluated"):
+        quality.cascade(measured, [boom, short]).collect()
+
+
+def test_rules_are_ordered_by_measured_rejection_per_cost(spark):
+    words = F.sequence(F.lit(1), F.lit(3000))
+    slow = F.aggregate(words, F.lit(0).cast("long"), lambda n, w: n + F.length(F.sha2(F.concat(F.col("text"), w.cast("string")), 512))) > 0
+    rows = spark.range(400).select("id", F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    given = [quality.Rule("never", F.lit(False)), quality.Rule("slow", slow), quality.Rule("quick", F.col("q.n_words") > 0)]
+    assert [r.name for r in quality.order_rules(rows, "id", "text", given)] == ["quick", "slow", "never"]
+    assert [r.name for r in quality.order_rules(rows.limit(0), "id", "text", given)] == ["never", "slow", "quick"]
+
+
+def test_added_rules(spark):
+    prose = " ".join(f"word{i} is here" for i in range(20))
+    texts = {"fine": prose, "capitals": prose.upper(), "marks": prose.replace(" ", "!! "), "echoes": " ".join(f"w{i // 3}{i // 3}" for i in range(90)), "Ünïcode": "éà ü ö " * 3 + prose}
+    table = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    found = {r.doc_id: r.rejected_by for r in quality.judge(table, "doc_id", "text").collect()}
+    assert {k for k, v in found.items() if v} == {"capitals", "marks", "echoes"}
+
+
 def test_byte_bpe(docs, nothing, texts):
     import public_tokenizers
     import tiktoken
