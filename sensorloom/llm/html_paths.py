@@ -26,6 +26,8 @@ INLINE = frozenset(
 )
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 CONTAINERS = frozenset("body html div section article main td center".split())
+#: Elements of running text, which belong to the content beside them though their own paths score low.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote figcaption caption td th".split())
 #: Elements, roles and words in class or id that are never part of an article (fixed values).
 ASIDE = frozenset("nav footer aside form button dialog menu fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
@@ -168,18 +170,20 @@ def pieces_of(page: str) -> Page:
     return Page(out, names, marks, around)
 
 
-def path_scores(pieces: list[Piece], width: float = 1.0) -> np.ndarray:
-    """Fused score of every piece.
-
-    Per tag path: characters per piece and punctuation per piece. Both series, in page
-    order, are smoothed with a Gaussian and multiplied.
-    """
+def path_ratios(pieces: list[Piece]) -> dict[tuple[str, ...], tuple[float, float]]:
+    """Characters and punctuation per piece of every tag path."""
     length, marks, number = defaultdict(float), defaultdict(float), defaultdict(int)
     for p in pieces:
         length[p.path] += len(p.text.strip())
         marks[p.path] += len(PUNCTUATION.findall(p.text))
         number[p.path] += 1
-    series = np.array([[length[p.path] / number[p.path], marks[p.path] / number[p.path]] for p in pieces])
+    return {path: (length[path] / n, marks[path] / n) for path, n in number.items()}
+
+
+def path_scores(pieces: list[Piece], width: float = 1.0) -> np.ndarray:
+    """Fused score of every piece: its path's two ratios, each smoothed in page order with a Gaussian, multiplied."""
+    ratios = path_ratios(pieces)
+    series = np.array([ratios[p.path] for p in pieces])
     reach = int(np.ceil(3 * width))
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / width) ** 2)
     kernel /= kernel.sum()
@@ -188,6 +192,40 @@ def path_scores(pieces: list[Piece], width: float = 1.0) -> np.ndarray:
     return smooth[:, 0] * smooth[:, 1]
 
 
+def _block_path(piece: Piece) -> tuple[str, ...]:
+    return tuple(name for name in piece.path if name not in INLINE)
+
+
+def _content_blocks(pieces: list[Piece], high: set[tuple], threshold: float, in_article: bool) -> set[int]:
+    """Blocks of a container's pieces that are content.
+
+    A block with a piece on a selected path is content, and so is all between the first
+    and the last of these. Beyond them bare text stays out, unless the container is an
+    article; headings, list items, paragraphs and cells stay. Menus stay out everywhere:
+    blocks on paths with most of their text in links whose own ratios, unsmoothed, do
+    not reach the threshold.
+    """
+    linked, length, marks, number = defaultdict(float), defaultdict(float), defaultdict(float), defaultdict(int)
+    for p in pieces:
+        path = _block_path(p)
+        length[path] += len(p.text.strip())
+        linked[path] += len(p.text.strip()) * ("a" in p.path)
+        marks[path] += len(PUNCTUATION.findall(p.text))
+        number[path] += 1
+    menus = {x for x, n in number.items() if 2 * linked[x] > length[x] and length[x] * marks[x] < threshold * n * n}
+    chosen = {p.block for p in pieces if p.path in high and _block_path(p) not in menus}
+    if not chosen:
+        return {p.block for p in pieces}
+    first, last = min(chosen), max(chosen)
+    out = set()
+    for p in pieces:
+        path = _block_path(p)
+        beside = in_article or first <= p.block <= last or (path and path[-1] in TEXTUAL)
+        if p.block in chosen or (beside and path not in menus):
+            out.add(p.block)
+    return out
+
+
 def _aside(page: Page, selected: list[Piece], high: set[tuple]) -> set[tuple[int, ...]]:
     """Enclosing elements (as in `inside`) of the pieces that are set aside.
 
@@ -228,8 +266,9 @@ def main_text(page: str | None, strictness: float = 0.8) -> str:
     Paths whose fused score reaches `strictness` standard deviations of all scores hold
     content. The content's container is the article or main element with nine tenths of
     it, or all those that hold some of it if they have nine tenths together, or else the
-    innermost container of nine tenths of it; all its blocks are kept but those set
-    aside, so short headings and lines stay. NULL, empty and textless pages give "".
+    innermost container of nine tenths of it. Of its blocks those on selected paths are
+    kept, with the headings, lists and lines beside them; menus and what is set aside
+    are not. NULL, empty and textless pages give "".
     """
     found = pieces_of(page or "")
     pieces, names = found.pieces, found.names
@@ -238,10 +277,11 @@ def main_text(page: str | None, strictness: float = 0.8) -> str:
         return ""
     scores = path_scores(shown)
     threshold = strictness * scores.std()
-    by_path: dict[tuple, float] = defaultdict(float)
+    by_path: dict[tuple, list[float]] = defaultdict(list)
     for p, s in zip(shown, scores, strict=True):
-        by_path[p.path] = max(by_path[p.path], s)
-    high = {path for path, s in by_path.items() if s >= threshold and s > 0}
+        by_path[p.path].append(s)
+    # A path counts by its mean: one piece beside the article does not lift the others.
+    high = {path for path, found_scores in by_path.items() if np.mean(found_scores) >= max(threshold, 1e-9)}
     selected = [p for p in shown if p.path in high]
     aside = _aside(found, selected, high)
     content = [p for p in selected if p.inside not in aside]
@@ -254,15 +294,19 @@ def main_text(page: str | None, strictness: float = 0.8) -> str:
     marked = {e for e in weight if names[e] in ("article", "main")}
     # Among nested marked elements of equal weight the inner one, which was opened later.
     heaviest = max(marked, key=lambda e: (weight[e], e), default=None)
+    in_article = True
     if heaviest is not None and weight[heaviest] >= 0.9 * total:
         chosen = {heaviest}
     elif sum(len(p.text) for p in content if not marked.isdisjoint(p.inside)) >= 0.9 * total:
         chosen = marked
     else:
+        in_article = False
         chosen = {max((e for e in weight if names[e] in CONTAINERS and weight[e] >= 0.9 * total), default=0)} - {0}
+    inside = [p for p in pieces if p.inside not in aside and (not chosen or not chosen.isdisjoint(p.inside))]
+    kept = _content_blocks([p for p in inside if p.text != " "], high, threshold, in_article)
     blocks: dict[int, list[str]] = defaultdict(list)
-    for p in pieces:
-        if p.inside not in aside and (not chosen or not chosen.isdisjoint(p.inside)):
+    for p in inside:
+        if p.block in kept:
             blocks[p.block].append(p.text)
     joined = (" ".join("".join(parts).split()) for _, parts in sorted(blocks.items()))
     return "\n\n".join(b for b in joined if b)

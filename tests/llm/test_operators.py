@@ -6,6 +6,7 @@ import random
 import sys
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,6 +216,43 @@ def test_main_text_inside_a_suspected_wrapper(wrapper):
     assert html_paths.main_text(page) == "\n\n".join(prose)
 
 
+def test_path_scores_decide_without_names(monkeypatch):
+    prose = [f"Part {i}, with words. More of it, too; and the rest of part {i}, at some length." for i in range(4)]
+    menu = "".join(f"<a href=/{i}>Place {i}</a>" for i in range(12))
+    body = "".join(f"<p>{x}</p>" for x in prose)
+    items = "<ul><li>An item</li><li>Next <a href=/n>item</a></li></ul>"
+    pages = {
+        f"<body><div><div>{menu}</div>{body}</div></body>": prose,
+        f"<body><div>{menu}{body}</div></body>": prose,
+        f"<body><div>{body}<ul>{''.join(f'<li><a href=/{i}>Place {i}</a></li>' for i in range(12))}</ul></div></body>": prose,
+        f"<body><div>A site</div><div>Words</div>{body}<div>All rights</div></body>": prose,
+        f"<body><div><h2>Head</h2>{body}{items}</div><div>End</div></body>": ["Head", *prose, "An item", "Next item"],
+        f"<body><article><h2>Head</h2>{body}{items}<div>Bare</div></article></body>": ["Head", *prose, "An item", "Next item", "Bare"],
+    }
+    for page, want in pages.items():
+        assert html_paths.main_text(page) == "\n\n".join(want)
+    real = html_paths.path_scores
+    wrong = {}
+    for name, scores in {"constant": lambda pieces: np.ones(len(pieces)), "upside down": lambda pieces: real(pieces).max() - real(pieces)}.items():
+        monkeypatch.setattr(html_paths, "path_scores", scores)
+        wrong[name] = sum(html_paths.main_text(page) != "\n\n".join(want) for page, want in pages.items())
+    assert wrong["constant"] >= 4 and wrong["upside down"] >= 4, wrong
+
+
+def test_main_text_of_a_table(spark):
+    long = "<p>One, two. Three, four; five.</p>" * 20_000
+    rows = [(1, "u", "<p>One, two.</p>"), (1, "u", "<p>One, two.</p>"), (2, None, None), (3, "v", ""), (None, "w", "plain"), (4, "x", long)]
+    pages = spark.createDataFrame([(*r, "own", 7) for r in rows], "page_id long, url string, html string, text string, n_chars int")
+    found = html_paths.extract(pages, "page_id", "url", "html")
+    assert found.columns == ["page_id", "url", "text", "n_chars"]
+    want = {(k, u, html_paths.main_text(h)) for k, u, h in rows}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(rows) and {r[:3] for r in got} == want and all(len(r[2]) == r[3] for r in got)
+    assert len(next(r[2] for r in got if r[0] == 4).split("\n\n")) == 20_000
+    empty = html_paths.extract(pages.where("page_id < 0"), "page_id", "url", "html")
+    assert empty.count() == 0 and empty.columns == found.columns
+
+
 def test_web_archive(docs, spark, tmp_path):
     rows = [(1, "http://a", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "http://c\r\nX: y", None), (4, "http://d", ""), (5, "http://e", "x" * 100_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("sha256", F.lit(1))
