@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from sensorloom.llm.common import only
 
-#: Pieces whose ids a worker remembers; beyond that it starts afresh.
-REMEMBERED = 150_000
+#: Characters of the pieces whose ids a worker remembers; beyond that it starts afresh.
+REMEMBERED = 2_000_000
 
 
 def byte_characters() -> dict[int, str]:
@@ -44,7 +44,6 @@ class Codec:
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.letters = byte_characters()
-        self.bytes_of = {rank: token for token, rank in ranks.items()}
         spelled = {token: "".join(map(self.letters.__getitem__, token)) for token in ranks}
         merges = [
             tuple(spelled[part] for part in _last_merge(token, ranks))
@@ -52,9 +51,13 @@ class Codec:
             if len(token) > 1
         ]
         self.tokenizer = Tokenizer(models.BPE({spelled[t]: r for t, r in ranks.items()}, merges))
+        # Decoding starts from the tokens' characters; each token's are turned back into bytes once.
+        back = {ord(c): b for b, c in self.letters.items()}
+        self.bytes_of = {i: token.translate(back).encode("latin-1") for token, i in self.tokenizer.get_vocab().items()}
         self.split = regex.compile(pattern).findall
         self.table = str.maketrans({chr(b): c for b, c in self.letters.items()})
         self.known: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.held = 0
 
     def pieces(self, text: str) -> list[str]:
         return self.split(text)
@@ -62,8 +65,11 @@ class Codec:
     def learn(self, pieces: set[str]) -> None:
         """Encode the pieces not met before: their ids, and the ids as decimal text."""
         fresh = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(fresh) > REMEMBERED:
+        size = sum(map(len, fresh))
+        if self.held + size > REMEMBERED:
             self.known = {p: self.known[p] for p in pieces if p in self.known}
+            self.held = sum(map(len, self.known))
+        self.held += size
         # Each byte becomes one character, so the library merges bytes.
         merge = self.tokenizer.model.tokenize
         for piece in fresh:
@@ -89,7 +95,7 @@ class Codec:
         return spans
 
     def decode(self, ids: list[int]) -> bytes:
-        """Bytes of the tokens; a character split between tokens is whole again once they are joined."""
+        """The tokens' characters through the reversed byte table; a character split between tokens is whole again once they are joined."""
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
