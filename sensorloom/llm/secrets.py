@@ -127,8 +127,17 @@ def hashes(spans: Column) -> Column:
     return F.array_distinct(F.transform(spans, lambda s: F.sha2(s["value"].cast("binary"), 256)))
 
 
-def judged(found: DataFrame, copied_from: int) -> DataFrame:
-    """`found` with a field `live` in every span.
+def widely_copied(owners: int, repositories: int) -> Column:
+    """Whether a value is an example that is handed around.
+
+    Many owners hold it, or more than one do and many repositories. However many
+    repositories of one owner share a value, it may well be that owner's own.
+    """
+    return (F.col("n_owners") >= owners) | ((F.col("n_owners") > 1) & (F.col("n_repositories") >= repositories))
+
+
+def judged(found: DataFrame, copied: Column) -> DataFrame:
+    """`found` with a field `live` in every span: its value is not `copied`, a condition on the columns of `ownership`.
 
     Only rows with spans are joined; the counts come to them by value, and a value held
     by any number of rows is one row on its side, so adaptive execution can split it.
@@ -136,7 +145,7 @@ def judged(found: DataFrame, copied_from: int) -> DataFrame:
     some, none = found.where(F.size("spans") > 0), found.where(F.size("spans") == 0)
     live = (
         some.select("row", F.explode(hashes(F.col("spans"))).alias("hash"))
-        .join(ownership(found).where(F.col("n_owners") < copied_from).select("hash"), "hash")
+        .join(ownership(found).where(~copied).select("hash"), "hash")
         .groupBy("row")
         .agg(F.collect_list("hash").alias("live"))
     )
@@ -151,17 +160,18 @@ def judged(found: DataFrame, copied_from: int) -> DataFrame:
     )
 
 
-def scan(docs: DataFrame, key: str, text: str, owner: Column, repository: Column, copied_from: int = 3) -> DataFrame:
+def scan(docs: DataFrame, key: str, text: str, owner: Column, repository: Column, copied_from: int = 3, copied_in: int = 6) -> DataFrame:
     """Secrets of every row, with a verdict on each: key, row, owner, repository, spans.
 
     spans is array<struct<start, end, kind, value, live>>. A value held by at least
-    `copied_from` owners is a widely copied example (live false); any other is an owner's
-    own, live-looking credential. Repeated rows keep one row each and an empty table
+    `copied_from` owners, or by several in at least `copied_in` repositories, is a widely
+    copied example (live false); any other is an owner's own, live-looking credential. An
+    owner's repositories are told apart by owner and repository. Repeated rows keep one row each and an empty table
     gives none. The candidates are written once to the shared folder, so the texts are
     searched once.
     """
     found = stage(candidates(docs, key, text, owner, repository))
-    return judged(found, copied_from).withColumnRenamed("key", key)
+    return judged(found, widely_copied(copied_from, copied_in)).withColumnRenamed("key", key)
 
 
 def digest(scanned: DataFrame, key: str) -> DataFrame:
@@ -180,7 +190,7 @@ def digest(scanned: DataFrame, key: str) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, key: str, text: str, owner: Column, repository: Column, copied_from: int = 3) -> DataFrame:
+def redact(docs: DataFrame, key: str, text: str, owner: Column, repository: Column, copied_from: int = 3, copied_in: int = 6) -> DataFrame:
     """`docs` with every live span of `text` replaced by its kind in angle brackets.
 
     Where spans overlap, the first covers its stretch and the next only what is left.
@@ -199,6 +209,6 @@ def redact(docs: DataFrame, key: str, text: str, owner: Column, repository: Colu
     live = F.filter("spans", lambda s: s["live"])
     rest = lambda state: F.concat(state["out"], F.substring(body, state["at"] + 1, F.length(body)))
     clean = F.when(F.size(live) > 0, F.aggregate(live, start, step, rest)).otherwise(F.col("doc")[text])
-    return judged(found, copied_from).withColumn("clean", clean).select(
+    return judged(found, widely_copied(copied_from, copied_in)).withColumn("clean", clean).select(
         *(F.col("clean").alias(c) if c == text else F.col("doc")[c].alias(c) for c in docs.columns)
     )

@@ -87,6 +87,24 @@ def test_secrets(docs, nothing, texts):
     assert secrets.scan(nothing, "doc_id", "text", owner, repository).count() == 0
 
 
+def test_verdict_counts_owners_and_repositories(spark):
+    """Against plain counting: one owner's many repositories stay live, two owners' many do not."""
+    rng = random.Random(11)
+    held = [(f"0123456789abcdef{v:04x}", f"o{o}", f"r{r}") for v in range(40) for o in range(1 + v % 4) for r in range(1 + v % 7) if rng.random() < 0.8]
+    rows = [(i, f"token: {v}" if i % 3 else f"{v} {v}", o, r, 0) for i, (v, o, r) in enumerate(held + held[:50])]
+    rows += [(900, None, None, None, 0), (901, "0123456789abcdef0000", None, None, 0)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, owner string, repository string, live int").repartition(3)
+    spread = {}
+    for _, text, owner, repository, _ in rows:
+        if text:
+            spread.setdefault(text.replace("token: ", "")[:20], set()).add((owner, repository))
+    copied = {v for v, at in spread.items() if len({o for o, _ in at}) >= 3 or (len({o for o, _ in at}) > 1 and len(at) >= 6)}
+    assert copied and {v for v in spread if len(spread[v]) >= 6} - copied and any(len({o for o, _ in spread[v]}) == 2 for v in copied)
+    scanned = secrets.scan(table, "doc_id", "text", F.col("owner"), F.col("repository"), copied_from=3, copied_in=6)
+    got = {(s.value, s.live) for r in scanned.collect() for s in r.spans}
+    assert got == {(v, v not in copied) for v in spread}
+
+
 def test_private_keys_are_judged_and_replaced_whole(spark, docs):
     """Keys of one type at many owners differ in their bodies; a copied one is the same key however its lines break."""
     rng = random.Random(7)
@@ -166,6 +184,24 @@ def test_byte_bpe(docs, nothing, texts):
     assert bpe.encode(nothing, "doc_id", "text", path, pattern).count() == 0
 
 
+def test_byte_table_and_memory(monkeypatch):
+    path, pattern = bpe.rank_file()
+    monkeypatch.setattr(bpe, "REMEMBERED", 500)
+    own = bpe.Codec(path, pattern)
+    with open(path, "rb") as lines:
+        assert own.bytes_of == {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, lines)}
+    for text in ("\u0fd5\U0001f9ff" * 3, "Words, of some length; " * 5, "x" * 800, "", *(f"w{i} v{i * i}" for i in range(300))):
+        pieces = own.pieces(text)
+        own.learn(set(pieces))
+        assert own.decode(own.encode(pieces)) == text.encode()
+        assert own.held == sum(map(len, own.known)) <= max(500, len(text))
+    # A character split between tokens is none in each, and whole in all.
+    pieces = own.pieces("\u0fd5")
+    own.learn(set(pieces))
+    ids = own.encode(pieces)
+    assert len(ids) > 1 and "\ufffd" in own.decode(ids[:1]).decode("utf-8", "replace") and own.decode(ids).decode() == "\u0fd5"
+
+
 def test_language_id(docs, nothing, texts):
     assert langid.codewords(4).shape == (4, 7) and langid.codewords(12).shape[0] == 12
     model = langid.fit(docs.withColumn("lang", F.when(F.col("text").contains("#"), None).when(F.col("doc_id") % 2 == 0, "x").otherwise("y")), "text", "lang")
