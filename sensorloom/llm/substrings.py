@@ -59,6 +59,27 @@ def blocks_of(raw: bytes, length: int) -> tuple[np.ndarray, ...]:
     return seeds[at].view(np.int64), at, first, last
 
 
+def collapsed(block: np.ndarray, content: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which segments of a text to keep, and the last window start of each.
+
+    Of segments in a row with one block and content, as in a run of one letter or of a
+    short period, the first stays as it is and the second reaches to the end of the row:
+    all of these windows are repeated, and two segments say so.
+    """
+    same = np.zeros(len(block), bool)
+    same[1:] = (block[1:] == block[:-1]) & (content[1:] == content[:-1])
+    head = np.flatnonzero(~same)
+    if len(head) == len(block):
+        return head, last
+    number = np.arange(len(block)) - head[np.cumsum(~same) - 1]
+    keep = np.flatnonzero(number <= 1)
+    ends = last.copy()
+    tail = np.append(head[1:], len(block)) - 1
+    second = head[tail > head] + 1
+    ends[second] = last[tail[tail > head]]
+    return keep, ends[keep]
+
+
 def _sliding_min(x: np.ndarray, span: int) -> np.ndarray:
     """Minimum of every run of `span` values, by running minima from both ends of pieces of that length."""
     n = len(x) - span + 1
@@ -174,8 +195,9 @@ def _dealt(texts: DataFrame, length: int) -> DataFrame:
             content = np.fromiter(
                 (hashed(raw[a : b + length], p - a) for p, a, b in zip(at.tolist(), first.tolist(), last.tolist(), strict=True)), np.uint64, len(at)
             ).view(np.int64)
-            parts.append((block, content, at, first, last))
-            ends.append(ends[-1] + len(at))
+            keep, last = collapsed(block, content, last)
+            parts.append((block[keep], content[keep], at[keep], first[keep], last))
+            ends.append(ends[-1] + len(keep))
         columns = [np.concatenate([p[i] for p in parts]) for i in range(5)]
         cells = pa.StructArray.from_arrays([pa.array(c, t.type) for c, t in zip(columns, seg, strict=True)], fields=list(seg))
         segs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), cells)
@@ -187,14 +209,15 @@ def _dealt(texts: DataFrame, length: int) -> DataFrame:
 
 
 def _cut(chosen: DataFrame, length: int) -> DataFrame:
-    """block, content, left, bytes: the segments named in `chosen` (text, digest, segs), cut out of their texts."""
+    """block, content, left, bytes: the segments named in `chosen` (text, digest, segs), cut out of their texts, once each per text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for text, segs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = text.encode("utf-8", "replace")
-                for s in segs:
+                # Of equal segments the shortest: a longer one stands for several in a row.
+                for s in {(s["block"], s["content"]): s for s in sorted(segs, key=lambda s: s["first"] - s["last"])}.values():
                     out[0].append(s["block"])
                     out[1].append(s["content"])
                     out[2].append(s["at"] - s["first"])
@@ -314,6 +337,7 @@ def repeated_bytes(docs: DataFrame, key: str, text: str, length: int = 400, bloc
 
     1. One pass deals the windows of all texts out to blocks, in segments (see `blocks_of`).
        Equal segments need no comparison: two occurrences repeat every window in them.
+       A long run of one letter or period is two segments per text (see `collapsed`).
     2. Blocks with two or more different segments get these, once each, and are expanded
        (see `expand`); a block above `block_rows` segments goes through window hashes.
     3. The repeated windows go back to the texts that hold their segments.

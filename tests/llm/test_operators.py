@@ -64,6 +64,22 @@ def test_substrings(docs, nothing, texts):
     assert substrings.repeated_bytes(nothing, "doc_id", "text", 400).count() == 0
 
 
+def test_substrings_of_uniform_texts(spark):
+    """Runs of one letter and of short periods are few segments, and their windows are still compared with all others."""
+    rng = random.Random(13)
+    prose = "".join(rng.choices("abcdefgh \n", k=300))
+    texts = ["x" * 5000, "y" * 39, "y" * 40, "y" * 41, prose + "x" * 45 + prose[::-1], "ab" * 30, "q" + "ab" * 20, "ba" * 19 + "z", "abc" * 50 + prose[:60], "z" * 700 + prose[100:170] + "z" * 39]
+    docs = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string").repartition(3)
+    for rows in (2, 40_000):
+        found = substrings.repeated_bytes(docs, "doc_id", "text", length=40, block_rows=rows)
+        assert [tuple(r) for r in found.orderBy("doc_id").collect()] == [(i, *r) for i, r in enumerate(brute.repeats(texts, 40), 1)]
+    for raw in (b"x" * 300_000, b"abc" * 100_000):
+        block, at, first, last = substrings.blocks_of(raw, 400)
+        content = np.array([hash((raw[a : b + 400], p - a)) for a, b, p in zip(first, last, at, strict=True)])
+        keep, ends = substrings.collapsed(block, content, last)
+        assert len(keep) < 10 and ends[-1] == last[-1] and list(first[keep][1:]) == [e + 1 for e in ends[:-1]]
+
+
 def test_near_duplicates(docs, nothing, texts):
     found = nearcopies.components(docs, "doc_id", "text", words=4, percent=80)
     want = brute.near_duplicates(list(enumerate(texts, 1)), 4, 80)
