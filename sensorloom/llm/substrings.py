@@ -209,11 +209,11 @@ def _dealt(texts: DataFrame, length: int) -> DataFrame:
 
 
 def _cut(chosen: DataFrame, length: int) -> DataFrame:
-    """block, content, left, bytes: the segments named in `chosen` (text, digest, segs), cut out of their texts, once each per text."""
+    """block, content, left, large, bytes: the segments named in `chosen` (text, digest, segs), cut out of their texts, once each per text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for text, segs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = text.encode("utf-8", "replace")
                 # Of equal segments the shortest: a longer one stands for several in a row.
@@ -221,11 +221,12 @@ def _cut(chosen: DataFrame, length: int) -> DataFrame:
                     out[0].append(s["block"])
                     out[1].append(s["content"])
                     out[2].append(s["at"] - s["first"])
-                    out[3].append(raw[s["first"] : s["last"] + length])
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["block", "content", "left", "bytes"])
+                    out[3].append(s["large"])
+                    out[4].append(raw[s["first"] : s["last"] + length])
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["block", "content", "left", "large", "bytes"])
 
-    return chosen.select("text", "segs").mapInArrow(run, "block long, content long, left int, bytes binary")
+    return chosen.select("text", "segs").mapInArrow(run, "block long, content long, left int, large boolean, bytes binary")
 
 
 def _expanded(segments: DataFrame, length: int) -> DataFrame:
@@ -360,13 +361,17 @@ def repeated_bytes(docs: DataFrame, key: str, text: str, length: int = 400, bloc
     )
     busy = stage(each.join(blocks, "block"))
     contents = stage(busy.groupBy("block", "content", "mixed").agg(F.count("*").alias("n"), F.min("t1").alias("source")))
-    marked = busy.drop("mixed").join(contents, ["block", "content"])
+    # Large blocks are told by names of segments, so that their bytes move once.
+    crowds = contents.where("mixed").groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > block_rows).select("block", F.lit(True).alias("large"))
+    some_large = crowds.limit(1).count() > 0
+    contents = contents.join(crowds, "block", "left") if some_large else contents.withColumn("large", F.lit(None).cast("boolean"))
+    marked = busy.drop("mixed").join(contents.withColumn("large", F.coalesce("large", F.lit(False))), ["block", "content"])
 
     # One row of `docs` stands for all copies of its text.
     lowest = F.lit(-(2**63)).cast("long")
     texts = dealt.where(F.col("n_bytes") >= length).groupBy(*name).agg(F.min(F.coalesce("key", lowest)).alias("own"))
     needed = marked.groupBy(*name).agg(
-        F.collect_list(F.when(F.col("mixed") & (F.col("source") == F.col("t1")), F.struct("block", "content", "at", "first", "last"))).alias("segs")
+        F.collect_list(F.when(F.col("mixed") & (F.col("source") == F.col("t1")), F.struct("block", "content", "at", "first", "last", "large"))).alias("segs")
     )
     moved = stage(
         rows.withColumn("own", F.coalesce("key", lowest))
@@ -375,11 +380,9 @@ def repeated_bytes(docs: DataFrame, key: str, text: str, length: int = 400, bloc
         .select(*name, "text", "segs")
     )
 
-    crowds = contents.where("mixed").groupBy("block").agg((F.count("*") > block_rows).alias("large"))
-    cut = stage(_cut(moved.where(F.size("segs") > 0), length).join(crowds, "block"))
-    small = cut.where("not large").drop("large").repartition("block").sortWithinPartitions("block", "content")
-    runs = _expanded(small, length)
-    if cut.where("large").limit(1).count():
+    cut = _cut(moved.where(F.size("segs") > 0), length)
+    runs = _expanded(cut.where("not large").drop("large").repartition("block").sortWithinPartitions("block", "content"), length)
+    if some_large:
         runs = runs.unionByName(_by_window_hash(cut.where("large").drop("large"), length))
     runs = stage(runs)
 
