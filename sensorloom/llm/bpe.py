@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import pyarrow as pa
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from sensorloom.llm.common import only
 
 #: Characters of the pieces whose ids a worker remembers; beyond that it starts afresh.
-REMEMBERED = 2_000_000
+REMEMBERED = 4_000_000
 
 
 def byte_characters() -> dict[int, str]:
@@ -31,6 +31,26 @@ def byte_characters() -> dict[int, str]:
     return {b: moved.get(b, chr(b)) for b in range(256)}
 
 
+class Pieces(dict):
+    """Ids of the pieces met, and the ids as decimal text; a new piece is encoded when it is asked for."""
+
+    def __init__(self, merge: Callable[[str], tuple[int, ...]]):
+        super().__init__()
+        self.merge = merge
+        self.held = 0
+
+    def __missing__(self, piece: str) -> tuple[tuple[int, ...], str]:
+        ids = self.merge(piece)
+        found = ids, " ".join(map(str, ids))
+        if len(piece) <= REMEMBERED:
+            if self.held + len(piece) > REMEMBERED:
+                self.clear()
+                self.held = 0
+            self.held += len(piece)
+            self[piece] = found
+        return found
+
+
 class Codec:
     """Encoder and decoder for one rank file and one split pattern.
 
@@ -56,33 +76,17 @@ class Codec:
         self.bytes_of = {i: token.translate(back).encode("latin-1") for token, i in self.tokenizer.get_vocab().items()}
         self.split = regex.compile(pattern).findall
         self.table = str.maketrans({chr(b): c for b, c in self.letters.items()})
-        self.known: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.held = 0
+        self.known = Pieces(self.merge)
+
+    def merge(self, piece: str) -> tuple[int, ...]:
+        """The library's ids of one piece. Each of its bytes becomes one character, so the library merges bytes."""
+        mapped = piece.encode("utf-8", "replace").decode("latin-1").translate(self.table)
+        return tuple([token.id for token in self.tokenizer.model.tokenize(mapped)])
 
-    def pieces(self, text: str) -> list[str]:
-        return self.split(text)
-
-    def learn(self, pieces: set[str]) -> None:
-        """Encode the pieces not met before: their ids, and the ids as decimal text."""
-        fresh = [p for p in pieces if p not in self.known]
-        size = sum(map(len, fresh))
-        if self.held + size > REMEMBERED:
-            self.known = {p: self.known[p] for p in pieces if p in self.known}
-            self.held = sum(map(len, self.known))
-        self.held += size
-        # Each byte becomes one character, so the library merges bytes.
-        merge = self.tokenizer.model.tokenize
-        for piece in fresh:
-            mapped = piece.encode("utf-8", "replace").decode("latin-1").translate(self.table)
-            ids = tuple(token.id for token in merge(mapped))
-            self.known[piece] = ids, " ".join(map(str, ids))
-
-    def encode(self, pieces: list[str]) -> list[int]:
-        return list(itertools.chain.from_iterable(self.known[p][0] for p in pieces))
-
-    def decimal(self, pieces: list[str]) -> str:
-        """The ids in decimal, joined by one blank."""
-        return " ".join([self.known[p][1] for p in pieces])
+    def encode(self, text: str) -> tuple[list[int], str]:
+        """The text's ids, and the ids in decimal, joined by one blank."""
+        found = list(map(self.known.__getitem__, self.split(text)))
+        return list(itertools.chain.from_iterable([ids for ids, _ in found])), " ".join([decimal for _, decimal in found])
 
     def offsets(self, text: str, ids: list[int]) -> list[tuple[int, int]]:
         """Characters [start, end) of the text that each token touches; a split character counts for all its tokens."""
@@ -128,10 +132,10 @@ def _slices(texts: list[str | None], size: int) -> Iterator[list[str]]:
         yield held
 
 
-def encode(docs: DataFrame, key: str, text: str, ranks_path: str, pattern: str, with_offsets: bool = False) -> DataFrame:
+def encode(docs: DataFrame, key: str, text: str, ranks_path: str, pattern: str, with_ids: bool = True, with_offsets: bool = False) -> DataFrame:
     """Token ids of every text.
 
-    Returns `key`, ids array<int>, n_tokens, ids_sha256 (of the decimal ids joined by one
+    Returns `key`, ids array<int> (unless they are not wanted), n_tokens, ids_sha256 (of the decimal ids joined by one
     blank), decoded_sha256 (of the bytes that the ids decode to) and, if asked for,
     offsets array<struct<start, end>> in code points. A NULL text counts as empty: no
     ids, digests of nothing. Repeated rows each keep their row; NULL keys stay. Each
@@ -139,7 +143,7 @@ def encode(docs: DataFrame, key: str, text: str, ranks_path: str, pattern: str,
     length needs memory in proportion to its own length only.
     """
     kind = dict(docs.dtypes)[key]
-    schema = f"key {kind}, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = f"key {kind}, {'ids array<int>, ' if with_ids else ''}n_tokens long, ids_sha256 string, decoded_sha256 string"
     schema += ", offsets array<struct<start: int, end: int>>" if with_offsets else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,21 +151,22 @@ def encode(docs: DataFrame, key: str, text: str, ranks_path: str, pattern: str,
         for batch in batches:
             keys, at = batch.column(0), 0
             for texts in _slices(batch.column(1).to_pylist(), 1_000_000):
-                split = [own.pieces(t) for t in texts]
-                own.learn(set().union(*split))
                 rows: dict[str, list] = {k: [] for k in ("ids", "n", "digest", "decoded", "offsets")}
-                for t, pieces in zip(texts, split, strict=True):
-                    ids = own.encode(pieces)
-                    rows["ids"].append(pa.array(ids, pa.int32()))
+                for t in texts:
+                    ids, decimal = own.encode(t)
+                    if with_ids:
+                        rows["ids"].append(pa.array(ids, pa.int32()))
                     rows["n"].append(len(ids))
-                    rows["digest"].append(hashlib.sha256(own.decimal(pieces).encode()).hexdigest())
+                    rows["digest"].append(hashlib.sha256(decimal.encode()).hexdigest())
                     rows["decoded"].append(hashlib.sha256(own.decode(ids)).hexdigest())
                     if with_offsets:
                         rows["offsets"].append([{"start": a, "end": b} for a, b in own.offsets(t, ids)])
-                ends = list(itertools.accumulate(map(len, rows["ids"]), initial=0))
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(rows["ids"]))
-                out = [keys.slice(at, len(texts)), ids, pa.array(rows["n"], pa.int64()), pa.array(rows["digest"]), pa.array(rows["decoded"])]
-                names = ["key", "ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+                out = [keys.slice(at, len(texts)), pa.array(rows["n"], pa.int64()), pa.array(rows["digest"]), pa.array(rows["decoded"])]
+                names = ["key", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    ends = list(itertools.accumulate(rows["n"], initial=0))
+                    out.insert(1, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(rows["ids"])))
+                    names.insert(1, "ids")
                 if with_offsets:
                     pair = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
                     out, names = [*out, pa.array(rows["offsets"], pair)], [*names, "offsets"]

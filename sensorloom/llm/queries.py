@@ -51,8 +51,8 @@ def op4_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    encoded = bpe.encode(read(spark, sf_dir, "documents"), "doc_id", "text", *bpe.rank_file())
-    return encoded.select("doc_id", F.col("n_tokens"), "ids_sha256", "decoded_sha256")
+    encoded = bpe.encode(read(spark, sf_dir, "documents"), "doc_id", "text", *bpe.rank_file(), with_ids=False)
+    return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def secret_owner() -> tuple:

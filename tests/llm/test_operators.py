@@ -196,6 +196,7 @@ def test_byte_bpe(docs, nothing, texts):
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, r.ids)).encode()).hexdigest()
         assert not r.ids or (r.offsets[0].start, r.offsets[-1].end) == (0, len(text))
     encoded = bpe.encode(docs, "doc_id", "text", path, pattern)
+    assert bpe.encode(docs, "doc_id", "text", path, pattern, with_ids=False).exceptAll(encoded.drop("ids")).count() == 0
     assert by_id(bpe.decode(encoded, "doc_id", "ids", path, pattern), "text") == {i: (t or "",) for i, t in enumerate(texts, 1)}
     assert bpe.encode(nothing, "doc_id", "text", path, pattern).count() == 0
 
@@ -207,14 +208,11 @@ def test_byte_table_and_memory(monkeypatch):
     with open(path, "rb") as lines:
         assert own.bytes_of == {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, lines)}
     for text in ("\u0fd5\U0001f9ff" * 3, "Words, of some length; " * 5, "x" * 800, "", *(f"w{i} v{i * i}" for i in range(300))):
-        pieces = own.pieces(text)
-        own.learn(set(pieces))
-        assert own.decode(own.encode(pieces)) == text.encode()
-        assert own.held == sum(map(len, own.known)) <= max(500, len(text))
+        ids, decimal = own.encode(text)
+        assert own.decode(ids) == text.encode() and decimal == " ".join(map(str, ids))
+        assert own.known.held == sum(map(len, own.known)) <= max(500, len(text))
     # A character split between tokens is none in each, and whole in all.
-    pieces = own.pieces("\u0fd5")
-    own.learn(set(pieces))
-    ids = own.encode(pieces)
+    ids, _ = own.encode("\u0fd5")
     assert len(ids) > 1 and "\ufffd" in own.decode(ids[:1]).decode("utf-8", "replace") and own.decode(ids).decode() == "\u0fd5"
 
 
